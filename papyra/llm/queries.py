@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from papyra.llm import exact_dedup, simhash
+from papyra.llm import exact_dedup, packing, simhash, token_files
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2,
     "op7_exact_dedup": exact_dedup.op7,
     "op8_simhash": simhash.op8,
+    "op10_token_files": token_files.op10,
 }
 ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
