@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from papyra.llm import exact_dedup, packing, simhash, token_files
+from papyra.llm import exact_dedup, language_id, packing, piece_bpe, simhash, token_files
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
+    "op4_language_id": language_id.op4,
+    "op5_piece_bpe": piece_bpe.op5,
     "op7_exact_dedup": exact_dedup.op7,
     "op8_simhash": simhash.op8,
     "op10_token_files": token_files.op10,
