@@ -4,20 +4,44 @@ A byte-level pre-tokenizer never joins what stands on both sides of a single spa
 space always begins the next pre-token. One that drops white space never joins over any space. So a text's ids are
 its chunks' ids in order, and a chunk met before needs one dictionary look-up. Where a text has other runs of white
 space, it is cut only at the single spaces, and the rest goes to the library as it is.
+
+A new chunk is cut further where a pre-token must end: around a single line break between other characters, and after
+a leading run of Latin letters that an ASCII character other than a letter follows. Such a run is one pre-token, which
+the library's model takes without its normaliser and pre-tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
-
-import numpy as np
+from itertools import islice
 
 #: Between two characters that are not white space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks kept in a worker's memory; at more, it starts anew.
 MOST_CHUNKS = 300_000
+#: Letters that neither lower case nor composition joins to others, up to an ASCII character that is no letter or the end.
+_HEAD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _trim(cache: dict, most: int) -> None:
+    """A cache with more entries keeps its oldest half, which has the common ones."""
+    if len(cache) > most:
+        kept = dict(islice(cache.items(), most // 2))
+        cache.clear()
+        cache.update(kept)
 
 
 class ChunkEncoder:
@@ -28,24 +52,53 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = not self._drops_space()
+        self.spaced = not self._drops_space()  # then it lowers case, too
         self.most = most_chunks
         self.cache: dict[str, bytes] = {}
+        self.atoms: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.line_break = self._ids("\n")
 
     def _drops_space(self) -> bool:
         ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a b", "a  \n b", " a b ")]
         return ids[0] == ids[1] == ids[2]
 
-    def _batch(self, chunks: list[str]) -> list[bytes]:
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _atom(self, text: str, letters: bool) -> bytes:
+        """Ids of what stands alone; letters: of one pre-token, at most with its space before."""
+        found = self.atoms.get(text)
+        if found is None:
+            if letters:
+                mapped = (text if self.spaced else text.lower()).encode().decode("latin-1").translate(_LETTERS)
+                found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            else:
+                found = self._ids(text)
+            self.atoms[text] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        parts = chunk.split("\n")
+        lead = " " * self.spaced
+        if self.spaced and len(parts) > 1 and any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+            return self._ids(lead + chunk)
         out = []
-        for i in range(0, len(chunks), 4096):
-            found = self.tokenizer.encode_batch(chunks[i : i + 4096], add_special_tokens=False)
-            out += [np.array(x.ids, "<u4").tobytes() for x in found]
-        return out
+        for part in parts:
+            if out and self.spaced:
+                out.append(self.line_break)
+                lead = ""
+            head = _HEAD.match(part)
+            if head:
+                out.append(self._atom(lead + head[0], True))
+                part, lead = part[head.end() :], ""
+            if part or not out:
+                out.append(self._atom(lead + part, False))
+        return b"".join(out)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        if len(self.cache) > self.most:
-            self.cache.clear()
+        _trim(self.cache, self.most)
+        _trim(self.atoms, self.most)
         cache, fresh, cut, ends = self.cache, set(), [], []
         for text in texts:
             parts = text.split(" ")
@@ -61,12 +114,11 @@ class ChunkEncoder:
                 new = set(parts).difference(cache)
             fresh |= new
             cut.append(parts)
-        fresh = list(fresh)
-        cache.update(zip(fresh, self._batch([" " + w for w in fresh] if self.spaced else fresh)))
+        cache.update((w, self._chunk(w)) for w in fresh)
         get = cache.__getitem__
         if not self.spaced:
             return [b"".join(map(get, parts)) for parts in cut]
-        ends = self._batch(ends)
+        ends = [self._ids(x) if x else b"" for x in ends]
         return [b"".join([ends[2 * i], *map(get, parts), ends[2 * i + 1]]) for i, parts in enumerate(cut)]
 
 
