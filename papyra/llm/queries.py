@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from papyra.llm import exact_dedup, language_id, packing, piece_bpe, simhash, token_files
+from papyra.llm import exact_dedup, knn_join, language_id, packing, piece_bpe, simhash, token_files
 
 QUERIES = {
+    "op1_knn_join": knn_join.op1,
     "op2_best_fit_packing": packing.op2,
     "op4_language_id": language_id.op4,
     "op5_piece_bpe": piece_bpe.op5,
@@ -13,5 +14,6 @@ QUERIES = {
     "op10_token_files": token_files.op10,
 }
 ORACLE_SQL = {
+    "op1_knn_join": knn_join.OP1_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
