@@ -45,13 +45,13 @@ def text_or_empty(df: DataFrame, col: str) -> Column:
     return F.coalesce(df[col].cast("string"), F.lit(""))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, chars: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, chars: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Cuts record batches into runs of rows with about so many characters, with the texts of each run."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
         start, size = 0, 0
         for i, t in enumerate(texts):
-            size += len(t)
+            size += len(t or "")
             if size >= chars:
                 yield batch.slice(start, i + 1 - start), texts[start : i + 1]
                 start, size = i + 1, 0
