@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of (key, id) that may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -21,7 +21,7 @@ from itertools import islice
 #: Between two characters that are not white space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks kept in a worker's memory; at more, it starts anew.
-MOST_CHUNKS = 300_000
+MOST_CHUNKS = 500_000
 #: Letters that neither lower case nor composition joins to others, up to an ASCII character that is no letter or the end.
 _HEAD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)")
 
@@ -44,6 +44,22 @@ def _trim(cache: dict, most: int) -> None:
         cache.update(kept)
 
 
+class _Memo(dict):
+    """A dictionary that makes what it lacks."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+class _Uneven(Exception):
+    """A chunk that other white space touches: not what a cut at lone spaces gives."""
+
+
 class ChunkEncoder:
     """encode(texts) gives the library's ids of each text, add_special_tokens=False, as little-endian unsigned 32-bit bytes."""
 
@@ -52,12 +68,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = not self._drops_space()  # then it lowers case, too
+        self.spaced = not self._drops_space()  # else it lowers case, too
         self.most = most_chunks
-        self.cache: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         self.line_break = self._ids("\n")
+        self.chunks = _Memo(self._chunk)
+        self.heads, self.inner, self.rests = _Memo(self._head), _Memo(self._inner_head), _Memo(self._ids)
 
     def _drops_space(self) -> bool:
         ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a b", "a  \n b", " a b ")]
@@ -66,60 +82,62 @@ class ChunkEncoder:
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _atom(self, text: str, letters: bool) -> bytes:
-        """Ids of what stands alone; letters: of one pre-token, at most with its space before."""
-        found = self.atoms.get(text)
-        if found is None:
-            if letters:
-                mapped = (text if self.spaced else text.lower()).encode().decode("latin-1").translate(_LETTERS)
-                found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            else:
-                found = self._ids(text)
-            self.atoms[text] = found
-        return found
+    def _inner_head(self, letters: str) -> bytes:
+        """Ids of letters that are one pre-token."""
+        if not self.spaced:
+            letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _head(self, letters: str) -> bytes:
+        """Ids of letters after a space."""
+        if not self.spaced:
+            return self._inner_head(letters)
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(_LETTERS[32] + letters)]).tobytes()
+
+    def _part(self, part: str, heads: _Memo, lead: str) -> bytes:
+        head = _HEAD.match(part)
+        if head is None:
+            return self._ids(lead + part)
+        end = head.end()
+        return heads[part] if end == len(part) else heads[part[:end]] + self.rests[part[end:]]
 
     def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk after a space."""
+        lead = " " if self.spaced else ""
+        if lead and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
+            raise _Uneven
+        if "\n" not in chunk:
+            return self._part(chunk, self.heads, lead)
         parts = chunk.split("\n")
-        lead = " " * self.spaced
-        if self.spaced and len(parts) > 1 and any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+        if lead and any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
             return self._ids(lead + chunk)
-        out = []
-        for part in parts:
-            if out and self.spaced:
-                out.append(self.line_break)
-                lead = ""
-            head = _HEAD.match(part)
-            if head:
-                out.append(self._atom(lead + head[0], True))
-                part, lead = part[head.end() :], ""
-            if part or not out:
-                out.append(self._atom(lead + part, False))
+        out = [self._part(parts[0], self.heads, lead)]
+        for part in parts[1:]:
+            out += [self.line_break if lead else b"", self._part(part, self.inner, "")]
         return b"".join(out)
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        _trim(self.cache, self.most)
-        _trim(self.atoms, self.most)
-        cache, fresh, cut, ends = self.cache, set(), [], []
-        for text in texts:
-            parts = text.split(" ")
-            if self.spaced:
-                head, parts, tail = parts[0], parts[1:], None
-                new = set(parts).difference(cache)
-                if head[-1:].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-                    head, *parts = _LONE_SPACE.split(text)
-                    tail = " " + parts.pop() if parts else None
-                    new = set(parts).difference(cache)
-                ends += [head, tail or ""]
-            else:
-                new = set(parts).difference(cache)
-            fresh |= new
-            cut.append(parts)
-        cache.update((w, self._chunk(w)) for w in fresh)
-        get = cache.__getitem__
+    def _text(self, text: str) -> bytes:
+        get = self.chunks.__getitem__
         if not self.spaced:
-            return [b"".join(map(get, parts)) for parts in cut]
-        ends = [self._ids(x) if x else b"" for x in ends]
-        return [b"".join([ends[2 * i], *map(get, parts), ends[2 * i + 1]]) for i, parts in enumerate(cut)]
+            return b"".join(map(get, text.split(" ")))
+        head, *parts = text.split(" ")
+        try:
+            if head[-1:].isspace():
+                raise _Uneven
+            return self._ids(head) + b"".join(map(get, parts))
+        except _Uneven:
+            head, *parts = _LONE_SPACE.split(text)
+            tail = self._ids(" " + parts.pop()) if parts else b""
+            return self._ids(head) + b"".join(map(get, parts)) + tail
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        for memo in (self.chunks, self.heads, self.inner, self.rests):
+            _trim(memo, self.most)
+        return list(map(self._text, texts))
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -33,7 +33,7 @@ def annotate_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = members.groupBy("_h", "_text").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_best"))
     groups = table(groups.select("_h", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha256"), "_n", "_best"), "groups")
     base = base.withColumns({"_sha256": F.sha2(F.col("_text").cast("binary"), 256)}).drop("_text")
-    out = base.join(groups, ["_h", "_sha256"], "left")
+    out = base.join(maybe_broadcast(groups, limit=broadcast_rows), ["_h", "_sha256"], "left")
     keep_id = F.when(F.col("_n").isNull(), F.col(id_col)).otherwise(F.col("_best"))
     return out.withColumns({"_keep_id": keep_id, "_group_size": F.coalesce("_n", F.lit(1)).cast("long"), "_kept": keep_id.eqNullSafe(F.col(id_col))}).drop("_h", "_n", "_best")
 
