@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,11 @@ from papyra.llm._shared import pieces, text_or_empty
 
 SPACE = "▁"
 #: Words kept in a worker's memory; at more, it starts anew.
-MOST_WORDS = 300_000
+MOST_WORDS = 400_000
 NONE = np.iinfo(np.int32).max
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Latin letters up to the end or an ASCII character that is none.
+_HEAD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f])")
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -32,7 +36,9 @@ class PieceBpe:
         kind = ["byte" if sp.is_byte(i) else "control" if sp.is_control(i) else "unknown" if sp.is_unknown(i) else "" for i in range(size)]
         if any(sp.is_unused(i) for i in range(size)) or not all(k in kind for k in ("byte", "unknown")):
             raise ValueError("a BPE model with byte fallback and without unused pieces is needed")
-        self.size, self.most, self.cache = size, most_words, {}
+        self.size, self.most = size, most_words
+        self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         own = {p: i for i, (p, k) in enumerate(zip(names, kind)) if not k}
         #: No piece has a space after another character: so no merge crosses from a word into the next one's spaces.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in own)
@@ -53,16 +59,36 @@ class PieceBpe:
                 self.char[ord(p)] = i
         symbol = lambda s: own.get(s, size + ord(s) if len(s) == 1 else None)
         pairs = [(a * self.wide + b, i) for p, i in own.items() for k in range(1, len(p)) if (a := symbol(p[:k])) is not None and (b := symbol(p[k:])) is not None]
-        pairs.sort()
-        self.keys, self.merged = np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64)
+        # a hash table with free places after each run of keys, a fifth full at most
+        self.shift = np.uint64(64 - (5 * len(pairs)).bit_length())
+        self.slots = np.full((1 << 64 - int(self.shift)) + 64, -1, np.int64)
+        self.merged = np.full(len(self.slots), -1, np.int64)
+        for h, (k, i) in sorted(zip(self._hash(np.array([k for k, _ in pairs], np.int64)).tolist(), pairs)):
+            while self.slots[h] >= 0:
+                h += 1
+            self.slots[h], self.merged[h] = k, i
+        #: Pairs of characters that stand together in a piece: between others there is never a merge.
+        self.together = {p[k : k + 2] for p in own for k in range(len(p) - 1)}
         scores = np.array([sp.get_score(i) for i in range(size)])
         rank = np.searchsorted(np.unique(-scores), -scores).astype(np.int32)  # equal scores have equal ranks
         self.rank = np.append(rank, NONE)  # at -1: no merge
 
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * _MIX >> self.shift).astype(np.int64)
+
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.wide + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], -1)
+        at = self._hash(key)
+        held = self.slots[at]
+        out = np.where(held == key, self.merged[at], -1)
+        go = np.flatnonzero((held != key) & (held >= 0))
+        while len(go):
+            at[go] += 1
+            held = self.slots[at[go]]
+            hit = held == key[go]
+            out[go[hit]] = self.merged[at[go[hit]]]
+            go = go[~hit & (held >= 0)]
+        return out
 
     def merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word's number, symbol), in order, after all merges.
@@ -122,31 +148,52 @@ class PieceBpe:
             keep[at + 1] = False
             sym, wid, mid = sym[keep], wid[keep], mid[keep]
             at = at - np.arange(len(at))
-            again = np.unique(np.r_[at, at[at > 0] - 1])
-            mid[again] = pair_up(again)
+            mid[at] = pair_up(at)
+            at = at[at > 0] - 1
+            mid[at] = pair_up(at)
         if not done_wid:
             return wid, sym
         wid, sym = np.concatenate(done_wid), np.concatenate(done_sym)
         order = np.argsort(wid, kind="stable")
         return wid[order], sym[order]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each after a space sign, as little-endian unsigned 32-bit bytes."""
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words as little-endian unsigned 32-bit bytes."""
         out = []
         for i in range(0, len(words), 50_000):
-            some = [SPACE + w for w in words[i : i + 50_000]]
+            some = words[i : i + 50_000]
             wid, sym = self.merge_rounds(some)
-            if (sym >= self.size).any():  # no piece: its UTF-8 bytes
-                ids = [[s] if s < self.size else self.byte_ids[list(chr(s - self.size).encode("utf-8", "surrogatepass"))] for s in sym]
-                wid, sym = np.repeat(wid, list(map(len, ids))), np.concatenate(ids)
+            bare = np.flatnonzero(sym >= self.size)
+            if len(bare):  # no piece: its UTF-8 bytes
+                data = [self.byte_ids[list(chr(s).encode("utf-8", "surrogatepass"))] for s in (sym[bare] - self.size).tolist()]
+                width = np.ones(len(sym), np.int64)
+                width[bare] = list(map(len, data))
+                wide = np.repeat(sym >= self.size, width)
+                wid, sym = np.repeat(wid, width), np.repeat(sym, width)
+                sym[wide] = np.concatenate(data)
             ends = np.searchsorted(wid, np.arange(len(some)), "right")
             data = sym.astype("<u4").tobytes()
             out += [data[4 * a : 4 * b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
         return out
 
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
-        if len(self.cache) > self.most:
-            self.cache.clear()
+    def _learn(self, words: list[str]) -> None:
+        """Caches the ids of words, each after a space sign. Leading letters are merged once for all marks that follow."""
+        cut = []
+        for w in words:
+            head = _HEAD.match(w)
+            n = head.end() if head and w[head.end() - 1 : head.end() + 1] not in self.together else len(w)
+            cut.append((SPACE + w[:n], w[n:]))
+        fresh = list({part for pair in cut for part in pair}.difference(self.parts))
+        self.parts.update(zip(fresh, self._ids(fresh)))
+        get = self.parts.__getitem__
+        self.cache.update((w, get(a) + get(b) if b else get(a)) for w, (a, b) in zip(words, cut))
+
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        for cache in (self.cache, self.parts):
+            if len(cache) > self.most:
+                kept = dict(islice(cache.items(), self.most // 2))  # the oldest have the common ones
+                cache.clear()
+                cache.update(kept)
         cut, fresh = [], set()
         for text in texts:
             text = text.replace(SPACE, " ")
@@ -160,13 +207,13 @@ class PieceBpe:
                 words = text.split(" ")
             fresh |= set(words).difference(self.cache)
             cut.append(words)
-        fresh = list(fresh)
-        self.cache.update(zip(fresh, self._word_ids(fresh)))
+        self._learn(list(fresh))
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4").tolist() for words in cut]
+        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: the first piece loses one leading space, runs of byte pieces are read as UTF-8, each bad byte as U+FFFD."""
+        ids = np.asarray(ids, np.int64).tolist()
         parts = list(map(self.surface.__getitem__, ids))
         for i, x in enumerate(ids):
             if x not in self.control:
@@ -226,9 +273,9 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             ids = m.encode(texts)
             decoded = [m.decode(x) for x in ids]
             sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-            cols = [batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(",".join(map(decimal.__getitem__, x))) for x in ids], pa.string()), pa.array(list(map(sha, decoded)), pa.string())]
+            cols = [batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(",".join(map(decimal.__getitem__, x.tolist()))) for x in ids], pa.string()), pa.array(list(map(sha, decoded)), pa.string())]
             if keep_ids:
-                cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                cols += [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     out = slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids)
