@@ -5,7 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +59,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, chars: int = 8_000_00
             yield batch.slice(start), texts[start:]
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker keeps between tasks, such as a tokenizer and its cache: of one key at a time, so that operators don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def remove_own_dir(spark: SparkSession) -> None:
     """Deletes the folder that shared_dir made where none was set."""
     base = spark.conf.get("papyra.own.checkpoint.dir", None)

@@ -18,6 +18,8 @@ from array import array
 from collections.abc import Iterable
 from itertools import islice
 
+from papyra.llm._shared import kept
+
 #: Between two characters that are not white space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks kept in a worker's memory; at more, it starts anew.
@@ -140,11 +142,6 @@ class ChunkEncoder:
         return list(map(self._text, texts))
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker's own encoder of the file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return kept(("chunks", path), lambda: ChunkEncoder(path))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import pieces, text_or_empty
+from papyra.llm._shared import kept, pieces, text_or_empty
 
 SPACE = "▁"
 #: Documents of a language that the model is fitted on, about; and languages, the most common first.
@@ -213,19 +213,14 @@ def fit_language_model(labelled: DataFrame, vocabulary: list[str], lang_col: str
     return LanguageModel(vocabulary, languages, fit_pieces(Lattice(vocabulary), words, counts))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score of each row. Null texts and those without letters are `und`, score 0."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.key not in _scorers:
-            _scorers.clear()
-            _scorers[model.key] = Scorer(model)
+        scorer = kept(("language", model.key), lambda: Scorer(model))
         for batch, texts in pieces(batches, "text", 4_000_000):
-            found = _scorers[model.key].score(texts)
+            found = scorer.score(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return slim.mapInArrow(run, "doc_id long, lang_pred string, score double").withColumnRenamed("doc_id", id_col)

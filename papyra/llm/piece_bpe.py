@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import pieces, text_or_empty
+from papyra.llm._shared import kept, pieces, text_or_empty
 
 SPACE = "▁"
 #: Words kept in a worker's memory; at more, it starts anew.
@@ -191,9 +191,9 @@ class PieceBpe:
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         for cache in (self.cache, self.parts):
             if len(cache) > self.most:
-                kept = dict(islice(cache.items(), self.most // 2))  # the oldest have the common ones
+                oldest = dict(islice(cache.items(), self.most // 2))  # they have the common ones
                 cache.clear()
-                cache.update(kept)
+                cache.update(oldest)
         cut, fresh = [], set()
         for text in texts:
             text = text.replace(SPACE, " ")
@@ -251,14 +251,9 @@ def _lenient(data: bytes) -> str:
     return "".join(out)
 
 
-_models: dict[str, PieceBpe] = {}
-
-
 def model(path: str) -> PieceBpe:
     """The worker's own model of the file, kept between tasks."""
-    if path not in _models:
-        _models[path] = PieceBpe(path)
-    return _models[path]
+    return kept(("pieces", path), lambda: PieceBpe(path))
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import pieces, text_or_empty
+from papyra.llm._shared import kept, pieces, text_or_empty
 
 #: Buckets of hashed words, after them of hashed shapes, and then of lengths with shares of different words.
 WORDS, SHAPES, REPEATS = 1 << 18, 1 << 12, 11 * 41
@@ -21,7 +21,7 @@ WORDS, SHAPES, REPEATS = 1 << 18, 1 << 12, 11 * 41
 SAMPLE_DOCS, LEAST_DOCS, ROUNDS, DECAY = 6000, 8, 600, 1e-5
 #: Standard deviations by which a feature must differ between grades to get a weight.
 LEAST_Z = 5.0
-MOST_CHUNKS = 300_000
+MOST_CHUNKS = 200_000
 _RULES = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a"), (re.compile(r"\d+"), lambda m: "0"), (re.compile(r"(.)\1+"), lambda m: m[1] * 2)]
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -163,9 +163,6 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
     return fit_ordinal([b.values.to_numpy() for b in rows["buckets"]], [b.values.to_numpy().astype(np.float64) for b in rows["vals"]], rows["grade"].to_numpy())
 
 
-_features: dict[str, Features] = {}
-
-
 def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """id, expected_grade, tail_probability, accepted of each row; null text counts as empty.
 
@@ -175,7 +172,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _features.setdefault("own", Features())
+        features = kept("quality", Features)
         for batch, texts in pieces(batches, "text"):
             if len(model.grades) > 1:
                 score = np.array([model.weights[a] @ b for a, b in map(features.of, texts)])
@@ -192,7 +189,7 @@ def keep_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text", l
     """docs without the rows that score_quality does not accept; columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _features.setdefault("own", Features())
+        features = kept("quality", Features)
         for batch, texts in pieces(batches, text_col):
             if len(model.grades) > 1:
                 score = np.array([model.weights[a] @ b for a, b in (features.of(t or "") for t in texts)])
