@@ -156,26 +156,33 @@ def line_groups(lines: DataFrame, keys: list[str], id_col: str = "line_index", l
     return by_page(lines, keys, [id_col], fold, _with(lines.schema, "row"))
 
 
-def paragraphs(lines: DataFrame, keys: list[str], id_col: str = "line_index", gap: float = 1.0, side: float = 0.5) -> DataFrame:
-    """`paragraph`: a line joins the first paragraph whose last line is near above it and shares at least half its width."""
+def paragraphs(lines: DataFrame, keys: list[str], id_col: str = "line_index", y_gap: float = 0.5, x_gap: float = 1.0) -> DataFrame:
+    """`paragraph`: a line joins the first paragraph whose last line is near above it, and beside or over a fifth of the narrower one."""
+
+    def near(a: dict, b: dict) -> bool:
+        h = max(a["max_y"] - a["min_y"], b["max_y"] - b["min_y"])
+        if not -h <= b["min_y"] - a["max_y"] <= h * y_gap:
+            return False
+        shared = min(a["max_x"], b["max_x"]) - max(a["min_x"], b["min_x"])
+        return shared > 0.2 * min(a["max_x"] - a["min_x"], b["max_x"] - b["min_x"]) or -shared <= h * x_gap
 
     def fold(rows: list[dict]):
         last: list[dict] = []
-        for r in sorted(rows, key=lambda r: (r["min_y"], r["min_x"], r[id_col])):
-            h = r["max_y"] - r["min_y"]
-            for k, p in enumerate(last):
-                shared = min(p["max_x"], r["max_x"]) - max(p["min_x"], r["min_x"])
-                if -0.5 * h <= r["min_y"] - p["max_y"] <= gap * h and shared >= side * min(p["max_x"] - p["min_x"], r["max_x"] - r["min_x"]):
-                    last[k] = r
-                    break
-            else:
-                k = len(last)
-                last.append(r)
+        for r in sorted((r for r in rows if r["text"]), key=lambda r: (r["min_y"], r["min_x"], r[id_col])):
+            k = next((i for i, p in enumerate(last) if near(p, r)), len(last))
+            last[k : k + 1] = [r]
             yield r | {"paragraph": k}
 
     return by_page(lines, keys, [id_col], fold, _with(lines.schema, "paragraph"))
 
 
+def merge_paragraphs(lines: DataFrame, keys: list[str], **options) -> DataFrame:
+    """keys, paragraph, text, confidence and box: each paragraph's lines from the top, joined by line ends."""
+    p = paragraphs(lines, keys, **options)
+    g = p.groupBy(*keys, "paragraph").agg(F.array_sort(F.collect_list(F.struct("min_y", "min_x", "text"))).alias("l"), F.avg("confidence").alias("confidence"), F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))
+    return g.select(*keys, "paragraph", F.array_join(F.col("l.text"), "\n").alias("text"), "confidence", "min_x", "min_y", "max_x", "max_y")
+
+
 def sequence_edges(blocks: DataFrame, keys: list[str], order: str = "block_order", id_col: str = "block_index") -> DataFrame:
     """keys, from, to: each block and the next in reading order."""
     nxt = F.lead(id_col).over(Window.partitionBy(*keys).orderBy(order, id_col))
