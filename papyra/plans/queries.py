@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from papyra.export import formats, markdown
+from papyra.export import formats, html, markdown, office
 from papyra.functions import geometry as G
 from papyra.functions import numbers as N
+from papyra.functions import render
 from papyra.functions import text as X
-from papyra.operators import ctc, documents, evaluate, key_values, layout, mrz, patterns, quality, reading_order, spatial
+from papyra.operators import ctc, detection, documents, enhanced_order, evaluate, key_values, layout, mrz, patterns, pdf_text, quality, reading_order, spatial, tables
 from papyra.plans import views as V
+from papyra.sources import office as office_source
+from papyra.streaming import incremental
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -383,7 +386,15 @@ def repeated_headers(spark, d):
     return documents.repeated_headers(V.blocks(spark, d))
 
 
-@query()
+@query(f"""
+WITH {V.BLOCKS_SQL}, s AS (SELECT *, lead(block_index) OVER (PARTITION BY doc_id, page_number ORDER BY block_order, block_index) AS nxt FROM v_blocks),
+h AS (SELECT * FROM v_blocks WHERE type = 'Header' AND max_y <= 150 AND trim(text) <> ''),
+p AS (SELECT i.doc_id, i.page_number, i.block_index, arg_min(o.block_index, {{'a': (o.max_x - o.min_x) * (o.max_y - o.min_y), 'i': o.block_index}}) AS c FROM v_blocks i JOIN v_blocks o ON i.doc_id = o.doc_id AND i.page_number = o.page_number AND i.block_index <> o.block_index
+  WHERE i.min_x >= o.min_x AND i.min_y >= o.min_y AND i.max_x <= o.max_x AND i.max_y <= o.max_y AND (o.max_x - o.min_x) * (o.max_y - o.min_y) > (i.max_x - i.min_x) * (i.max_y - i.min_y) GROUP BY ALL)
+SELECT doc_id, 'Sequence' AS kind, page_number AS from_page, block_index AS from_block, page_number AS to_page, nxt AS to_block, 'Existing page reading order' AS evidence, false AS requires_review FROM s WHERE nxt IS NOT NULL
+UNION ALL SELECT doc_id, 'Contains', page_number, c, page_number, block_index, 'Strict bounding-box containment; semantic ownership unconfirmed', true FROM p
+UNION ALL SELECT a.doc_id, 'RepeatedHeader', a.page_number, a.block_index, b.page_number, b.block_index, 'Header labels, identical normalized text, top 15%, horizontal edges within 3% of page width', true
+  FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.page_number < b.page_number AND a.text = b.text""")
 def assemble_documents(spark, d):
     return documents.assemble(V.blocks(spark, d))
 
@@ -508,7 +519,22 @@ def find_matches(spark, d):
     return _rounded(patterns.find_matches(V.lines(spark, d)), "min_x", "max_x")
 
 
-@query()
+_KIE = """k AS (SELECT * FROM (VALUES (0, 'The', 'the'), (1, 'token', 'token'), (2, 'Of:', 'of')) t(key_ordinal, key, k)),
+b AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM v_lines),
+near AS (SELECT * FROM b JOIN k ON starts_with(n, k)),
+i AS (SELECT doc_id, key_ordinal, arg_min(v, line_index) AS v FROM (SELECT *, trim(regexp_extract(substr(c, length(k) + 1), '^(?:\\s*[:\\-]\\s*|\\s+)(.*)$', 1)) AS v FROM near WHERE regexp_matches(substr(n, length(k) + 1), '^[:\\-\\s]')) WHERE v <> '' GROUP BY ALL),
+p AS (SELECT l.doc_id, l.key_ordinal, l.line_index AS li, b.line_index AS ci, trim(b.text) AS v,
+  CASE WHEN b.min_x > l.max_x AND least(l.max_y, b.max_y) - greatest(l.min_y, b.min_y) >= 0.5 * greatest(l.max_y - l.min_y, 1) THEN b.min_x - l.max_x END AS r,
+  CASE WHEN b.min_y > l.max_y AND least(l.max_x, b.max_x) - greatest(l.min_x, b.min_x) >= 0.5 * greatest(l.max_x - l.min_x, 1) THEN b.min_y - l.max_y END AS d
+  FROM near l JOIN b ON l.doc_id = b.doc_id AND l.line_index <> b.line_index WHERE l.n = l.k AND b.text <> ''),
+r AS (SELECT doc_id, key_ordinal, arg_min(v, {'g': r, 'l': li, 'c': ci}) AS v FROM p WHERE r IS NOT NULL GROUP BY ALL),
+d AS (SELECT doc_id, key_ordinal, arg_min(v, {'g': d, 'l': li, 'c': ci}) AS v FROM p WHERE d IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {V.LINES_SQL}, {_KIE}
+SELECT q.doc_id, k.key_ordinal, k.key, coalesce(i.v, nullif(r.v, ''), nullif(d.v, '')) AS value FROM (SELECT DISTINCT doc_id FROM v_lines) q CROSS JOIN k
+LEFT JOIN i ON i.doc_id = q.doc_id AND i.key_ordinal = k.key_ordinal LEFT JOIN r ON r.doc_id = q.doc_id AND r.key_ordinal = k.key_ordinal LEFT JOIN d ON d.doc_id = q.doc_id AND d.key_ordinal = k.key_ordinal""")
 def key_information(spark, d):
     return key_values.extract_fields(V.lines(spark, d), ["The", "token", "Of:"], DOC)
 
@@ -547,3 +573,144 @@ def export_markdown(spark, d):
 @query()
 def machine_readable_zones(spark, d):
     return mrz.find_mrz(V.lines(spark, d), DOC, 2024)
+
+
+@query()
+def xy_cut_enhanced(spark, d):
+    return enhanced_order.xy_cut_enhanced(regions(spark, d), PAGE, WIDTH, HEIGHT, "region_index").select("page_id", "region_index", "position")
+
+
+@query(f"""
+WITH {REGIONS_SQL}, o AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 100 - region_index END AS order_index FROM v_regions)
+SELECT page_id, region_index, CAST(row_number() OVER (PARTITION BY page_id ORDER BY coalesce(order_index, region_index), region_index) - 1 AS INTEGER) AS position FROM o""")
+def model_order(spark, d):
+    r = regions(spark, d).withColumn("order_index", F.when(F.col("page_id") % 2 == 0, 100 - F.col("region_index")).cast("int"))
+    return layout.model_order(r, PAGE).select("page_id", "region_index", "position")
+
+
+@query()
+def glyphs_to_lines(spark, d):
+    return pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"])
+
+
+@query("""
+WITH c AS (SELECT item_id AS page, unnest(string_split(text, '')) AS v FROM benchmark),
+n AS (SELECT page, count(*) FILTER (NOT regexp_matches(v, '^\\s$')) AS characters, CAST(0 AS BIGINT) AS invalid, count(*) FILTER (regexp_matches(v, '[\\p{L}\\p{Nd}]')) AS letters FROM c GROUP BY page)
+SELECT *, characters >= 20 AND invalid < characters * 0.05 AND letters >= characters * 0.6 AS passes FROM n""")
+def embedded_text_gate(spark, d):
+    return pdf_text.quality_gate(V.glyphs(spark, d), ["page"])
+
+
+@query()
+def embedded_text_auto(spark, d):
+    return pdf_text.select_lines(V.glyphs(spark, d), ["page"], "Auto", 400.0, 400.0)
+
+
+@query()
+def hybrid_fusion(spark, d):
+    native = pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"])
+    visual = native.withColumns({"text": F.when(F.col("line_index") % 3 == 0, F.upper("text")).otherwise(F.col("text")), "min_x": F.col("min_x") + 2, "confidence": F.lit(0.9)})
+    return pdf_text.fuse(native, visual, ["page"], 400.0, 1000.0)
+
+
+@query()
+def searchable_text(spark, d):
+    return pdf_text.searchable_content(pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"]), ["page"], 1000.0)
+
+
+@query()
+def layout_text(spark, d):
+    return render.layout_text(V.lines(spark, d), DOC)
+
+
+@query()
+def reading_text(spark, d):
+    return render.reading_text(V.lines(spark, d), DOC)
+
+
+@query()
+def block_text(spark, d):
+    return render.assemble_blocks(V.lines(spark, d), DOC)
+
+
+@query("SELECT page_id, html AS shown FROM pages")
+def display_order(spark, d):
+    return V.read(spark, d, "pages").select("page_id", render.display_ordered(F.col("html")).alias("shown"))
+
+
+def _tables(spark, d):
+    """Tables of three columns from orders, five rows each."""
+    o = V.read(spark, d, "orders").withColumn("t", F.floor(F.col("o_orderkey") / 5))
+    row = F.concat(F.lit("<tr><td>"), "o_orderkey", F.lit("</td><td>"), "o_orderpriority", F.lit("</td><td>"), "o_orderstatus", F.lit("</td></tr>"))
+    g = o.groupBy("t").agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r"))))["r"], "").alias("rows"))
+    return g.select(F.col("t").alias("table_id"), F.concat(F.lit("<table>"), "rows", F.lit("</table>")).alias("table_html"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey // 5 AS table_id, row_number() OVER (PARTITION BY o_orderkey // 5 ORDER BY o_orderkey) - 1 AS r, [CAST(o_orderkey AS VARCHAR), o_orderpriority, o_orderstatus] AS c FROM orders)
+SELECT table_id, CAST(r AS INTEGER) AS row, CAST(i - 1 AS INTEGER) AS col, 1 AS row_span, 1 AS col_span, c[i] AS text, false AS header FROM o, generate_series(1, 3) g(i)""")
+def table_cells(spark, d):
+    return tables.table_cells(_tables(spark, d), ["table_id"])
+
+
+@query()
+def export_html(spark, d):
+    b = V.blocks(spark, d).withColumns({"table_html": F.lit(None).cast("string"), "latex": F.lit(None).cast("string")})
+    return html.page_html(b, ["doc_id", "page_number"])
+
+
+@query()
+def export_docx(spark, d):
+    return office.docx(V.blocks(spark, d)).select("doc_id", F.length("docx").alias("bytes"), F.sha2("docx", 256).alias("sha256"))
+
+
+@query()
+def export_xlsx(spark, d):
+    return office.xlsx(V.blocks(spark, d)).select("doc_id", F.length("xlsx").alias("bytes"), F.sha2("xlsx", 256).alias("sha256"))
+
+
+@query()
+def office_round_trip(spark, d):
+    """Documents written as DOCX and read again."""
+    return office_source.office_blocks(office.docx(V.blocks(spark, d)).select(F.col("doc_id").cast("string").alias("path"), F.col("docx").alias("content")))
+
+
+@query("""
+SELECT c_custkey, CAST(least(i * 3616, greatest(w - 4000, 0)) AS INTEGER) AS start, least(w, 4000) AS length
+FROM (SELECT c_custkey, CAST(1000 + c_custkey * 13 AS INTEGER) AS w FROM customer), generate_series(0, 20) g(i) WHERE i <= greatest(0, ceil((w - 4000) / 3616.0))""")
+def tile_plan(spark, d):
+    c = V.read(spark, d, "customer")
+    return c.select("c_custkey", F.explode(detection.tile_plan((1000 + F.col("c_custkey") * 13).cast("int"), F.lit(4000))).alias("t")).select("c_custkey", "t.*")
+
+
+@query()
+def detect_boxes(spark, d):
+    """Boxes of maps of 8 x 8 that the embeddings make."""
+    m = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), F.transform("embedding", lambda v: F.abs(v) * 5).alias("prob"), F.lit(8).alias("width"))
+    return detection.detect_boxes(m, min_size=1, box=0.3)
+
+
+@query(f"""
+WITH {V.LINES_SQL}, r AS (SELECT doc_id, ['latin','chinese','greek'][line_index % 3 + 1] AS pack, line_index % 3 AS pack_order, avg(confidence) AS confidence FROM v_lines GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pack_order) AS rk FROM r),
+f AS (SELECT doc_id, max(CASE WHEN rk = 1 AND pack IN ('latin','chinese') AND confidence >= 0.5 THEN confidence END) AS fast, arg_max(pack, {{'c': confidence, 'o': -pack_order}}) AS best, max(confidence) AS top, arg_min(pack, pack_order) AS first FROM k GROUP BY doc_id)
+SELECT doc_id, CASE WHEN fast IS NOT NULL THEN first ELSE best END AS pack, round(coalesce(fast, top), 6) AS confidence, fast IS NOT NULL AS fast_path FROM f""")
+def route_language(spark, d):
+    i = F.col("line_index") % 3
+    r = V.lines(spark, d).groupBy("doc_id", F.element_at(F.array(F.lit("latin"), F.lit("chinese"), F.lit("greek")), (i + 1).cast("int")).alias("pack"), i.alias("pack_order")).agg(F.avg("confidence").alias("confidence"))
+    return _rounded(evaluate.route_language(r, DOC, fast=0.5), "confidence")
+
+
+@query("""
+SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def windowed_events(spark, d):
+    e = incremental.windowed_counts(V.read(spark, d, "events"))
+    return e.withColumn("total", F.round("total", 4))
+
+
+@query(f"""
+WITH {V.LINES_SQL}, h AS (SELECT doc_id, median(max_y - min_y) AS h, count(*) AS n, sum(CASE WHEN confidence < 0.85 THEN 1 ELSE 0 END) AS low, sum(confidence * greatest(1, {_COUNT})) / sum(greatest(1, {_COUNT})) AS w FROM v_lines GROUP BY doc_id)
+SELECT doc_id, list_sort(list_filter([CASE WHEN low > 0 THEN 'low-confidence-lines' END, CASE WHEN w < 0.85 THEN 'low-confidence-page' END], lambda x: x IS NOT NULL)) AS reasons FROM h""")
+def review_reasons(spark, d):
+    lines = V.lines(spark, d)
+    return quality.review_reasons(lines.select("doc_id").distinct(), lines, DOC)
