@@ -17,17 +17,17 @@ def _int(value: Column) -> Column:
 
 def word_rows(lines: DataFrame, keys: list[str], line_id: str = "line_index") -> DataFrame:
     """keys, line number and word number from 1 on, word, box, confidence: a line's width is dealt in proportion to characters."""
-    w = words(F.col("text"))
-    total = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    base = lines.filter(~is_blank(F.col("text"))).withColumns({"_w": w, "_t": total})
+    none = F.array().cast("array<struct<word:string,before:int>>")
+    step = lambda a, w: F.struct((a["n"] + F.length(w)).alias("n"), F.array_append(a["out"], F.struct(w.alias("word"), a["n"].alias("before"))).alias("out"))
+    placed = F.aggregate(words(F.col("text")), F.struct(F.lit(0).alias("n"), none.alias("out")), step)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(line_id))
-    base = lines.select(*keys, line_id, number.alias("line_num")).join(base, [*keys, line_id])
-    out = base.select(*keys, "line_num", "confidence", "min_x", "min_y", "max_x", "max_y", "_w", "_t", F.posexplode("_w").alias("_i", "word"))
-    before = F.aggregate(F.slice("_w", F.lit(1), F.col("_i")), F.lit(0), lambda a, x: a + F.length(x))
+    base = lines.withColumn("line_num", number).filter(~is_blank(F.col("text")))
+    base = base.select(*keys, "line_num", "confidence", "min_x", "min_y", "max_x", "max_y", placed.alias("_p"))
+    out = base.select(*keys, "line_num", "confidence", "min_x", "min_y", "max_x", "max_y", F.col("_p.n").alias("_t"), F.size("_p.out").alias("_n"), F.posexplode("_p.out").alias("_i", "_w"))
     unit = (F.col("max_x") - F.col("min_x")) / F.col("_t")
-    left, one = F.col("min_x") + before * unit, F.size("_w") == 1
-    right = F.when(one, F.col("max_x")).otherwise(F.col("min_x") + (before + F.length("word")) * unit)
-    return out.select(*keys, "line_num", (F.col("_i") + 1).alias("word_num"), "word", left.alias("min_x"), "min_y", right.alias("max_x"), "max_y", "confidence")
+    before = F.col("_w.before")
+    right = F.when(F.col("_n") == 1, F.col("max_x")).otherwise(F.col("min_x") + (before + F.length("_w.word")) * unit)
+    return out.select(*keys, "line_num", (F.col("_i") + 1).alias("word_num"), F.col("_w.word").alias("word"), (F.col("min_x") + before * unit).alias("min_x"), "min_y", right.alias("max_x"), "max_y", "confidence")
 
 
 def tsv(lines: DataFrame, keys: list[str], line_id: str = "line_index") -> DataFrame:

