@@ -30,7 +30,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links of at most 3 differing fingerprint bits connect, keeps the row with the smallest doc_id."""
+    """Of texts that links connect, keeps the row with the smallest doc_id.
+
+    Links are those of op8 (three words, 3 of 64 bits) and those of five-word shingles with a similarity of 0.8 or more,
+    found by 512-bit fingerprints.
+    """
     return drop_near_duplicates(docs)
 
 

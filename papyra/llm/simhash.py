@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -21,21 +21,43 @@ BLOCK = 4096
 #: Distinct fingerprints up to which 4 tables of 16-bit keys serve; above, 16 tables of 28-bit keys.
 FLAT_LIMIT = 1 << 22
 SEED = 42
+#: Words of a wide fingerprint, bits by which two may differ, and those of its word 6 alone; tables and bits of their keys.
+#: Texts whose five-word shingles have a Jaccard similarity of 0.8 differ by 77 of 512 bits, give or take 8.
+WIDE, WIDE_RADIUS, WORD_RADIUS, TABLES, KEY_BITS = 8, 92, 15, 24, 14
+_SALTS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def simhash(text: str, width: int = 3) -> int:
-    """Fingerprint of one text: bit b is 1 if it is set in over half the shingles' XXH64."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, n, 16384):
-        part = np.unpackbits(hashes[i : i + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += part.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(words) - width + 1))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words, the words whose bits are set in over half of the rows. Sums of 255 rows fit a byte."""
+    n, k = hashes.shape
+    counts = np.zeros(64 * k, np.int64)
+    for i in range(0, n, 255):
+        some = np.ascontiguousarray(hashes[i : i + 255]).view(np.uint8).reshape(-1, 8 * k)
+        counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, bitorder="little").view("<u8")
+
+
+def simhash(text: str, width: int = 3) -> int:
+    """Fingerprint of one text: bit b is 1 if it is set in over half the shingles' XXH64."""
+    hashes = shingle_hashes(text, width)
+    return int(majority(hashes[:, None])[0]) if len(hashes) else 0
+
+
+def wide_simhash(text: str, width: int = 5) -> np.ndarray:
+    """512 bits as eight words, likewise, from eight mixes of each shingle's hash."""
+    h = shingle_hashes(text, width)[:, None] + _SALTS
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(h ^ (h >> np.uint64(31))) if len(h) else np.zeros(WIDE, np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -108,24 +130,53 @@ def close_pairs(fp: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int
         at = stop
 
 
-def spanning_links(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what close_pairs connects, at most one for each row: (row's fingerprint, its group's smallest)."""
-    n = len(fp)
+def _ends(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    last = np.repeat(np.r_[edge[1:], n], np.diff(np.r_[edge, n]))
-    label = np.arange(n)
-    for i, j in close_pairs(fp, edge, last, radius):
+    return edge, np.repeat(np.r_[edge[1:], len(bucket)], np.diff(np.r_[edge, len(bucket)]))
+
+
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the groups of each pair are one, with the smallest row as its label."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def spanning_links(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what close_pairs connects in buckets, at most one for each row: (fingerprint, that of its group's first row)."""
+    label = np.arange(len(fp))
+    for i, j in close_pairs(fp, *_ends(bucket), radius):
+        label = _join(label, i, j)
+    tied = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[tied], fp[label[tied]]
+
+
+def spanning_pairs(words: np.ndarray, bucket: np.ndarray, radius: int, word: int = 6, word_radius: int = WORD_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows at most radius bits apart over all words that connect what all such pairs connect: of groups, the nearest pairs.
+
+    Groups of a bucket take their nearest pair to another group and join, and again, so pairs stay about as few as rows.
+    """
+    label, out = np.arange(words.shape[1]), [[], []]
+    for i, j in close_pairs(words[word], *_ends(bucket), word_radius):
+        apart = np.bitwise_count(words[:, i] ^ words[:, j]).sum(axis=0, dtype=np.int32)
+        near = apart <= radius
+        i, j, apart = i[near], j[near], apart[near]
         while True:
-            a, b = label[i], label[j]
-            if (a == b).all():
+            open_ = label[i] != label[j]
+            i, j, apart = i[open_], j[open_], apart[open_]
+            if not len(i):
                 break
-            low = np.minimum(a, b)
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            while (label[label] != label).any():
-                label = label[label]
-    tied = np.flatnonzero(label != np.arange(n))
-    return fp[tied], fp[label[tied]]
+            order = np.argsort(apart, kind="stable")
+            pick = order[np.unique(label[i[order]], return_index=True)[1]]
+            out[0].append(i[pick]), out[1].append(j[pick])
+            label = _join(label, i[pick], j[pick])
+    return tuple(np.concatenate(x) if x else np.zeros(0, int) for x in out)
 
 
 def _keys(nested: bool) -> list:
@@ -151,43 +202,96 @@ def _keys(nested: bool) -> list:
     return out
 
 
-def links(distinct: DataFrame, count: int, block: int = BLOCK, flat_limit: int = FLAT_LIMIT) -> DataFrame:
-    """(u, v): links that connect all distinct fingerprints within the radius.
+def _meet(keyed: DataFrame, columns: list[str], block: int, solve: Callable) -> DataFrame:
+    """(u, v) from solve(columns' arrays, bucket numbers) over all rows of a key.
 
-    No pair further apart is compared unless it shares a key; a bucket above `block` rows is dealt into blocks that
-    meet pairwise, so no task holds more than two blocks of a bucket, whatever the bucket's size.
+    A bucket above `block` rows is dealt into blocks that meet pairwise, so no task holds more than two blocks of a
+    bucket, whatever the bucket's size.
     """
-    keyed = distinct.select("fp", F.explode(F.array(*_keys(count > flat_limit))).alias("key"))
     big = keyed.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     big = table(big, "big-buckets")
-    dealt = keyed.join(maybe_broadcast(big), "key", "left").withColumn("mine", F.expr("cast(pmod(xxhash64(fp), coalesce(blocks, 1)) as int)"))
+    dealt = keyed.join(maybe_broadcast(big), "key", "left").withColumn("mine", F.pmod(F.xxhash64(*columns), F.coalesce("blocks", F.lit(1))).cast("int"))
     meets = F.expr("transform(sequence(0, coalesce(blocks, 1) - 1), x -> struct(least(x, mine) as i, greatest(x, mine) as j))")
-    dealt = dealt.select("fp", "key", F.explode(meets).alias("pair")).select("fp", "key", "pair.i", "pair.j")
+    dealt = dealt.select(*columns, "key", F.explode(meets).alias("pair")).select("key", "pair.i", "pair.j", *columns)
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(cols):
-            key, i, j, fp = cols
+        def solved(cols):
+            key, i, j = cols[:3]
             change = np.r_[False, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-            u, v = spanning_links(fp.view(np.uint64), np.cumsum(change))
+            u, v = solve(cols[3:], np.cumsum(change))
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         held = None
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "fp")]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + len(columns))]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-            key, i, j, _ = held
+            key, i, j = held[:3]
             same = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
             cut = len(key) - int(same.sum())
             if cut:
-                yield solve([x[:cut] for x in held])
+                yield solved([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
-            yield solve(held)
+            yield solved(held)
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def links(distinct: DataFrame, count: int, block: int = BLOCK, flat_limit: int = FLAT_LIMIT) -> DataFrame:
+    """(u, v): links that connect all distinct fingerprints within the radius; two that are share a key of some table."""
+    keyed = distinct.select("fp", F.explode(F.array(*_keys(count > flat_limit))).alias("key"))
+    return _meet(keyed, ["fp"], block, lambda cols, bucket: spanning_links(cols[0].view(np.uint64), bucket))
+
+
+def wide_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
+    """(u, v): links between ids of texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates share 14 bits of one of 24 places of a 512-bit fingerprint. Word 6, of which no place is part, is compared
+    by bit slices, then all words where it differs in 15 bits or fewer. Of each bucket the nearest pairs that connect its
+    groups are held against the texts' shingles. Equal fingerprints are compared with one of them. Rows with a null id
+    and texts without words take no part.
+    """
+    slim = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
+    names = [f"w{i}" for i in range(WIDE)]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "text"):
+            w = np.array([wide_simhash(t, width) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WIDE))], ["doc_id", *names])
+
+    fps = table(slim.mapInArrow(prints, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "wide-fingerprints").filter(" or ".join(f"{n} <> 0" for n in names))
+    distinct = table(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")), "wide-distinct")
+    equal = fps.join(distinct, names).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    places = 64 // KEY_BITS
+    keys = [F.expr(f"{t << KEY_BITS} + cast(shiftrightunsigned(w{t // places}, {KEY_BITS * (t % places)}) & {(1 << KEY_BITS) - 1} as int)") for t in range(TABLES)]
+
+    def solve(cols, bucket):
+        a, b = spanning_pairs(np.array([c.view(np.uint64) for c in cols[1:]]), bucket, radius)
+        return cols[0][a], cols[0][b]
+
+    found = _meet(distinct.select("rep", *names, F.explode(F.array(*keys)).alias("key")), ["rep", *names], block, solve)
+    pairs = table(equal.union(found).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "wide-pairs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary())], ["doc_id", "s"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    ids = table(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wide-ids")
+    some = table(slim.join(maybe_broadcast(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "shingle-sets")
+    left, right = (some.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "uv")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(similar, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, block: int = BLOCK, flat_limit: int = FLAT_LIMIT) -> DataFrame:
     """(id, fingerprint, component_id): one row for each row of docs.
 
@@ -206,9 +310,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(id, component_id): near_duplicates' components joined further by wide_links, for texts of similarity 0.8 or more.
+
+    component_id is the smallest id reached. Null ids are as in near_duplicates.
+    """
+    near = table(near_duplicates(docs, id_col, text_col, block=block).select(F.col(id_col).alias("id"), "component_id"), "near")
+    tied = near.filter("id <> component_id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+    roots = connected_components(tied.union(wide_links(docs, id_col, text_col, block=block)))
+    out = near.join(roots, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("root", "component_id").alias("component_id"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each component, the one of the smallest id; columns as they were. Rows with a null id stay."""
-    near = near_duplicates(docs, id_col, text_col, **options)
+    """docs with one document of each component of similar_documents, the one of the smallest id; columns as they were. Rows with a null id stay."""
+    near = similar_documents(docs, id_col, text_col, **options)
     gone = table(near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), "near-copies")
     return docs.join(maybe_broadcast(gone), docs[id_col] == gone["_gone"], "left_anti")
 

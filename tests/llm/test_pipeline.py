@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as P
 from papyra.llm.quality import fit_quality, graded_labels, score_quality
 from papyra.llm.secrets_scan import redact
-from papyra.llm.simhash import simhash
+from papyra.llm.simhash import shingle_hashes, simhash
 
 D = "/root/testdata/sf0.001"
 
@@ -21,9 +21,12 @@ def test_against_plain_version(spark):
             seen.add(t)
             kept[i] = t
     prints = {i: simhash(t) for i, t in kept.items()}
+    sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in kept.items()}
+    same = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0
+    close = {i: [j for j in kept if same(i, j)] for i in kept}
     group = {i: i for i in kept}
     for _ in kept:
-        new = {i: min(group[j] for j in kept if (prints[i] ^ prints[j]).bit_count() <= 3) for i in kept}
+        new = {i: min(group[j] for j in close[i]) for i in kept}
         if new == group:
             break
         group = new

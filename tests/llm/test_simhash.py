@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from papyra.llm.components import connected_components
-from papyra.llm.simhash import close_pairs, drop_near_duplicates, near_duplicates, simhash, spanning_links
+from papyra.llm.simhash import close_pairs, drop_near_duplicates, near_duplicates, shingle_hashes, similar_documents, simhash, spanning_links, wide_simhash
 
 
 def slow_hash(text):
@@ -92,3 +92,46 @@ def test_components_of_a_long_chain(spark):
     chain = spark.range(300).selectExpr("id as u", "id + 1 as v").union(spark.createDataFrame([(1000, 1000), (2000, 1999)], "u long, v long"))
     got = {r.id: r.root for r in connected_components(chain).collect()}
     assert got == {i: 0 for i in range(301)} | {2000: 1999, 1999: 1999}
+
+
+def jaccard(a, b):
+    a, b = set(shingle_hashes(a, 5).tolist()), set(shingle_hashes(b, 5).tolist())
+    return len(a & b) / len(a | b)
+
+
+def test_wide_bits_follow_similarity():
+    assert (wide_simhash("") == 0).all()
+    rnd = random.Random(1)
+    text = [rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randrange(99)) for _ in range(3000)]
+    other = [w if rnd.random() > 0.02 else "x" for w in text]
+    a, b = " ".join(text), " ".join(other)
+    bits = int(np.bitwise_count(wide_simhash(a) ^ wide_simhash(b)).sum())
+    j = jaccard(a, b)
+    assert abs(bits - 512 * np.arccos(2 * j / (1 + j)) / np.pi) < 35
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_similar_documents_are_found(spark, block):
+    """Copies with a similarity of 0.8 or more go, and unrelated texts and those that share a passage stay."""
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    passage = [word() for _ in range(60)]
+    rows, want = [], {}
+    for g in range(40):
+        base = [word() for _ in range(300)] + passage * (g % 2)
+        rows.append((100 * g, " ".join(base)))
+        want[100 * g] = {100 * g}
+        for k in range(1, 4):
+            t = list(base)
+            for at in rnd.sample(range(300), 1 + g % 5):
+                t[at] = word()
+            rows.append((100 * g + k, " ".join(t)))
+            want[100 * g].add(100 * g + k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r.doc_id: r.component_id for r in similar_documents(docs, block=block).collect()}
+    pairs = [(a, b) for ids in want.values() for a in ids for b in ids if a < b and jaccard(text[a], text[b]) >= 0.8]
+    assert len(pairs) > 100 and sum(got[a] == got[b] for a, b in pairs) / len(pairs) > 0.97
+    assert all(got[i] in want[i // 100 * 100] for i in got)
+    for i, c in got.items():  # none goes without a similar text in its component
+        assert i == c or any(got[j] == c and (jaccard(text[i], text[j]) >= 0.8 or (simhash(text[i]) ^ simhash(text[j])).bit_count() <= 3) for j in want[i // 100 * 100] - {i})
