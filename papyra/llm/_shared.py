@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,17 +48,16 @@ def text_or_empty(df: DataFrame, col: str) -> Column:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, chars: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Cuts record batches into runs of rows with about so many characters, with the texts of each run."""
+    """Cuts record batches into runs of rows with about so many bytes of text, with the texts of each run; only these are Python objects."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        start, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= chars:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + chars, "right")))
+            yield batch.slice(start, stop - start), texts.slice(start, stop - start).to_pylist()
+            start = stop
 
 
 _kept: dict = {}

@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import pieces, shared_dir, table, text_or_empty
+from papyra.llm._shared import kept, pieces, shared_dir, table, text_or_empty
 from papyra.llm.chunks import encoder
 from papyra.llm.elias_fano import EliasFano
 
@@ -24,7 +24,9 @@ _HEAD = struct.Struct("<8sBQQQqQQ")
 #: Ids of a file, about; a document is never split.
 FILE_IDS = 2_000_000
 #: Documents of a range of ids, about, and the most ranges; larger ranges just make more files.
-RANGE_DOCS, MOST_RANGES = 2048, 8192
+RANGE_DOCS, MOST_RANGES = 4096, 8192
+#: Files that a task reads, one after the other.
+TASK_FILES = 8
 MANIFEST = "range int, part int, path string, docs long, ids long"
 
 
@@ -78,6 +80,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), keys, pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())], ["range", "doc_id", "ids", "width"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("token files", dict)  # frees what the worker kept for encoding
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         held_ids, held, size, at, part, width = [], [], 0, None, 0, 2
@@ -112,6 +115,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("token files", dict)  # frees what the worker kept for encoding
         store, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -123,8 +127,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + start), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     slim = table(manifest.select("path", "start"), "starts")
-    files = max(1, min(2048, slim.count()))
-    return slim.repartition(files, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return slim.repartition(-(-slim.count() // TASK_FILES) or 1).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
