@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from papyra.export import formats, html, markdown, office
+from papyra.export import formats, html, markdown, office, pdf
 from papyra.functions import geometry as G
 from papyra.functions import numbers as N
 from papyra.functions import render
@@ -779,3 +779,10 @@ SELECT doc_id, list_sort(list_filter([CASE WHEN low > 0 THEN 'low-confidence-lin
 def review_reasons(spark, d):
     lines = V.lines(spark, d)
     return quality.review_reasons(lines.select("doc_id").distinct(), lines, DOC)
+
+
+@query()
+def searchable_pdf(spark, d):
+    """A file for each benchmark text's page."""
+    lines = pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"]).withColumn("page_number", F.lit(1))
+    return pdf.searchable_pdf(lines, "page", "page_number", "line_index", 400.0, 1000.0).select("page", F.length("pdf").alias("bytes"), F.sha2("pdf", 256).alias("sha256"))
