@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of (key, id) that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 400_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -43,7 +45,16 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows: texts may be long, and both the JVM and the worker hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_or_empty(df: DataFrame, col: str) -> Column:
+    """The text column for an operator, nulls as empty texts."""
+    small_batches(df.sparkSession)
     return F.coalesce(df[col].cast("string"), F.lit(""))
 
 

@@ -23,7 +23,7 @@ from papyra.llm._shared import kept
 #: Between two characters that are not white space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks kept in a worker's memory; at more, it starts anew.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 250_000
 #: Letters that neither lower case nor composition joins to others, up to an ASCII character that is no letter or the end.
 _HEAD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import kept, pieces, text_or_empty
+from papyra.llm._shared import kept, pieces, small_batches, text_or_empty
 
 #: Buckets of hashed words, after them of hashed shapes, and then of lengths with shares of different words.
 WORDS, SHAPES, REPEATS = 1 << 18, 1 << 12, 11 * 41
@@ -21,7 +21,7 @@ WORDS, SHAPES, REPEATS = 1 << 18, 1 << 12, 11 * 41
 SAMPLE_DOCS, LEAST_DOCS, ROUNDS, DECAY = 6000, 8, 600, 1e-5
 #: Standard deviations by which a feature must differ between grades to get a weight.
 LEAST_Z = 5.0
-MOST_CHUNKS = 200_000
+MOST_CHUNKS = 150_000
 _RULES = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a"), (re.compile(r"\d+"), lambda m: "0"), (re.compile(r"(.)\1+"), lambda m: m[1] * 2)]
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -196,6 +196,7 @@ def keep_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text", l
                 batch = batch.filter(pa.array(model.tails(score)[:, -1] >= least))
             yield batch
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import pieces, text_or_empty
+from papyra.llm._shared import pieces, small_batches, text_or_empty
 
 #: Kinds, in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex")
@@ -251,6 +251,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 cols[k] = pa.array([n if c == t else len(c) for n, c, t in zip(old, clean, texts)], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -227,6 +227,8 @@ def _meet(keyed: DataFrame, columns: list[str], block: int, solve: Callable) ->
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + len(columns))]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
             key, i, j = held[:3]
+            if len(key) < 16384:
+                continue
             same = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
             cut = len(key) - int(same.sum())
             if cut:
