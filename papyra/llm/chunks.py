@@ -142,6 +142,6 @@ class ChunkEncoder:
         return list(map(self._text, texts))
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, most_chunks: int = MOST_CHUNKS) -> ChunkEncoder:
     """The worker's own encoder of the file, kept between tasks."""
-    return kept(("chunks", path), lambda: ChunkEncoder(path))
+    return kept(("chunks", path, most_chunks), lambda: ChunkEncoder(path, most_chunks))

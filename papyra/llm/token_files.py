@@ -25,6 +25,8 @@ _HEAD = struct.Struct("<8sBQQQqQQ")
 FILE_IDS = 2_000_000
 #: Documents of a range of ids, about, and the most ranges; larger ranges just make more files.
 RANGE_DOCS, MOST_RANGES = 4096, 8192
+#: Chunks kept by a worker: more than for other work, as encoding is nearly all there is to do here.
+CHUNKS = 400_000
 #: Files that a task reads, one after the other.
 TASK_FILES = 8
 MANIFEST = "range int, part int, path string, docs long, ids long"
@@ -70,7 +72,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, CHUNKS)
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for batch, texts in pieces(batches, "text", 4_000_000):
             keys = batch.column(0)
