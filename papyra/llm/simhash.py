@@ -24,6 +24,8 @@ SEED = 42
 #: Words of a wide fingerprint, bits by which two may differ, and those of its word 6 alone; tables and bits of their keys.
 #: Texts whose five-word shingles have a Jaccard similarity of 0.8 differ by 77 of 512 bits, give or take 8.
 WIDE, WIDE_RADIUS, WORD_RADIUS, TABLES, KEY_BITS = 8, 92, 15, 24, 14
+#: Documents whose shingles are counted to put common shingles last, how many of these are told to workers, and words of a set's bitmap.
+SAMPLE_DOCS, COMMON, MAP = 4000, 200_000, 8
 _SALTS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -246,15 +248,37 @@ def links(distinct: DataFrame, count: int, block: int = BLOCK, flat_limit: int =
     return _meet(keyed, ["fp"], block, lambda cols, bucket: spanning_links(cols[0].view(np.uint64), bucket))
 
 
+def _verified(slim: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have the similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary())], ["doc_id", "s"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    ids = table(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wide-ids")
+    some = table(slim.join(maybe_broadcast(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "shingle-sets")
+    left, right = (some.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "uv")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(similar, "u long, v long")
+
+
 def wide_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
     """(u, v): links between ids of texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
     Candidates share 14 bits of one of 24 places of a 512-bit fingerprint. Word 6, of which no place is part, is compared
     by bit slices, then all words where it differs in 15 bits or fewer. Of each bucket the nearest pairs that connect its
     groups are held against the texts' shingles. Equal fingerprints are compared with one of them. Rows with a null id
-    and texts without words take no part.
+    and texts without words take no part. These are most links of large groups, not all: exact_links finds the rest.
     """
-    slim = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
+    slim = _slim(docs, id_col, text_col)
     names = [f"w{i}" for i in range(WIDE)]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,23 +299,118 @@ def wide_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _meet(distinct.select("rep", *names, F.explode(F.array(*keys)).alias("key")), ["rep", *names], block, solve)
     pairs = table(equal.union(found).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "wide-pairs")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _verified(slim, pairs, width, similarity)
+
+
+def rare_first(s: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The set in the order of its prefixes: shingles that are not common by their hash, then common ones by their place. Any order is right if it's the same for all sets."""
+    if not len(common):
+        return s
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    place = np.where(common[at] == s, places[at], -1)
+    return s[np.lexsort((s, place))]
+
+
+def set_bitmap(s: np.ndarray) -> np.ndarray:
+    """Of MAP words, the bits that an odd number of the set's shingles fall on: two sets differ in no fewer shingles than their bitmaps in bits."""
+    spread = (s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)  # 9 bits: MAP * 64 places
+    return np.packbits(np.bincount(spread.astype(np.int64), minlength=64 * MAP) & 1, bitorder="little").view("<u8")
+
+
+def apart_pairs(label: np.ndarray, size: np.ndarray, maps: np.ndarray, bucket: np.ndarray, similarity: float, budget: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of a bucket with different labels, but those whose sizes or bitmaps rule the similarity out."""
+    edge, _ = _ends(bucket)
+    if not len(edge):
+        return np.zeros(0, int), np.zeros(0, int)
+    mixed = np.minimum.reduceat(label, edge) != np.maximum.reduceat(label, edge)
+    rows = np.flatnonzero(np.repeat(mixed, np.diff(np.r_[edge, len(bucket)])))
+    rows = rows[np.lexsort((size[rows], bucket[rows]))]
+    b, n = bucket[rows].astype(np.int64), size[rows].astype(np.int64)
+    most = np.minimum(np.floor(n / similarity + 1e-9).astype(np.int64), (1 << 31) - 1)
+    spans = np.searchsorted(b << 31 | n, b << 31 | most, "right") - np.arange(len(rows)) - 1
+    ends, out, at = np.cumsum(spans), [[], []], 0
+    while at < len(rows):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + budget, "right")))
+        i = np.repeat(np.arange(at, stop), spans[at:stop])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[at:stop] - spans[at:stop] - done, spans[at:stop])
+        i, j = rows[i], rows[j]
+        some = label[i] != label[j]
+        i, j = i[some], j[some]
+        bits = np.zeros(len(i), np.int64)
+        for m in maps:
+            bits += np.bitwise_count(m[i] ^ m[j])
+        some = bits <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-6
+        out[0].append(i[some]), out[1].append(j[some])
+        at = stop
+    return tuple(np.concatenate(x) if x else np.zeros(0, int) for x in out)
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
+
+
+def _common_shingles(slim: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least two of about SAMPLE_DOCS documents, ascending, and their places from the rarest on: only an order, no shingle is left out."""
+    n = slim.count()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(shingle_hashes(t, width)) for t in texts]).view(np.int64))], ["h"])
+
+    some = slim.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n))) < SAMPLE_DOCS).mapInArrow(each, "h long")
+    top = some.groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, c = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(h)
+    return h[order], np.argsort(np.lexsort((h, c)))[order].astype(np.int32)
+
+
+def exact_links(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(u, v): all links between ids of texts with a Jaccard similarity of `similarity` or more and different labels (id, label; else the id).
+
+    Two such sets share one of the first n - ceil(similarity * n) + 1 shingles of each, in any common order; with
+    common shingles last, few texts meet. No pair stands for another: each that sizes and bitmaps allow is held
+    against the shingles. Texts of equal sets are compared as one of them and linked with it.
+    """
+    slim = _slim(docs, id_col, text_col)
+    common, places = _common_shingles(slim, width)
+    names = [f"w{i}" for i in range(MAP)]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary())], ["doc_id", "s"])
+            hashes, sizes, maps, keys = [], [], [], []
+            for t in texts:
+                s = np.unique(shingle_hashes(t, width))
+                n = len(s)
+                hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(n)
+                maps.append(set_bitmap(s))
+                keys.append(rare_first(s, common, places)[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64))
+            w = np.array(maps, np.uint64).reshape(-1, MAP).view(np.int64)
+            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(MAP)), lists], ["doc_id", "same", "size", *names, "keys"])
+
+    sets = slim.mapInArrow(prefixes, "doc_id long, same binary, size int, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>").filter("size > 0")
+    sets = table(sets, "set-prefixes")
+    reps = table(sets.groupBy("same").agg(F.min("doc_id").alias("rep")), "set-reps")
+    equal = sets.select("doc_id", "same").join(reps, "same").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    first = reps.select("same", F.col("rep").alias("doc_id"))
+    keyed = table(sets.select("doc_id", "same", "keys").join(first, ["same", "doc_id"], "left_semi").select("doc_id", F.explode("keys").alias("key")), "set-keys")
+    shared = table(keyed.groupBy("key").count().filter("count > 1").select("key"), "shared-keys")
+    named = labels.select(F.col("id").alias("doc_id"), "label").groupBy("doc_id").agg(F.min("label").alias("label"))
+    facts = sets.drop("keys").join(first, ["same", "doc_id"], "left_semi").join(named, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("label", "doc_id").alias("label"), F.col("size").cast("long").alias("size"), *names)
+    facts = table(facts, "set-facts")
+    meeting = table(keyed.join(shared, "key").select("key", F.col("doc_id").alias("rep")).join(facts, "rep"), "meeting-sets")
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def solve(cols, bucket):
+        a, b = apart_pairs(cols[1], cols[2], [c.view(np.uint64) for c in cols[3:]], bucket, similarity)
+        pair = np.unique(np.stack([cols[0][a], cols[0][b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
 
-    ids = table(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wide-ids")
-    some = table(slim.join(maybe_broadcast(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "shingle-sets")
-    left, right = (some.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(similar, "u long, v long")
+    found = _meet(meeting, ["rep", "label", "size", *names], block, solve)
+    pairs = table(equal.union(found).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "exact-pairs")
+    return table(_verified(slim, pairs, width, similarity), "exact-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, block: int = BLOCK, flat_limit: int = FLAT_LIMIT) -> DataFrame:
@@ -313,13 +432,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, component_id): near_duplicates' components joined further by wide_links, for texts of similarity 0.8 or more.
+    """(id, component_id): near_duplicates' components joined further by all pairs of texts of similarity 0.8 or more.
 
+    wide_links join most of a group; what is still apart then is compared by exact_links, so no pair is missed.
     component_id is the smallest id reached. Null ids are as in near_duplicates.
     """
     near = table(near_duplicates(docs, id_col, text_col, block=block).select(F.col(id_col).alias("id"), "component_id"), "near")
     tied = near.filter("id <> component_id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
-    roots = connected_components(tied.union(wide_links(docs, id_col, text_col, block=block)))
+    known = table(tied.union(wide_links(docs, id_col, text_col, block=block)), "known-links")
+    groups = connected_components(known)
+    rest = exact_links(docs, groups.select("id", F.col("root").alias("label")), id_col, text_col, block=block)
+    roots = connected_components(known.union(rest)) if rest.head(1) else groups
     out = near.join(roots, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("root", "component_id").alias("component_id"))
 

@@ -135,3 +135,31 @@ def test_similar_documents_are_found(spark, block):
     assert all(got[i] in want[i // 100 * 100] for i in got)
     for i, c in got.items():  # none goes without a similar text in its component
         assert i == c or any(got[j] == c and (jaccard(text[i], text[j]) >= 0.8 or (simhash(text[i]) ^ simhash(text[j])).bit_count() <= 3) for j in want[i // 100 * 100] - {i})
+
+
+def slow_similar(rows):
+    """Smallest id of each id's component under similarity 0.8 or op8's distance, all pairs compared."""
+    sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in rows}
+    prints = {i: simhash(t) for i, t in rows}
+    near = {i: [j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0 or (prints[i] ^ prints[j]).bit_count() <= 3] for i in sets}
+    group = {i: i for i in sets}
+    while (new := {i: min(group[j] for j in near[i]) for i in sets}) != group:
+        group = new
+    return group
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_no_pair_hides_another(spark, block):
+    """Families of variants with similarities around 0.8, where many pairs fail."""
+    rnd = random.Random(7)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(104)]
+        for k in range(150):
+            t = list(base)
+            for at in rnd.sample(range(0, 104, 5), 2 + k % 2):
+                t[at] = f"x{rnd.randrange(10**9)}"
+            rows.append((1000 * g + k, " ".join(t)))
+    want = slow_similar(rows)
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == want and 3 < len(set(want.values())) < len(rows)
