@@ -55,8 +55,8 @@ def simhash(text: str, width: int = 3) -> int:
 
 
 def wide_simhash(text: str, width: int = 5) -> np.ndarray:
-    """512 bits as eight words, likewise, from eight mixes of each shingle's hash."""
-    h = shingle_hashes(text, width)[:, None] + _SALTS
+    """512 bits as eight words, likewise, from eight mixes of each different shingle's hash: repeats don't vote, as similarity is of sets."""
+    h = np.unique(shingle_hashes(text, width))[:, None] + _SALTS
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return majority(h ^ (h >> np.uint64(31))) if len(h) else np.zeros(WIDE, np.uint64)
@@ -317,6 +317,22 @@ def set_bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(spread.astype(np.int64), minlength=64 * MAP) & 1, bitorder="little").view("<u8")
 
 
+def scaled_bitmap(s: np.ndarray) -> bytes:
+    """set_bitmap of a power of two of bits, as many as shingles or more, for large sets; halves XORed give the smaller one."""
+    k = max(9, (len(s) - 1).bit_length())
+    spread = (s * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << k) - 1)
+    return np.packbits(np.bincount(spread.astype(np.int64), minlength=1 << k) & 1, bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two scaled bitmaps differ, the larger one folded."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def apart_pairs(label: np.ndarray, size: np.ndarray, maps: np.ndarray, bucket: np.ndarray, similarity: float, budget: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of rows of a bucket with different labels, but those whose sizes or bitmaps rule the similarity out."""
     edge, _ = _ends(bucket)
@@ -369,7 +385,7 @@ def exact_links(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """(u, v): all links between ids of texts with a Jaccard similarity of `similarity` or more and different labels (id, label; else the id).
 
     Two such sets share one of the first n - ceil(similarity * n) + 1 shingles of each, in any common order; with
-    common shingles last, few texts meet. No pair stands for another: each that sizes and bitmaps allow is held
+    common shingles last, few texts meet. No pair stands for another: each that sizes and bitmaps (bounds, never wrong) allow is held
     against the shingles. Texts of equal sets are compared as one of them and linked with it.
     """
     slim = _slim(docs, id_col, text_col)
@@ -378,20 +394,21 @@ def exact_links(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
-            hashes, sizes, maps, keys = [], [], [], []
+            hashes, sizes, maps, wide, keys = [], [], [], [], []
             for t in texts:
                 s = np.unique(shingle_hashes(t, width))
                 n = len(s)
                 hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(n)
                 maps.append(set_bitmap(s))
+                wide.append(scaled_bitmap(s))
                 keys.append(rare_first(s, common, places)[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64))
             w = np.array(maps, np.uint64).reshape(-1, MAP).view(np.int64)
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(MAP)), lists], ["doc_id", "same", "size", *names, "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(MAP)), pa.array(wide, pa.binary()), lists], ["doc_id", "same", "size", *names, "map", "keys"])
 
-    sets = slim.mapInArrow(prefixes, "doc_id long, same binary, size int, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>").filter("size > 0")
+    sets = slim.mapInArrow(prefixes, "doc_id long, same binary, size int, " + ", ".join(f"{n} long" for n in names) + ", map binary, keys array<long>").filter("size > 0")
     sets = table(sets, "set-prefixes")
     reps = table(sets.groupBy("same").agg(F.min("doc_id").alias("rep")), "set-reps")
     equal = sets.select("doc_id", "same").join(reps, "same").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
@@ -399,7 +416,7 @@ def exact_links(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     keyed = table(sets.select("doc_id", "same", "keys").join(first, ["same", "doc_id"], "left_semi").select("doc_id", F.explode("keys").alias("key")), "set-keys")
     shared = table(keyed.groupBy("key").count().filter("count > 1").select("key"), "shared-keys")
     named = labels.select(F.col("id").alias("doc_id"), "label").groupBy("doc_id").agg(F.min("label").alias("label"))
-    facts = sets.drop("keys").join(first, ["same", "doc_id"], "left_semi").join(named, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("label", "doc_id").alias("label"), F.col("size").cast("long").alias("size"), *names)
+    facts = sets.drop("keys", "map").join(first, ["same", "doc_id"], "left_semi").join(named, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("label", "doc_id").alias("label"), F.col("size").cast("long").alias("size"), *names)
     facts = table(facts, "set-facts")
     meeting = table(keyed.join(shared, "key").select("key", F.col("doc_id").alias("rep")).join(facts, "rep"), "meeting-sets")
 
@@ -409,7 +426,17 @@ def exact_links(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
 
     found = _meet(meeting, ["rep", "label", "size", *names], block, solve)
-    pairs = table(equal.union(found).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "exact-pairs")
+    found = table(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "bounded-pairs")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n, m, a, b = (c.to_pylist() for c in batch.columns)
+            keep = [bits_apart(x, y) <= (k + l) * (1 - similarity) / (1 + similarity) + 1e-6 for k, l, x, y in zip(n, m, a, b)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.col("map").alias(f"m{c}")) for c in "uv")
+    found = found.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(possible, "u long, v long")
+    pairs = table(equal.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(found).distinct(), "exact-pairs")
     return table(_verified(slim, pairs, width, similarity), "exact-links")
 
 

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from papyra.llm.components import connected_components
-from papyra.llm.simhash import close_pairs, drop_near_duplicates, near_duplicates, shingle_hashes, similar_documents, simhash, spanning_links, wide_simhash
+from papyra.llm.simhash import bits_apart, close_pairs, drop_near_duplicates, near_duplicates, scaled_bitmap, set_bitmap, shingle_hashes, similar_documents, simhash, spanning_links, wide_simhash
 
 
 def slow_hash(text):
@@ -163,3 +163,39 @@ def test_no_pair_hides_another(spark, block):
     want = slow_similar(rows)
     got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
     assert got == want and 3 < len(set(want.values())) < len(rows)
+
+
+def test_repeats_and_short_texts_are_found(spark):
+    """Sets decide: repeats of lines don't count, and texts of a few shingles are found as well."""
+    rnd = random.Random(11)
+    rows, n = [], 0
+
+    def add(*texts):
+        nonlocal n
+        for t in texts:
+            rows.append((n, " ".join(t)))
+            n += 1
+
+    for g in range(12):
+        base = [f"r{g}w{i}" for i in range(300)]
+        add(base, base + base[:45] * 6, base + base[:45] * 30)
+        short = [f"s{g}w{i}" for i in range(9)]
+        add(short, short[:8])
+        line = [f"l{g}w{i}" for i in range(30)]
+        add(line * 60 + [f"a{g}"], line * 80 + [f"b{g}"], line * 70 + [f"o{g}x{i}" for i in range(40)], line * 75 + [f"o{g}x{i}" for i in range(39)])
+    want = slow_similar(rows)
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    few, many = (" ".join(f"w{i}" for i in range(300)) + " a b c d e" * k for k in (3, 200))
+    assert (wide_simhash(few) == wide_simhash(many)).all()
+
+
+def test_bitmaps_never_rule_out_too_much():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 300, 513, 3000, 5000):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        for drop, new in ((0, 0), (n // 10, n // 10), (0, n // 5), (n // 2, n)):
+            b = np.unique(np.r_[a[drop:], r.integers(0, 2**63, new, dtype=np.uint64)])
+            apart = len(np.setxor1d(a, b))
+            assert bits_apart(scaled_bitmap(a), scaled_bitmap(b)) <= apart
+            assert np.bitwise_count(set_bitmap(a) ^ set_bitmap(b)).sum() <= apart
