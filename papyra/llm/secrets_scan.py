@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import zstandard
@@ -21,8 +23,10 @@ from papyra.llm._shared import pieces, small_batches, text_or_empty
 
 #: Kinds, in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex")
-#: Characters that the layers of a document may have in all beyond its own, and bytes that one region may unpack to.
-MOST_DECODED, MOST_UNPACKED = 16_000_000, 4_000_000
+#: Characters that may be decoded in a document: no bound, as layers are made one window at a time.
+MOST_DECODED = None
+#: Bytes unpacked at a time, characters of a window of unpacked text, and those after which a run without an end is cut and the document marked.
+PIECE, WINDOW, LONGEST_RUN = 1 << 18, 1 << 20, 1 << 25
 
 # fixed values: the patterns of the kinds; "a" keeps letter case to A-Z
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -32,6 +36,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: What no secret, escape or base64 run, wrapped ones too, has inside.
+_OUTSIDE = re.compile(r"""[^A-Za-z0-9+/_=%\\&#;{}.:"'\x20\t\r\n-]""")
 _HEX_DIGITS = re.compile(r"[0-9A-Fa-f]{4}")
 
 
@@ -114,90 +122,202 @@ def _escape(run: str):
     return [(b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be", "replace"), len(run))]
 
 
-def _unpack(data: bytes, most: int) -> bytes | None:
-    """Unpacked data of a known compressed form, at most so many bytes; None if it has none or is broken from the start."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, most)
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, most)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                return r.read(most)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        pass
-    return None
+def _form(head: bytes) -> str | None:
+    """The compressed form that the first bytes tell."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return "zlib"
+    return {b"BZh": "bz2", b"\xfd7z": "xz", b"\x28\xb5\x2f": "zstd"}.get(head[:3])
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and text.translate({9: 32, 10: 32, 13: 32}).isprintable() else None
+def _start(form: str):
+    if form in ("gzip", "zlib"):
+        return zlib.decompressobj(31 if form == "gzip" else 15)
+    return {"bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}[form]()
 
 
-def _base64_layers(layer: Layer, most: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        raw = m[0].rstrip("=")
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Unpacked data of all members, piece by piece; up to the first error if it is broken."""
+    data, form, d = b"", None, None
+    chunks = iter(chunks)
+    try:
+        while True:
+            if d is None:
+                while len(data) < 6 and (more := next(chunks, b"")):
+                    data += more
+                form = _form(data)
+                if form is None:
+                    return
+                d = _start(form)
+            if not data:
+                data = next(chunks, b"")
+                if not data:
+                    return
+            piece, data = (data[:256], data[256:]) if form == "zstd" else (data, b"")  # a zstd block of few bytes gives up to 128 KB
+            if form in ("gzip", "zlib"):
+                out = d.decompress(piece, PIECE)
+                data = d.unconsumed_tail
+                while not d.eof and len(out) == PIECE:
+                    yield out
+                    out = d.decompress(data, PIECE)
+                    data = d.unconsumed_tail
+                if out:
+                    yield out
+            elif form == "zstd":
+                if out := d.decompress(piece):
+                    yield out
+            else:
+                if out := d.decompress(piece, PIECE):
+                    yield out
+                while not d.eof and not d.needs_input:
+                    if out := d.decompress(b"", PIECE):
+                        yield out
+            if d.eof:
+                data, d = d.unused_data + data, None
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+        return
+
+
+def _opened(data: bytes) -> Iterator[bytes] | None:
+    """Unpacked data, compressed forms in compressed forms too; None if it has no such form."""
+    chunks, packed = iter([data]), False
+    for _ in range(64):
+        head = b""
+        while len(head) < 6 and (more := next(chunks, b"")):
+            head += more
+        chunks = chain([head], chunks)
+        if _form(head) is None:
+            break
+        inner = _inflated(chunks)
+        first = next(inner, None)
+        if first is None:  # broken from the start
+            return chain([head]) if packed else None
+        chunks, packed = chain([first], inner), True
+    return chunks if packed else None
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+    """The text in windows that end at a character no secret or coded run has, so none is cut; false if a run is too long for that."""
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    held, size = [], 0
+    for chunk in chunks:
+        text = decode(chunk)
+        held.append(text)
+        size += len(text)
+        if size < WINDOW:
+            continue
+        at = max((m.end() for m in _OUTSIDE.finditer(text)), default=0)
+        if at or size > LONGEST_RUN:
+            at = at or len(text)
+            yield "".join([*held[:-1], text[:at]]), size <= LONGEST_RUN
+            held, size = [text[at:]], len(text) - at
+    if text := "".join([*held, decode(b"", True)]):
+        yield text, True
+
+
+def _runs(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
+    """(lines' (start, end), joined characters) of base64 runs: each on a line, and those wrapped over lines, whole and by lines of one width."""
+    for m in _BASE64.finditer(text):
+        yield [m.span()], m[0]
+    if "\n" not in text:
+        return
+    for m in _WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
+        groups, at = {(0, len(lines))}, 0
+        while at < len(lines):
+            width, stop = lines[at][1] - lines[at][0], at + 1
+            while stop < len(lines) and lines[stop][1] - lines[stop][0] == width:
+                stop += 1
+            if stop < len(lines) and lines[stop][1] - lines[stop][0] < width:
+                groups.add((at, stop + 1))
+            groups.add((at, stop))
+            at = stop
+        for i, j in sorted(groups):
+            if j - i > 1:
+                yield lines[i:j], "".join(text[s:e] for s, e in lines[i:j])
+
+
+def _base64_layers(layer: Layer) -> Iterator[tuple[Layer, int, bool, bool]]:
+    for lines, run in _runs(layer.text):
+        raw = run.rstrip("=")
         raw = raw[: len(raw) - (len(raw) % 4 == 1)]
         try:
             data = base64.b64decode(raw.translate({45: 43, 95: 47}) + "=" * (-len(raw) % 4))
         except (binascii.Error, ValueError):
             continue
-        packed = False
-        for _ in range(64):  # compressed forms in compressed forms
-            inner = _unpack(data, most)
-            if not inner or inner == data:
-                break
-            data, packed = inner, True
-        text = _readable(data)
-        if text is None:
+        start, end = lines[0][0], lines[-1][1]
+        chunks = _opened(data)
+        if chunks is not None:
+            for i, (text, whole) in enumerate(_windows(chunks)):
+                yield Layer(text, layer, [(0, start, end, False)]), len(text), i == 0, whole
+            continue
+        try:
+            text, valid = data.decode(), True
+        except UnicodeDecodeError:  # one character for each byte, as what is sought is ASCII
+            text, valid = data.decode("ascii", "replace"), False
+        if not text:
             continue
-        s = m.start()
-        if packed or not text.isascii():
-            parts = [(0, s, m.end(), False)]
+        if not valid or text.isascii():
+            firsts = list(accumulate((e - s for s, e in lines), initial=0))
+
+            def place(k: int) -> int:
+                i = min(bisect_right(firsts, k) - 1, len(lines) - 1)
+                return lines[i][0] + k - firsts[i]
+
+            parts = [(i, place(i // 3 * 4), min(end, place(min(i // 3 * 4 + 3, len(run) - 1)) + 1), False) for i in range(0, len(text), 3)]
         else:
-            parts = [(i, s + i // 3 * 4, min(m.end(), s + i // 3 * 4 + 4), False) for i in range(0, len(text), 3)]
-        yield Layer(text, layer, parts)
+            parts = [(0, start, end, False)]
+        yield Layer(text, layer, parts), len(text), valid, True
+
 
+def _children(layer: Layer) -> Iterator[tuple[Layer, int, bool, bool]]:
+    """(layer, decoded characters, whether it counts: not as a later window or if not UTF-8, whether no run was cut), one after the other."""
+    for here, pattern, decode in (("%" in layer.text, _PERCENT, _percent), ("\\" in layer.text or "&#" in layer.text, _ESCAPE, _escape)):
+        if here and (child := _replaced(layer, pattern, decode)):
+            ends = [p[0] for p in child.parts[1:]] + [len(child.text)]
+            yield child, sum(e - p[0] for p, e in zip(child.parts, ends) if not p[3]), True, True
+    yield from _base64_layers(layer)
 
-def scan(text: str, most_decoded: int = MOST_DECODED, most_unpacked: int = MOST_UNPACKED) -> tuple[list, list, int, bool]:
-    """(base spans, all spans, layers beyond the text, whether all were unwrapped); spans as base_spans has them.
 
-    Layers wait in a list: each is scanned, its spans are mapped to the document, and it is unwrapped once more in
-    each way until nothing new comes. A layer met before at the same place isn't unwrapped again, which ends cycles.
+def _scan(text: str, most_decoded: int | None = MOST_DECODED) -> tuple[list, list, int, list]:
+    """(base spans, all spans, layers beyond the text, places not unwrapped whole); spans as base_spans has them.
+
+    Layers are made one at a time, deepest first: each is scanned, its spans are mapped to the document, and it is
+    unwrapped once more in each way until nothing new comes. A layer met before at the same place isn't unwrapped
+    again, which ends cycles.
     """
     base = base_spans(text)
-    spans, work, seen, left, layers = set(base), [Layer(text)], set(), most_decoded, 0
+    spans, seen, decoded, layers, cut = set(base), set(), 0, 0, []
+    work = [_children(Layer(text))]
     while work:
-        layer = work.pop()
-        children = []
-        if "%" in layer.text:
-            children.append(_replaced(layer, _PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
-            children.append(_replaced(layer, _ESCAPE, _escape))
-        children += _base64_layers(layer, most_unpacked)
-        for child in children:
-            if child is None:
-                continue
-            key = (child.source(0, len(child.text)), hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            if key in seen:
-                continue
-            seen.add(key)
-            left -= len(child.text)
-            if left < 0:
-                return base, sorted(spans), layers, False
-            layers += 1
-            for s, kind, e in base_spans(child.text):
-                s, e = child.source(s, e)
-                spans.add((s, kind, e))
-            work.append(child)
-    return base, sorted(spans), layers, True
+        found = next(work[-1], None)
+        if found is None:
+            work.pop()
+            continue
+        child, new, begins, whole = found
+        place = child.source(0, len(child.text))
+        if not whole:
+            cut.append(place)
+        key = (place, hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        if key in seen:
+            continue
+        seen.add(key)
+        decoded += new
+        if most_decoded is not None and decoded > most_decoded:
+            return base, sorted(spans), layers, [(0, len(text))]
+        layers += begins
+        for s, kind, e in base_spans(child.text):
+            s, e = child.source(s, e)
+            spans.add((s, kind, e))
+        work.append(_children(child))
+    return base, sorted(spans), layers, cut
+
+
+def scan(text: str, most_decoded: int | None = MOST_DECODED) -> tuple[list, list, int, bool]:
+    """(base spans, all spans, layers beyond the text, whether all were unwrapped)."""
+    base, spans, layers, cut = _scan(text, most_decoded)
+    return base, spans, layers, not cut
 
 
 def _listed(spans: list) -> str:
@@ -207,8 +327,8 @@ def _listed(spans: list) -> str:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_layers, complete of each row.
 
-    Spans are in code points, the end exclusive. Null text counts as empty. complete is false where a document's
-    layers would pass MOST_DECODED characters, as made on purpose; its own text is scanned whole in any case.
+    Spans are in code points, the end exclusive. Null text counts as empty. complete is false where a packed
+    layer has a run of over LONGEST_RUN characters without an end; its own text is scanned whole in any case.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers int, complete boolean"
@@ -226,11 +346,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(text: str) -> str:
-    """The text with each secret replaced by its kind; spans that overlap become one, of the first one's kind."""
+    """The text with each secret replaced by its kind; spans that overlap become one, of the first one's kind. What could not be scanned whole goes as well."""
     out, at = [], 0
-    for s, kind, e in scan(text)[1]:
+    _, spans, _, cut = _scan(text)
+    for s, name, e in sorted([(s, KINDS[k], e) for s, k, e in spans] + [(s, "unscanned", e) for s, e in cut], key=lambda x: x[0]):
         if s >= at:
-            out += [text[at:s], f"[{KINDS[kind]}]"]
+            out += [text[at:s], f"[{name}]"]
         at = max(at, e)
     return "".join([*out, text[at:]]) if out else text
 

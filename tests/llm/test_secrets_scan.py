@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 from urllib.parse import quote
@@ -74,3 +76,33 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert (20, "é[access]", 9) in clean
     assert clean - {(20, "é[access]", 9)} == {(r.doc_id, r.text, r.n_chars) for r in odd_docs.collect()}
     assert redact_secrets(no_docs).count() == 0
+
+
+def test_large_layers_are_scanned_whole():
+    b64 = lambda b: base64.b64encode(b).decode()
+    filler = "some words, and é more. " * 400_000
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress, lambda b: gzip.compress(zstandard.compress(b))):
+        z = b64(pack(f"{filler}{KEY} end".encode()))
+        assert scan(f"({z})")[1:] == ([(1, 1, 1 + len(z))], 1, True)
+        assert redact(f"({z})") == "([access])"
+    half = b64(gzip.compress(("words, " * 200_000).encode() + b64(f"x {KEY} y".encode()).encode()))
+    assert [k for _, k, _ in scan(half)[1]] == [1]
+    text = "word " * 3_400_000 + "%41" + KEY[1:]
+    assert (17_000_000, 1, 17_000_000 + 22) in scan(text)[1]
+
+
+def test_wrapped_odd_and_several_members():
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrap = lambda t, n, nl="\n": nl.join(t[i : i + n] for i in range(0, len(t), n))
+    for width, nl in ((64, "\n"), (76, "\r\n")):
+        t = wrap(b64(b"x" * 40 + b" " + KEY.encode() + b" " + b"y" * 99), width, nl)
+        pem = f"-----BEGIN CERTIFICATE-----{nl}{t}{nl}-----END"
+        (span,) = {(s, e) for k, s, e in found(pem) if k == "access"}
+        assert span[0] > 27 and nl in pem[slice(*span)] and KEY not in redact(pem)
+        packed = wrap(b64(gzip.compress(random.Random(1).randbytes(500) + f" {KEY} ".encode())), width, nl)
+        assert "access" in {k for k, _, _ in found(f"see: {packed}.")}
+    for odd in ("\u00a0", "\ufeff", "\u00ad", "\u2028", "\0", "\x1b"):
+        assert "access" in {k for k, _, _ in found(b64(f"cle{odd}: {KEY}".encode()))}
+    assert "access" in {k for k, _, _ in found(b64(b"\xff\xfe " + KEY.encode()))}
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert "access" in {k for k, _, _ in found(b64(pack(b"first member, ") + pack(f" {KEY}".encode())))}
