@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Days of a time bucket: captures and intervals of a key meet only within one.
 BUCKET_DAYS = 32
-#: Host suffixes and path prefixes of a URL that an entry may name.
+#: Host suffixes and path prefixes that page_entries' lists name; captures are matched as deep as any entry goes.
 MOST_LABELS, MOST_SEGMENTS = 6, 3
 #: Entries that end a key's validity; all others begin it.
 REMOVE = "remove"
@@ -23,18 +23,35 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.$", "")
 
 
-def url_keys(url: Column) -> Column:
-    """What entries may name of a URL: its host, each suffix of the host of two labels or more, and the host with its first path segments."""
+def url_keys(url: Column, most_labels: Column | None = None, most_segments: Column | None = None) -> Column:
+    """What entries may name of a URL: its host, each suffix of the host of two labels or more, and the host with its first path segments.
+
+    Suffixes and paths go as deep as told, two labels and one segment at least.
+    """
+    most_labels = F.lit(MOST_LABELS) if most_labels is None else most_labels
+    most_segments = F.lit(MOST_SEGMENTS) if most_segments is None else most_segments
     labels = F.split(host_of(url), r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(2), F.least(F.greatest(n, F.lit(2)), F.lit(MOST_LABELS))), lambda k: F.when(k <= n, F.array_join(F.slice(labels, n - k + 1, k), ".")))
+    domains = F.transform(F.sequence(F.lit(2), F.greatest(F.least(n, most_labels), F.lit(2))), lambda k: F.when(k <= n, F.array_join(F.slice(labels, n - k + 1, k), ".")))
     segments = F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda s: s != "")
     m = F.size(segments)
-    paths = F.transform(F.sequence(F.lit(1), F.lit(MOST_SEGMENTS)), lambda k: F.when(k <= m, F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))))
+    paths = F.transform(F.sequence(F.lit(1), F.greatest(F.least(m, most_segments), F.lit(1))), lambda k: F.when(k <= m, F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))))
     keys = F.array_distinct(F.filter(F.concat(F.array(host_of(url)), domains, paths), lambda k: k.isNotNull() & (k != "")))
     return F.when(host_of(url) != "", keys)
 
 
+def _entry_key(key: Column) -> Column:
+    """The key of an entry as url_keys writes it: the host in lower case, the path as it is."""
+    host = F.substring_index(key, "/", 1)
+    return F.concat(F.lower(host), F.substr(key, F.length(host) + 1))
+
+
+def _deepest(intervals: DataFrame) -> DataFrame:
+    """One row: labels and path segments of the deepest keys."""
+    parts = F.split("key", "/")
+    return intervals.agg(F.coalesce(F.max(F.size(F.split(parts[0], r"\."))), F.lit(2)).alias("most_labels"), F.coalesce(F.max(F.size(parts) - 1), F.lit(1)).alias("most_segments"))
+
+
 def _bucket(day: Column) -> Column:
     return F.floor(F.unix_date(day) / BUCKET_DAYS).cast("int")
 
@@ -45,7 +62,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     entries: key, list, day, action. Of entries of a key and list on the same day, one that removes wins. Repeated adds
     change nothing. Entries without key, list or day are left out; a null action adds.
     """
-    e = entries.select(F.lower("key").alias("key"), "list", F.col("day").cast("date").alias("day"), (F.coalesce("action", F.lit("add")) != REMOVE).alias("on")).filter("key is not null and list is not null and day is not null")
+    e = entries.select(_entry_key(F.col("key")).alias("key"), "list", F.col("day").cast("date").alias("day"), (F.coalesce("action", F.lit("add")) != REMOVE).alias("on")).filter("key is not null and list is not null and day is not null")
     e = e.groupBy("key", "list", "day").agg(F.bool_and("on").alias("on"))
     order = Window.partitionBy("key", "list").orderBy("day")
     e = e.withColumn("before", F.lag("on", 1, False).over(order)).filter("on <> before")
@@ -62,8 +79,10 @@ def match_captures(captures: DataFrame, entries: DataFrame, id_col: str = "captu
     """
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(day_col).cast("date").alias("day")).filter("id is not null and day is not null and url is not null")
     last = c.agg(F.max("day").alias("last"))
-    keyed = c.select("id", "day", _bucket(F.col("day")).alias("bucket"), F.explode(url_keys(F.col("url"))).alias("key"))
-    spans = validity_intervals(entries).crossJoin(F.broadcast(last))  # one row
+    valid = validity_intervals(entries)
+    keys = url_keys(F.col("url"), F.col("most_labels"), F.col("most_segments"))
+    keyed = c.crossJoin(F.broadcast(_deepest(valid))).select("id", "day", _bucket(F.col("day")).alias("bucket"), F.explode(keys).alias("key"))
+    spans = valid.crossJoin(F.broadcast(last))  # one row
     end = F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("last")), F.col("last"))
     spans = spans.filter(F.col("valid_from") <= end).withColumn("bucket", F.explode(F.sequence(_bucket(F.col("valid_from")), _bucket(end))))
     found = keyed.join(spans, ["key", "bucket"]).filter((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))

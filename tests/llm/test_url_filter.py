@@ -69,3 +69,11 @@ def test_odd_rows(spark):
     assert filter_urls(c.limit(0), e).count() == 0
     assert {r.n_valid for r in filter_urls(c, e.limit(0)).collect()} == {0}
     assert validity_intervals(e.limit(0)).count() == 0
+
+
+def test_deep_entries_and_case_of_paths(spark):
+    caps = [(1, "http://a.b.c.d.e.f.g.H.org/x", D(5)), (2, "http://x.org/1/2/3/4/5/6?q", D(5)), (3, "http://X.org/Ab/C", D(5)), (4, "http://x.org/ab/C", D(5))]
+    keys = ["b.c.d.e.f.g.h.org", "x.org/1/2/3/4/5", "X.Org/Ab"]
+    c, e = spark.createDataFrame(caps, CAP), spark.createDataFrame([(k, "ads", D(0), "add") for k in keys], ENT)
+    got = {r.capture_id: (r.blocked, r.key) for r in filter_urls(c, e).collect()}
+    assert got == {1: (True, "b.c.d.e.f.g.h.org"), 2: (True, "x.org/1/2/3/4/5"), 3: (True, "x.org/Ab"), 4: (False, None)}
