@@ -504,8 +504,34 @@ def manifest_problems(spark, d):
 
 @query()
 def paired_bootstrap(spark, d):
-    s = evaluate.score_pairs(V.pairs(spark, d)).select(F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("subgroup"), F.col("id").alias("document_id"), F.col("cer").alias("baseline_error"), (F.col("cer") * 0.9).alias("candidate_error"))
-    return evaluate.paired_bootstrap(s, resamples=200)
+    s = evaluate.score_pairs(V.pairs(spark, d, False)).select(F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("subgroup"), F.col("id").alias("document_id"), F.col("cer").alias("baseline_error"), (F.col("cer") * 0.9).alias("candidate_error"))
+    return evaluate.paired_bootstrap(s)
+
+
+@query()
+def transcription_scores_whole(spark, d):
+    """transcription_scores, transcription_words and exact_line_lcs over all texts; their SQL can tell of some texts only."""
+    p = V.pairs(spark, d, False)
+    s = evaluate.score_pairs(p).select("id", *[F.col(c).cast("long").alias(c) for c in ("char_edits", "char_count", "word_edits", "word_count", "line_count")], "cer", "exact")
+    return _rounded(s.join(evaluate.exact_line_lcs(p), "id"), "cer")
+
+
+@query()
+def transcription_slices_whole(spark, d):
+    s = evaluate.score_pairs(V.pairs(spark, d, False)).withColumns({"source_kind": F.when(F.col("id") % 2 == 0, "scan").otherwise("photo"), "document_id": F.floor(F.col("id") / 2)})
+    return _rounded(evaluate.slices(s, ["source_kind"]), "cer", "wer")
+
+
+@query()
+def retry_outcomes_whole(spark, d):
+    p = V.pairs(spark, d, False).select("id", "reference", F.col("prediction").alias("before"), F.col("reference").alias("after"), F.array(F.lit("the")).alias("critical_tokens"))
+    return evaluate.retry_outcomes(p)
+
+
+@query()
+def missing_regions_whole(spark, d):
+    """missing_regions with all lines of a page, not those of even index alone."""
+    return spatial.missing_regions(regions(spark, d), page_lines(spark, d), PAGE).select("page_id", "region_index")
 
 
 @query("""

@@ -1,0 +1,51 @@
+"""Queries over all benchmark texts, against plain versions."""
+
+from pyspark.sql import functions as F
+
+from papyra.operators import evaluate
+from papyra.plans import views as V
+from papyra.plans.queries import QUERIES
+
+D = "/root/testdata/sf0.001"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_scores_of_all_texts(spark):
+    pairs = {r.id: (r.reference, r.prediction) for r in V.pairs(spark, D, False).collect()}
+    got = {r.id: r for r in QUERIES["transcription_scores_whole"](spark, D).collect()}
+    assert set(got) == set(pairs) and any(not a.isascii() for a, _ in pairs.values()) and any("\n" in a for a, _ in pairs.values())
+    clean = lambda t: "\n".join(" ".join(s.split()) for s in t.split("\n"))
+    for i, (a, b) in pairs.items():
+        r = got[i]
+        assert r.lcs == lcs(a.split("\n"), b.split("\n"))
+        assert (r.word_edits, r.word_count) == (distance(a.split(), b.split()), len(a.split()))
+        assert r.char_count == len(clean(a))
+        if len(a) < 1000:
+            assert r.char_edits == distance(clean(a), clean(b))
+    retries = {r.id: r.outcome for r in QUERIES["retry_outcomes_whole"](spark, D).collect()}
+    assert retries == {i: "unchanged" if a == b else "improved" for i, (a, b) in pairs.items()}
+    assert sum(r["items"] for r in QUERIES["transcription_slices_whole"](spark, D).collect()) == len(pairs)
+
+
+def test_bootstrap_of_all_texts(spark):
+    got = {r.subgroup: r for r in QUERIES["paired_bootstrap"](spark, D).collect()}
+    s = evaluate.score_pairs(V.pairs(spark, D, False)).select(F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("subgroup"), F.col("id").alias("document_id"), F.col("cer").alias("baseline_error"), (F.col("cer") * 0.9).alias("candidate_error"))
+    want = {r.subgroup: r for r in evaluate.paired_bootstrap(s, resamples=2000).collect()}
+    assert got == want and sum(r.documents for r in got.values()) == V.pairs(spark, D, False).count()
