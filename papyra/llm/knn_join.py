@@ -44,7 +44,8 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
 
     vectors and queries have an id and an array<long>; a query's own id is no candidate for it.
 
-    1. Pivots are vectors drawn by a hash. Each vector and query belongs to its nearest pivot's cell.
+    1. Pivots are vectors drawn by a hash. Each query belongs to its nearest pivot's cell. Vectors are not grouped: each is
+       tested with its own length, a bound no looser than a cell's summary gives.
     2. A cell's queries are within radius R of pivot p, so a vector x scores between p.x - |x|R and p.x + |x|R with any
        of them. The k-th largest lower bound over all vectors is a score that each of the cell's queries reaches.
        Each task sums up its vectors as the k largest lower bounds of each cell.
