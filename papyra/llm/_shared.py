@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +23,51 @@ BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) below a temporary one of our own."""
+    """A new folder below spark.checkpoint.dir; only where that is unset and Spark is local (tests) below a temporary one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("papyra.own.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="papyra-")
             spark.conf.set("papyra.own.checkpoint.dir", base)
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/papyra-{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors, and gives Catalyst real sizes."""
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are deleted when the block ends, but those made with outlives=True; what is lazy and reads them must be written by then."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        drop_tables(spark, made)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def table(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors, and gives Catalyst real sizes.
+
+    Inside scratch() the table goes with the block, or with the block around it if it outlives.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    if len(_scopes) > outlives:
+        _scopes[-1 - outlives].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,11 +109,23 @@ _kept: dict = {}
 def kept(key, make: Callable):
     """What a worker keeps between tasks, such as a tokenizer and its cache: of one key at a time, so that operators don't add up."""
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            give_back()
         _kept[key] = make()
     return _kept[key]
 
 
+def give_back() -> None:
+    """Returns memory that is free in this worker to the system: workers live on between stages, and the C library and Arrow keep it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def remove_own_dir(spark: SparkSession) -> None:
     """Deletes the folder that shared_dir made where none was set."""
     base = spark.conf.get("papyra.own.checkpoint.dir", None)

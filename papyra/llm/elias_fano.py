@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -50,6 +51,25 @@ class EliasFano:
         part = int.from_bytes(self.low[start // 8 : (start + self.low_bits + 7) // 8].tobytes(), "little") >> start % 8
         return high << self.low_bits | part & (1 << self.low_bits) - 1
 
+    def _lows(self, i: int, j: int) -> np.ndarray:
+        """The low bits of the values from i to j."""
+        if not self.low_bits:
+            return np.zeros(j - i, np.uint64)
+        a, b = i * self.low_bits, j * self.low_bits
+        bits = np.unpackbits(self.low[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a].reshape(j - i, self.low_bits).astype(np.uint64)
+        return (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+    def runs(self) -> Iterator[np.ndarray]:
+        """All values in order, SAMPLE at a time: each run is selected by its sample's place in the unary bits, and no more than a run is expanded."""
+        for i in range(0, self.n, SAMPLE):
+            j = min(self.n, i + SAMPLE)
+            a = int(self.samples[i // SAMPLE])
+            b = int(self.samples[j // SAMPLE]) if j < self.n else 8 * len(self.high)
+            ones = np.flatnonzero(np.unpackbits(self.high[a // 8 : (b + 7) // 8], bitorder="little")) + a // 8 * 8
+            ones = ones[ones >= a][: j - i]
+            high = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
+            yield (high | self._lows(i, j)).astype(np.int64)
+
     def values(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         high = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import maybe_broadcast, pieces, table, text_or_empty
+from papyra.llm._shared import maybe_broadcast, pieces, scratch, table, text_or_empty
 from papyra.llm.components import connected_components
 
 #: Bits of a fingerprint, and the distance up to which two are linked.
@@ -449,11 +449,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id unless all of the component's ids are null (then it is null).
     """
     fps = table(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = table(links(distinct, distinct.count(), block, flat_limit).distinct(), "links")
-    stars = connected_components(found)  # (id, root) of what is linked
-    roots = table(distinct.join(stars.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
-    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
+    with scratch(docs.sparkSession):
+        distinct = table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+        found = table(links(distinct, distinct.count(), block, flat_limit).distinct(), "links")
+        stars = connected_components(found)  # (id, root) of what is linked
+        roots = table(distinct.join(stars.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
+        named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
+        named = table(named, "components", outlives=True)
     out = fps.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out
 
@@ -464,22 +466,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wide_links join most of a group; what is still apart then is compared by exact_links, so no pair is missed.
     component_id is the smallest id reached. Null ids are as in near_duplicates.
     """
-    near = table(near_duplicates(docs, id_col, text_col, block=block).select(F.col(id_col).alias("id"), "component_id"), "near")
-    tied = near.filter("id <> component_id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
-    known = table(tied.union(wide_links(docs, id_col, text_col, block=block)), "known-links")
-    groups = connected_components(known)
-    rest = exact_links(docs, groups.select("id", F.col("root").alias("label")), id_col, text_col, block=block)
-    roots = connected_components(known.union(rest)) if rest.head(1) else groups
-    out = near.join(roots, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("root", "component_id").alias("component_id"))
+    with scratch(docs.sparkSession):
+        near = table(near_duplicates(docs, id_col, text_col, block=block).select(F.col(id_col).alias("id"), "component_id"), "near")
+        tied = near.filter("id <> component_id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+        known = table(tied.union(wide_links(docs, id_col, text_col, block=block)), "known-links")
+        groups = connected_components(known)
+        rest = exact_links(docs, groups.select("id", F.col("root").alias("label")), id_col, text_col, block=block)
+        roots = connected_components(known.union(rest)) if rest.head(1) else groups
+        out = near.join(roots, "id", "left").select(F.col("id").alias(id_col), F.coalesce("root", "component_id").alias("component_id"))
+        return table(out, "similar", outlives=True)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each component of similar_documents, the one of the smallest id; columns as they were. Rows with a null id stay."""
-    near = similar_documents(docs, id_col, text_col, **options)
-    gone = table(near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), "near-copies")
+    """docs with one document of each component of similar_documents, the one of the smallest id; columns as they were.
+
+    Rows with a null id stay, as do rows that repeat the id that stays: exact deduplication drops those of one text.
+    Null texts count as empty; all texts without words are one component. An empty table gives an empty one.
+    """
+    with scratch(docs.sparkSession):
+        near = similar_documents(docs, id_col, text_col, **options)
+        gone = table(near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), "near-copies", outlives=True)
     return docs.join(maybe_broadcast(gone), docs[id_col] == gone["_gone"], "left_anti")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates of documents: three words, 64 bits, links at 3 bits or fewer. Odd rows: see near_duplicates."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -36,3 +36,13 @@ def test_empty_and_clashing_columns(spark, no_docs, odd_docs):
     left = drop_exact_duplicates(extra)
     assert left.columns == extra.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["1", "3", "None", "5", "6", "7", "8"])
+
+
+def test_no_copy_stays(spark, odd_docs):
+    more = [(20, "twice by id", "en", "a", 1), (20, "twice by id", "de", "b", 2), (20, "twice by id", "de", "b", 2), (None, "no ids", "en", "a", 1), (None, "no ids", None, None, None)]
+    docs = odd_docs.union(odd_docs).union(spark.createDataFrame(more, odd_docs.schema))
+    for limit in (0, 100):
+        rows = drop_exact_duplicates(docs, broadcast_rows=limit).collect()
+        assert sorted(r.text or "" for r in rows) == sorted({r.text or "" for r in docs.collect()})
+        assert [r.lang for r in rows if r.doc_id == 20] == ["de"]
+    assert drop_exact_duplicates(docs.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))).count() == len(rows)

@@ -90,8 +90,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 def test_components_of_a_long_chain(spark):
     chain = spark.range(300).selectExpr("id as u", "id + 1 as v").union(spark.createDataFrame([(1000, 1000), (2000, 1999)], "u long, v long"))
-    got = {r.id: r.root for r in connected_components(chain).collect()}
-    assert got == {i: 0 for i in range(301)} | {2000: 1999, 1999: 1999}
+    for hub in (2, 1000):
+        got = {r.id: r.root for r in connected_components(chain, hub=hub).collect()}
+        assert got == {i: 0 for i in range(301)} | {2000: 1999, 1999: 1999}
+
+
+def test_components_around_hubs(spark):
+    rnd = random.Random(3)
+    edges = [(i, rnd.choice((5, 6))) for i in range(10, 60)] + [(100 + i, 99) for i in range(30)] + [(5, 101)] + [(200 + i, 201 + i) for i in range(9)]
+    group = {x: x for e in edges for x in e}
+    for _ in group:
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    df = spark.createDataFrame(edges, "u long, v long")
+    for hub in (1, 3, 20, 1000):
+        assert {r.id: r.root for r in connected_components(df, hub=hub).collect()} == group
+    assert connected_components(df.limit(0)).count() == 0
 
 
 def jaccard(a, b):

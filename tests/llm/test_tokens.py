@@ -89,6 +89,7 @@ def test_elias_fano():
     for v in ([], [0], [5, 5, 5], [0, 1, 2**62], sorted(rnd.randrange(10**6) for _ in range(3000)), list(range(1000))):
         ef = EliasFano.from_bytes(EliasFano.of(np.array(v, np.int64)).to_bytes())
         assert ef.values().tolist() == v and [ef.select(i) for i in range(len(v))] == v
+        assert [x for some in ef.runs() for x in some.tolist()] == v and all(len(some) <= 256 for some in ef.runs())
     v = np.sort(np.random.default_rng(0).integers(0, 4_000_000, 10_000))
     assert len(EliasFano.of(v).to_bytes()) * 8 < 10_000 * (2.5 + np.log2(400))
     with pytest.raises(IndexError):
@@ -99,8 +100,8 @@ def test_elias_fano():
 
 def test_file_bytes():
     ids = [np.array(x, "<u4").tobytes() for x in ([1, 70000, 2], [2], [5, 2])]
-    keys, ends, got = load(dump([None, -5, 2**62], ids, 4))
-    assert keys == [None, -5, 2**62] and ends.values().tolist() == [3, 4, 6] and got.tolist() == [1, 70000, 2, 2, 5, 2]
+    nulls, base, keys, ends, got = load(dump([None, -5, 2**62], ids, 4))
+    assert nulls == 1 and [base + x for x in keys.values().tolist()] == [-5, 2**62] and ends.values().tolist() == [3, 4, 6] and got.tolist() == [1, 70000, 2, 2, 5, 2]
     with pytest.raises(ValueError):
         load(b"x" * 100)
 
@@ -119,7 +120,17 @@ def test_files_odd_rows(spark, odd_docs, no_docs):
 
 def test_many_ranges(spark):
     docs = spark.range(0, 9000).selectExpr("(id * 7919) % 9001 as doc_id", "concat('w', id % 50, ' again') as text")
-    manifest = write_token_files(docs, WORD, folder := shared_dir(spark, "test"), file_ids=2000)
-    assert manifest.count() > 4
+    manifest = write_token_files(docs, WORD, folder := shared_dir(spark, "test"), file_ids=2000, range_bytes=20_000)
+    assert manifest.count() > 4 and manifest.select("range").distinct().count() > 3
     got = sorted(read_token_files(manifest, folder).collect(), key=lambda r: r.doc_id)
     assert [r.start for r in got] == np.r_[0, np.cumsum([r.n_tokens for r in got])][:-1].tolist()
+
+
+def test_an_id_of_most_rows_and_wide_spans(spark):
+    docs = spark.range(0, 4000).selectExpr("case when id < 1500 then 7 when id < 2500 then null when id < 2502 then -9223372036854775807 when id < 2503 then 9223372036854775807 else id end as doc_id", "concat('w', id % 50, ' again ', id) as text")
+    manifest = write_token_files(docs, WORD, folder := shared_dir(spark, "test"), range_bytes=3000)
+    assert manifest.select("range").distinct().count() > 10 and manifest.agg(F.max("docs")).first()[0] < 1000
+    got = sorted(read_token_files(manifest, folder).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.r_[0, np.cumsum([r.n_tokens for r in got])][:-1].tolist()
+    ids = [r.doc_id for r in docs.collect()]
+    assert [r.doc_id for r in got] == sorted(ids, key=lambda x: (x is not None, x or 0))
