@@ -27,6 +27,8 @@ KINDS = ("assign", "access", "hex")
 MOST_DECODED = None
 #: Bytes unpacked at a time, characters of a window of unpacked text, and those after which a run without an end is cut and the document marked.
 PIECE, WINDOW, LONGEST_RUN = 1 << 18, 1 << 20, 1 << 25
+#: Bytes up to which an unpacked layer that is packed itself is held as a whole, and larger ones that may be open at a time; at more the document is marked.
+HELD, MOST_OPEN = 1 << 22, 64
 
 # fixed values: the patterns of the kinds; "a" keeps letter case to A-Z
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -179,27 +181,58 @@ def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
         return
 
 
+class TooDeep(Exception):
+    """Too many large packed layers inside each other."""
+
+
 def _opened(data: bytes) -> Iterator[bytes] | None:
-    """Unpacked data, compressed forms in compressed forms too; None if it has no such form."""
-    chunks, packed = iter([data]), False
-    for _ in range(64):
+    """Unpacked data, compressed forms in compressed forms to any depth; None if it has no such form, nothing more where forms hold themselves."""
+    seen, chunks, packed, opened = set(), iter([data]), False, 0
+    while True:
         head = b""
         while len(head) < 6 and (more := next(chunks, b"")):
             head += more
-        chunks = chain([head], chunks)
         if _form(head) is None:
-            break
-        inner = _inflated(chunks)
-        first = next(inner, None)
-        if first is None:  # broken from the start
-            return chain([head]) if packed else None
-        chunks, packed = chain([first], inner), True
-    return chunks if packed else None
+            return chain([head], chunks) if packed else None
+        read = [[head]]  # what was taken of the layer, until it has proved to be packed
+
+        def feed(first=head, rest=chunks, read=read):
+            yield first
+            for c in rest:
+                for some in read:
+                    some.append(c)
+                yield c
+
+        inner, held, size = _inflated(feed()), [], 0
+        for piece in inner:
+            read.clear()
+            held.append(piece)
+            size += len(piece)
+            if size > HELD:
+                break
+        if not held:  # only looks packed
+            return chain(read[0], chunks) if packed else None
+        packed = True
+        if size > HELD:
+            chunks, opened = chain(held, inner), opened + 1
+            if opened > MOST_OPEN:
+                raise TooDeep
+            continue
+        whole = b"".join(held)
+        key = hashlib.blake2b(whole, digest_size=16).digest()
+        if key in seen:
+            return iter(())
+        seen.add(key)
+        chunks, opened = iter([whole]), 0
+
 
+#: Starts of compressed forms that are long enough to be looked for inside other bytes.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
-def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+
+def _windows(chunks: Iterator[bytes], coding: str = "utf-8") -> Iterator[tuple[str, bool]]:
     """The text in windows that end at a character no secret or coded run has, so none is cut; false if a run is too long for that."""
-    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    decode = codecs.getincrementaldecoder(coding)("replace").decode
     held, size = [], 0
     for chunk in chunks:
         text = decode(chunk)
@@ -238,37 +271,70 @@ def _runs(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
                 yield lines[i:j], "".join(text[s:e] for s, e in lines[i:j])
 
 
+def _unpacked_layers(layer: Layer, data: bytes, at: tuple[int, int]) -> Iterator[tuple[Layer, int, bool, bool]]:
+    """Windows of packed data's text, and again as UTF-16 if it has zero bytes; all of them have their place as a whole."""
+    parts, zeros = [(0, *at, False)], False
+    for coding in ("utf-8", "utf-16-le", "utf-16-be"):
+        if coding != "utf-8" and not zeros:
+            return
+        try:
+            for i, (text, whole) in enumerate(_windows(_opened(data) or iter(()), coding)):
+                zeros = zeros or (coding == "utf-8" and "\0" in text)
+                yield Layer(text, layer, parts), len(text), i == 0 and coding == "utf-8", whole
+        except TooDeep:
+            yield Layer("", layer, parts), 0, False, False
+            return
+
+
 def _base64_layers(layer: Layer) -> Iterator[tuple[Layer, int, bool, bool]]:
+    """What base64 runs hold, from each of their first four characters on, as other text may stand right before; the first counts.
+
+    Compressed forms may begin anywhere in the decoded bytes.
+    """
     for lines, run in _runs(layer.text):
-        raw = run.rstrip("=")
-        raw = raw[: len(raw) - (len(raw) % 4 == 1)]
-        try:
-            data = base64.b64decode(raw.translate({45: 43, 95: 47}) + "=" * (-len(raw) % 4))
-        except (binascii.Error, ValueError):
-            continue
+        raw = run.rstrip("=").translate({45: 43, 95: 47})
+        firsts = list(accumulate((e - s for s, e in lines), initial=0))
         start, end = lines[0][0], lines[-1][1]
-        chunks = _opened(data)
-        if chunks is not None:
-            for i, (text, whole) in enumerate(_windows(chunks)):
-                yield Layer(text, layer, [(0, start, end, False)]), len(text), i == 0, whole
-            continue
-        try:
-            text, valid = data.decode(), True
-        except UnicodeDecodeError:  # one character for each byte, as what is sought is ASCII
-            text, valid = data.decode("ascii", "replace"), False
-        if not text:
-            continue
-        if not valid or text.isascii():
-            firsts = list(accumulate((e - s for s, e in lines), initial=0))
-
-            def place(k: int) -> int:
-                i = min(bisect_right(firsts, k) - 1, len(lines) - 1)
-                return lines[i][0] + k - firsts[i]
 
-            parts = [(i, place(i // 3 * 4), min(end, place(min(i // 3 * 4 + 3, len(run) - 1)) + 1), False) for i in range(0, len(text), 3)]
-        else:
-            parts = [(0, start, end, False)]
-        yield Layer(text, layer, parts), len(text), valid, True
+        def place(k: int) -> int:
+            i = min(bisect_right(firsts, k) - 1, len(lines) - 1)
+            return lines[i][0] + k - firsts[i]
+
+        for phase in range(4):
+            some = raw[phase:]
+            some = some[: len(some) - (len(some) % 4 == 1)]
+            try:
+                data = base64.b64decode(some + "=" * (-len(some) % 4))
+            except (binascii.Error, ValueError):
+                continue
+            if not data:
+                continue
+
+            def sources(i: int, j: int) -> tuple[int, int]:
+                """Where bytes i to j come from."""
+                a, b = phase + i // 3 * 4, phase + (j - 1) // 3 * 4 + 3
+                return place(a), min(end, place(min(b, len(run) - 1)) + 1)
+
+            if _form(data[:6]) is not None and _opened(data) is not None:
+                yield from _unpacked_layers(layer, data, (place(phase), end))
+                continue
+            for m in _MAGIC.finditer(data, 1):
+                yield from _unpacked_layers(layer, data[m.start() :], (place(phase + m.start() // 3 * 4), end))
+            try:
+                text, valid = data.decode(), phase == 0
+            except UnicodeDecodeError:  # one character for each byte, as what is sought is ASCII
+                text, valid = data.decode("ascii", "replace"), False
+            if text.isascii() or len(text) == len(data):
+                parts = [(i, *sources(i, min(i + 3, len(text))), False) for i in range(0, len(text), 3)]
+            else:
+                parts = [(0, place(phase), end, False)]
+            yield Layer(text, layer, parts), len(text), valid, True
+            if b"\0" in data:
+                for coding in ("utf-16-le", "utf-16-be"):
+                    wide = data.decode(coding, "replace")
+                    if "\0" in wide or not any(c.isascii() for c in wide):
+                        continue
+                    yield Layer(wide, layer, [(0, place(phase), end, False)]), len(wide), False, True
 
 
 def _children(layer: Layer) -> Iterator[tuple[Layer, int, bool, bool]]:
@@ -296,7 +362,7 @@ def _scan(text: str, most_decoded: int | None = MOST_DECODED) -> tuple[list, lis
             work.pop()
             continue
         child, new, begins, whole = found
-        place = child.source(0, len(child.text))
+        place = child.source(0, max(1, len(child.text)))
         if not whole:
             cut.append(place)
         key = (place, hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
@@ -307,6 +373,8 @@ def _scan(text: str, most_decoded: int | None = MOST_DECODED) -> tuple[list, lis
         if most_decoded is not None and decoded > most_decoded:
             return base, sorted(spans), layers, [(0, len(text))]
         layers += begins
+        if not child.text:
+            continue
         for s, kind, e in base_spans(child.text):
             s, e = child.source(s, e)
             spans.add((s, kind, e))
@@ -328,7 +396,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_layers, complete of each row.
 
     Spans are in code points, the end exclusive. Null text counts as empty. complete is false where a packed
-    layer has a run of over LONGEST_RUN characters without an end; its own text is scanned whole in any case.
+    layer has a run of over LONGEST_RUN characters without an end, or more than MOST_OPEN large packed layers inside
+    each other; the text itself is scanned whole in any case. Each row, repeated ones too, has its answer; an empty
+    table gives an empty one, and other columns don't matter.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers int, complete boolean"
@@ -357,7 +427,11 @@ def redact(text: str) -> str:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """docs with the secrets of the text replaced, and the length in characters renewed; null texts and all else stay."""
+    """docs with the secrets of the text replaced, and the length in characters renewed; null texts and all else stay.
+
+    Every row stays, repeated ones and those with a null id too; an empty table gives an empty one. What could not be
+    unwrapped whole is replaced as well.
+    """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,4 +451,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """find_secrets of documents. Odd rows: see find_secrets."""
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

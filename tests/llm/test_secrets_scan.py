@@ -106,3 +106,47 @@ def test_wrapped_odd_and_several_members():
     assert "access" in {k for k, _, _ in found(b64(b"\xff\xfe " + KEY.encode()))}
     for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
         assert "access" in {k for k, _, _ in found(b64(pack(b"first member, ") + pack(f" {KEY}".encode())))}
+
+
+def test_what_hides_a_layer():
+    b64 = lambda b: base64.b64encode(b).decode()
+    kinds = lambda t: {k for k, _, _ in found(t)}
+    assert "access" in kinds("see path/x/" + b64(f"the key {KEY}".encode()))
+    assert "access" in kinds("path/to/" + b64(gzip.compress(f"the key {KEY}".encode())))
+    for coding in ("utf-16", "utf-16-le", "utf-16-be"):
+        assert "access" in kinds(b64(f"clé: {KEY}".encode(coding))) and "access" in kinds(b64(gzip.compress(f"clé: {KEY}".encode(coding))))
+    for odd in ("\x0b", "\u200b", "\x01"):
+        assert "access" in kinds(b64(f"a{odd}b {KEY}{odd}".encode()))
+    data = f"deep {KEY}".encode()
+    for _ in range(70):
+        data = gzip.compress(data)
+    assert kinds(b64(data)) == {"access"} and scan(b64(data))[3]
+    text = f"deep {KEY}"
+    for _ in range(12):
+        text = b64(text.encode())
+    assert kinds(text) == {"access"}
+    z = b64(gzip.compress(b"\x78\x9c no form at all " + KEY.encode()))
+    assert kinds(z) == {"access"}
+
+
+def test_random_nestings():
+    """A key behind random layers is found, and its span covers no more than the layers and reaches the last coded character that matters."""
+    rnd = random.Random(7)
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrap = lambda t, n: "\n".join(t[i : i + n] for i in range(0, len(t), n))
+    layers = [
+        lambda t: b64(t.encode()), lambda t: b64(t.encode()).rstrip("="), lambda t: base64.urlsafe_b64encode(t.encode()).decode(), lambda t: wrap(b64(t.encode()), 76), lambda t: wrap(b64(t.encode()), 64),
+        lambda t: b64(gzip.compress(t.encode())), lambda t: b64(bz2.compress(t.encode())), lambda t: b64(lzma.compress(t.encode())), lambda t: b64(zstandard.compress(t.encode())), lambda t: wrap(b64(gzip.compress(t.encode())), 76),
+        lambda t: quote(t, safe=""), lambda t: "".join(f"%{b:02x}" for b in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(f"&#{ord(c)};" for c in t), lambda t: "".join(f"&#x{ord(c):X};" for c in t),
+    ]
+    ends = ["", " ", "some words before ", "é: ", "(", "x = ", "line\n"]
+    for _ in range(300):
+        text = f"{rnd.choice(ends)}{KEY}{rnd.choice([' ', ';', chr(10) + 'end'])}"
+        for _ in range(rnd.randrange(1, 4)):
+            text = rnd.choice(layers)(text)
+        before = rnd.choice(ends)
+        doc = before + text + rnd.choice(["", " ", "; more", " end."])
+        spans = {(s, e) for k, s, e in found(doc) if k == "access"}
+        assert any(len(before) <= s < e <= len(before) + len(text) for s, e in spans), doc
+        assert scan(doc)[3]
+        assert KEY not in redact(doc) and not any(k == "access" for k, _, _ in found(redact(doc))), doc
