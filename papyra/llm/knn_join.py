@@ -54,18 +54,22 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     4. A group's vectors are dealt into blocks, met by all of the group's queries; each block gives its k best, and
        these are ranked. No task holds more than about a block and a group, whatever the data's shape.
 
-    Null ids or vectors take no part, nor do vectors of another dimension than most (of as many, the larger). Repeated
-    query ids are one query, with the least vector; repeated candidates are each a candidate. Scores are 64-bit.
+    Null ids or vectors take no part. Vectors of fewer components than the longest count as if zeros followed. Repeated
+    query ids are one query, with the least vector; repeated candidates are each a candidate. Scores are 64-bit. An
+    empty table gives no rows, and other columns don't matter.
     """
     spark = vectors.sparkSession
-    data = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null and size(v) > 0")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null and size(v) > 0")
+    data = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
     schema = "query_id long, rank int, vec_id long, score long"
-    sizes = data.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if sizes is None:
+    size = F.size("v")
+    both = data.select(size.alias("n"), F.lit(1).alias("d")).union(asked.select(size, F.lit(0)))
+    count, least, dim = both.agg(F.sum("d"), F.min("n"), F.max("n")).first()
+    if not count:
         return spark.createDataFrame([], schema)
-    dim, count = sizes["d"], sizes["count"]
-    data, asked = data.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
+    dim = max(1, dim)
+    if least < dim:
+        data, asked = (x.select("id", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - size)).alias("v")) for x in (data, asked))
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     n_pivots = min(most_pivots, math.isqrt(count - 1) + 1)
     pivots = np.array([r["v"] for r in data.orderBy(F.xxhash64("id", F.lit("pivots")), "id", "v").select("v").limit(n_pivots).collect()], np.float64)
@@ -203,6 +207,7 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """top_k_search over all embeddings, as integers, for those whose id is divisible by 50. Odd rows: see quantized and top_k_search."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", quantized("embedding").alias("vector"))
     return top_k_search(rows, rows.filter("vec_id % 50 = 0"), 5)
 
@@ -213,7 +218,7 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+         coalesce(CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT), 0) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from papyra.llm._shared import kept, pieces, text_or_empty
 
 SPACE = "▁"
-#: Documents of a language that the model is fitted on, about; and languages, the most common first.
-SAMPLE_DOCS, MOST_LANGUAGES = 1500, 500
+#: Documents of a language that the model is fitted on, about; and the most languages a model may have, for its memory: more are refused, none is left out.
+SAMPLE_DOCS, MOST_LANGUAGES = 1500, 2000
 #: Rounds of expectation maximisation; pseudo-counts drawn from the pooled probabilities; log probability of a letter that is no piece.
 ROUNDS, PRIOR, UNKNOWN = 3, 50.0, -16.0
 MOST_WORDS, MOST_PIECE = 300_000, 12
@@ -185,10 +185,13 @@ def held_out(id_col) -> F.Column:
 def fit_language_model(labelled: DataFrame, vocabulary: list[str], lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Fits on about `sample_docs` rows of each language, drawn by a hash of the key; only their word counts reach the driver.
 
-    Rows without text or language are left out. No labelled row at all gives a model without languages.
+    Rows without text or language are left out. No labelled row at all gives a model without languages; more than
+    MOST_LANGUAGES languages raise an error. Repeated rows are drawn together; other columns don't matter.
     """
     rows = labelled.select(F.col(key_col).cast("string").alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: group them first")
     if not sizes:
         return LanguageModel(vocabulary, [], np.zeros((len(vocabulary) + 1, 0)))
     share = rows.sparkSession.createDataFrame([(k, min(1.0, sample_docs / n)) for k, n in sizes.items()], "lang string, share double")
@@ -214,7 +217,10 @@ def fit_language_model(labelled: DataFrame, vocabulary: list[str], lang_col: str
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score of each row. Null texts and those without letters are `und`, score 0."""
+    """id, lang_pred, score of each row. Null texts and those without letters are `und`, score 0.
+
+    Repeated rows have the same answer, an empty table gives an empty one, and other columns don't matter.
+    """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +244,7 @@ def identify(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """identify of documents with the lower-case pieces of the public vocabulary. Odd rows: see predict_language."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -257,7 +257,11 @@ def model(path: str) -> PieceBpe:
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) of each row; null text counts as empty, which has no ids."""
+    """id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) of each row.
+
+    Null text counts as empty, which has no ids. Each row, repeated ones and those with a null id too, has its answer;
+    an empty table gives an empty one, and other columns don't matter.
+    """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * keep_ids]
 
@@ -278,6 +282,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """encode_decode of documents. Odd rows: see encode_decode."""
     import public_tokenizers
 
     return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))

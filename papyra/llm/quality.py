@@ -36,7 +36,7 @@ def word_and_shape(chunk: str) -> tuple[int, int, int]:
     shape = chunk
     for pattern, by in _RULES:
         shape = pattern.sub(by, shape)
-    return _bucket(word, WORDS) if word else -1, _bucket(f"{word[:4]} ...", WORDS) if len(word) > 4 else -1, WORDS + _bucket(shape[:12], SHAPES)
+    return _bucket(word, WORDS) if word else -1, _bucket(f"{word[:4]} ...", WORDS) if len(word) > 4 else -1, WORDS + _bucket(shape, SHAPES)
 
 
 class Features:
@@ -141,15 +141,15 @@ def fit_ordinal(buckets: list[np.ndarray], values: list[np.ndarray], grade: np.n
 def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_docs: int = SAMPLE_DOCS) -> OrdinalModel:
     """Fits on about `sample_docs` rated rows, drawn by a hash of the id; their features alone reach the driver.
 
-    ratings has an id and a grade; of several ratings of an id the lowest counts. Rows without id, text or grade are
-    left out. With fewer than two grades the model has no weights.
+    ratings has an id and a grade; of several ratings of an id the lowest counts, of several texts the least. Rows
+    without id, text or grade are left out. With fewer than two grades the model has no weights.
     """
     rated = ratings.select(F.col(id_col).cast("long").alias("k"), F.col(grade_col).cast("int").alias("grade")).filter("k is not null and grade is not null")
     rated = rated.groupBy("k").agg(F.min("grade").alias("grade"))
     share = min(1.0, sample_docs / max(1, rated.count()))
     rated = rated.filter(F.pmod(F.xxhash64("k", F.lit("quality sample")), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")).filter("k is not null and text is not null")
-    sample = texts.join(F.broadcast(rated), "k").select("grade", "text")  # about sample_docs rows
+    sample = texts.join(F.broadcast(rated), "k").groupBy("k", "grade").agg(F.min("text").alias("text")).select("grade", "text")  # about sample_docs rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -167,7 +167,8 @@ def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     """id, expected_grade, tail_probability, accepted of each row; null text counts as empty.
 
     tail_probability is that of the highest grade; accepted: it is at least `least`. With a model of one grade or none
-    every row is accepted: its tail probability is 1.
+    every row is accepted: its tail probability is 1. Each row, repeated ones too, has its answer; an empty table gives
+    an empty one, and other columns don't matter.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
 
@@ -186,7 +187,10 @@ def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 
 def keep_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """docs without the rows that score_quality does not accept; columns as they were."""
+    """docs without the rows that score_quality does not accept; columns as they were.
+
+    Null texts count as empty, repeated rows are judged alike, rows with a null id too; an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = kept("quality", Features)
@@ -207,6 +211,7 @@ def graded_labels(labels: DataFrame) -> DataFrame:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """score_quality of documents, fitted on the rated ones. Odd rows: see score_quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_quality(docs, graded_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return score_quality(docs, model)

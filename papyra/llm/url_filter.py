@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 #: Days of a time bucket: captures and intervals of a key meet only within one.
 BUCKET_DAYS = 32
-#: Host suffixes and path prefixes that page_entries' lists name; captures are matched as deep as any entry goes.
-MOST_LABELS, MOST_SEGMENTS = 6, 3
 #: Entries that end a key's validity; all others begin it.
 REMOVE = "remove"
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)"
+_ADDRESS = r"^(\[.*|[0-9]+(\.[0-9]+){3})$"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
@@ -26,18 +25,19 @@ def host_of(url: Column) -> Column:
 def url_keys(url: Column, most_labels: Column | None = None, most_segments: Column | None = None) -> Column:
     """What entries may name of a URL: its host, each suffix of the host of two labels or more, and the host with its first path segments.
 
-    Suffixes and paths go as deep as told, two labels and one segment at least.
+    Suffixes and paths go as deep as told, two labels and one segment at least; else to the end. An IP address has no suffixes.
     """
-    most_labels = F.lit(MOST_LABELS) if most_labels is None else most_labels
-    most_segments = F.lit(MOST_SEGMENTS) if most_segments is None else most_segments
-    labels = F.split(host_of(url), r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(2), F.greatest(F.least(n, most_labels), F.lit(2))), lambda k: F.when(k <= n, F.array_join(F.slice(labels, n - k + 1, k), ".")))
+    host = host_of(url)
+    labels = F.split(host, r"\.")
+    n = F.when(host.rlike(_ADDRESS), F.lit(0)).otherwise(F.size(labels))
+    deep = F.greatest(n if most_labels is None else F.least(n, most_labels), F.lit(2))
+    domains = F.transform(F.sequence(F.lit(2), deep), lambda k: F.when(k <= n, F.array_join(F.slice(labels, n - k + 1, k), ".")))
     segments = F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda s: s != "")
     m = F.size(segments)
-    paths = F.transform(F.sequence(F.lit(1), F.greatest(F.least(m, most_segments), F.lit(1))), lambda k: F.when(k <= m, F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))))
-    keys = F.array_distinct(F.filter(F.concat(F.array(host_of(url)), domains, paths), lambda k: k.isNotNull() & (k != "")))
-    return F.when(host_of(url) != "", keys)
+    far = F.greatest(m if most_segments is None else F.least(m, most_segments), F.lit(1))
+    paths = F.transform(F.sequence(F.lit(1), far), lambda k: F.when(k <= m, F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))))
+    keys = F.array_distinct(F.filter(F.concat(F.array(host), domains, paths), lambda k: k.isNotNull() & (k != "")))
+    return F.when(host != "", keys)
 
 
 def _entry_key(key: Column) -> Column:
@@ -93,13 +93,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame, allow_list: str = "allo
     """(id, blocked, n_valid, list, key, valid_from): one row for each capture, repeated ones too.
 
     The decision is that of the longest key valid at fetch time, then the larger key, then the allow list, then the smaller list;
-    a capture is blocked if that list isn't the allow list. Null if nothing is valid, and then it isn't blocked.
+    a capture is blocked if that list isn't the allow list. Null if nothing is valid, and then it isn't blocked. Captures
+    that share an id but not the URL or day are each decided by their own; without id, host or day nothing is valid.
+    No captures give no rows; other columns don't matter.
     """
-    hits = match_captures(captures.dropDuplicates([id_col, url_col, day_col]), entries, id_col, url_col, day_col).distinct()
+    c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(day_col).cast("date").alias("day"))
+    c = c.withColumn("one", F.xxhash64("id", "url", "day"))  # keeps what is joined and grouped small; id, url and day decide
+    hits = match_captures(c.select(F.struct("id", "one").alias("capture"), "url", "day").filter("capture.id is not null").distinct(), entries, "capture", "url", "day").distinct()
     by_key = hits.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((F.col("list") != allow_list).alias("no"), "list", "valid_from")).alias("first"))
     chosen = by_key.groupBy("id").agg(F.sum("n").alias("n_valid"), F.max(F.struct(F.length("key").alias("long"), "key", "first")).alias("c"))
-    chosen = chosen.select("id", "n_valid", F.struct("c.first.list", "c.key", "c.first.valid_from").alias("c"))
-    out = captures.select(F.col(id_col).alias("id")).join(chosen, "id", "left")
+    chosen = chosen.select(F.col("id.id").alias("id"), F.col("id.one").alias("one"), "n_valid", F.struct("c.first.list", "c.key", "c.first.valid_from").alias("c"))
+    out = c.select("id", "one").join(chosen, ["id", "one"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce(F.col("c.list") != allow_list, F.lit(False)).alias("blocked"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.col("c.list").alias("list"), F.col("c.key").alias("key"), F.col("c.valid_from").alias("valid_from"))
 
 
@@ -109,7 +113,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 
 def page_entries(pages: DataFrame) -> DataFrame:
-    """Dated lists over the pages' own hosts and first paths, as no list is given: days and lists follow from md5 of the key."""
+    """Dated lists over the pages' own hosts and paths of any depth, as no list is given: days and lists follow from md5 of the key."""
     keys = pages.select(F.explode(url_keys(F.col("url"))).alias("key")).distinct()
     h = F.md5(F.col("key").cast("binary"))
     digit = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("int")
@@ -121,6 +125,7 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """filter_urls of pages as captures by lists made of their own URLs. Odd rows: see filter_urls."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return filter_urls(page_captures(pages), page_entries(pages)).withColumnRenamed("capture_id", "page_id")
 
@@ -128,14 +133,14 @@ def op6(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH u AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day,
-         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '') AS host,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)', 1)), '\.$', '') AS host,
          list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS seg
   FROM pages
-), l AS (SELECT *, string_split(host, '.') AS lab FROM u WHERE host <> ''),
+), l AS (SELECT *, CASE WHEN regexp_matches(host, '^(\[.*|[0-9]+(\.[0-9]+){3})$') THEN [] ELSE string_split(host, '.') END AS lab FROM u WHERE host <> ''),
 k AS (
   SELECT DISTINCT page_id, day, unnest(list_concat(list_concat([host],
-    list_transform(generate_series(2, least(len(lab), 6)), lambda i: array_to_string(lab[len(lab) - i + 1:], '.'))),
-    list_transform(generate_series(1, least(len(seg), 3)), lambda i: host || '/' || array_to_string(seg[1:i], '/')))) AS key
+    list_transform(generate_series(2, len(lab)), lambda i: array_to_string(lab[len(lab) - i + 1:], '.'))),
+    list_transform(generate_series(1, len(seg)), lambda i: host || '/' || array_to_string(seg[1:i], '/')))) AS key
   FROM l
 ), h AS (
   SELECT key, ['ads', 'adult', 'malware', 'allow'][CAST(('0x' || substr(md5(key), 3, 2)) AS INTEGER) % 4 + 1] AS list,

@@ -37,9 +37,10 @@ def test_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (50, [0.5, -0.1]), (1, [nan, 1.0]), (2, [inf, 1.0]), (3, None), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, []), (6, [1.0, 2.0, 3.0]), (7, [-0.001, 3.0]), (7, [-0.001, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("g", "b", "cell", "score")})
     v = df.select("*", quantized("embedding").alias("vector"))
-    f = np.floor(256 * np.array([x for _, x in [rows[0], rows[1], rows[9], rows[10]]], np.float32).astype(float)).astype(int).tolist()
-    want = brute(list(zip([0, 50, 7, 7], f)), {0: f[0], 50: f[1]}, 5)
-    assert sorted(map(tuple, top_k_search(v, v.filter("vec_id % 50 = 0"), 5).collect())) == want
+    some = [(i, [*x, *[0.0] * (3 - len(x))]) for i, x in rows if i is not None and x is not None and all(y is not None and np.isfinite(y) for y in x)]
+    f = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int).tolist()) for i, x in some]
+    want = brute(f, {0: f[0][1], 50: f[1][1]}, 5)
+    assert len(f) == 6 and sorted(map(tuple, top_k_search(v, v.filter("vec_id % 50 = 0"), 5).collect())) == want
     assert top_k_search(v.limit(0), v, 5).count() == 0
     assert top_k_search(v, v.limit(0), 5).count() == 0
     assert top_k_search(v.limit(1), v.limit(1), 5).count() == 0

@@ -16,12 +16,16 @@ def slow_keys(url):
     for c in "?#":
         rest = rest.split(c)[0]
     host, _, path = rest.partition("/")
-    host = host.split("@")[-1].split(":")[0].lower()
+    host = host.split("@")[-1].lower()
+    address = host.startswith("[")
+    host = host[: host.index("]") + 1] if address else host.split(":")[0]
     host = host[:-1] if host.endswith(".") else host
     if not host:
         return []
     labels, seg = host.split("."), [s for s in path.split("/") if s]
-    return list(dict.fromkeys([host, *(".".join(labels[-k:]) for k in range(2, min(len(labels), 6) + 1)), *(f"{host}/{'/'.join(seg[:k])}" for k in range(1, min(len(seg), 3) + 1))]))
+    if address or (len(labels) == 4 and all(x.isdigit() for x in labels)):
+        labels = []
+    return list(dict.fromkeys([host, *(".".join(labels[-k:]) for k in range(2, len(labels) + 1)), *(f"{host}/{'/'.join(seg[:k])}" for k in range(1, len(seg) + 1))]))
 
 
 def slow_valid(entries, key, name, day):
@@ -55,7 +59,7 @@ def test_against_slow(spark):
 
 
 def test_keys(spark):
-    urls = ["https://u:p@A.b.C.d.e.f.g.h:80/x//y?z#w", "ftp://host", "nonsense", "", None, "http://", "http:///p", "http://é.fr/é/b/c/d"]
+    urls = ["https://u:p@A.b.C.d.e.f.g.h:80/x//y?z#w", "ftp://host", "nonsense", "", None, "http://", "http:///p", "http://é.fr/é/b/c/d", "http://10.0.0.1:8/x", "https://[::1]:80/a/b", "http://[fe80::1.2.3.4]", "http://1.2.3.4.5/"]
     df = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_keys(F.col("url")).alias("k"))
     for r in df.collect():
         assert sorted(r.k or []) == sorted(slow_keys(r.url)), r.url
@@ -73,7 +77,14 @@ def test_odd_rows(spark):
 
 def test_deep_entries_and_case_of_paths(spark):
     caps = [(1, "http://a.b.c.d.e.f.g.H.org/x", D(5)), (2, "http://x.org/1/2/3/4/5/6?q", D(5)), (3, "http://X.org/Ab/C", D(5)), (4, "http://x.org/ab/C", D(5))]
-    keys = ["b.c.d.e.f.g.h.org", "x.org/1/2/3/4/5", "X.Org/Ab"]
+    caps += [(5, "http://10.0.0.1/", D(5)), (6, "https://[::1]/p", D(5))]
+    keys = ["b.c.d.e.f.g.h.org", "x.org/1/2/3/4/5", "X.Org/Ab", "0.1", "[::1]"]
     c, e = spark.createDataFrame(caps, CAP), spark.createDataFrame([(k, "ads", D(0), "add") for k in keys], ENT)
     got = {r.capture_id: (r.blocked, r.key) for r in filter_urls(c, e).collect()}
-    assert got == {1: (True, "b.c.d.e.f.g.h.org"), 2: (True, "x.org/1/2/3/4/5"), 3: (True, "x.org/Ab"), 4: (False, None)}
+    assert got == {1: (True, "b.c.d.e.f.g.h.org"), 2: (True, "x.org/1/2/3/4/5"), 3: (True, "x.org/Ab"), 4: (False, None), 5: (False, None), 6: (True, "[::1]")}
+
+
+def test_captures_that_share_an_id(spark):
+    c = spark.createDataFrame([(1, "http://a.b/", D(5)), (1, "http://c.d/", D(5)), (1, "http://a.b/", D(1)), (1, "http://a.b/", D(5))], CAP)
+    e = spark.createDataFrame([("a.b", "ads", D(3), "add")], ENT)
+    assert sorted((r.blocked, r.key) for r in filter_urls(c, e).na.fill("").collect()) == [(False, ""), (False, ""), (True, "a.b"), (True, "a.b")]
