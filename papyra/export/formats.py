@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.geometry import Box, box
 from papyra.functions.numbers import percent
 from papyra.functions.text import escape_xml, is_blank, words
 
@@ -40,37 +43,57 @@ def tsv(lines: DataFrame, keys: list[str], line_id: str = "line_index") -> DataF
     )
 
 
-def _pages(lines: DataFrame, keys: list[str], line_id: str, line: Column, word: Column, line_end: str, width: int, height: int) -> DataFrame:
-    """keys, w, h, body: lines and their words as text, in order."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(line_id))
-    rows = lines.withColumn("line_num", number)
-    inner = word_rows(lines, keys, line_id).select(*keys, "line_num", "word_num", word.alias("t")).groupBy(*keys, "line_num").agg(F.array_sort(F.collect_list(F.struct("word_num", "t"))).alias("w"))
-    rows = rows.join(inner, [*keys, "line_num"], "left").withColumn("t", F.concat(line, F.coalesce(F.array_join(F.col("w.t"), ""), F.lit("")), F.lit(line_end)))
+def _pages(lines: DataFrame, keys: list[str], line_id: str, line: tuple[str, Column], word: tuple[str, Callable[[Box, Column], Column]], line_end: str, width: int, height: int) -> DataFrame:
+    """keys, body, w, h: lines and their words as text, in order.
+
+    line and word are what stands before the line's number and after it. A line's words are made in its own row, and
+    rows meet once, by page.
+    """
+    none = F.array().cast("array<struct<word:string,before:int>>")
+    step = lambda a, w: F.struct((a["n"] + F.length(w)).alias("n"), F.array_append(a["out"], F.struct(w.alias("word"), a["n"].alias("before"))).alias("out"))
+    placed = F.aggregate(words(F.coalesce("text", F.lit(""))), F.struct(F.lit(0).alias("n"), none.alias("out")), step)
+    rows = lines.withColumn("_p", placed)
+    unit, only = (F.col("max_x") - F.col("min_x")) / F.col("_p.n"), F.size("_p.out") == 1
+
+    def tail(w: Column, i: Column) -> Column:
+        right = F.when(only, F.col("max_x")).otherwise(F.col("min_x") + (w["before"] + F.length(w["word"])) * unit)
+        return F.concat(F.lit("_"), i + 1, word[1](Box(F.col("min_x") + w["before"] * unit, F.col("min_y"), right, F.col("max_y")), w["word"]))
+
+    rows = rows.withColumns({"_line": line[1], "_words": F.transform("_p.out", tail)})
+    one = lambda x, i: F.concat(F.lit(line[0]), i + 1, x["_line"], F.array_join(F.transform(x["_words"], lambda t: F.concat(F.lit(word[0]), i + 1, t)), ""), F.lit(line_end))
     size = lambda given, edge: F.lit(given) if given > 0 else F.ceil(F.greatest(F.lit(0.0), F.max(edge))).cast("int")
-    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_num", "t")))["t"], "").alias("body"), size(width, "max_x").alias("w"), size(height, "max_y").alias("h"))
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(line_id, "_line", "_words"))).alias("_l"), size(width, "max_x").alias("w"), size(height, "max_y").alias("h"))
+    return g.select(*keys, F.array_join(F.transform("_l", one), "").alias("body"), "w", "h")
 
 
-def _bbox() -> Column:
-    return F.concat_ws(" ", F.lit("bbox"), *[_int(F.col(c)) for c in ("min_x", "min_y", "max_x", "max_y")])
+def _bbox(b: Box) -> Column:
+    return F.concat_ws(" ", F.lit("bbox"), *map(_int, (b.min_x, b.min_y, b.max_x, b.max_y)))
+
+
+# fixed values: the heads that the formats demand
+HOCR_HEAD = (
+    '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Transitional//EN" "http://www.w3.org/TR/xhtml1/DTD/xhtml1-transitional.dtd">\n<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="en" lang="en">\n<head>\n'
+    f"  <meta http-equiv=\"Content-Type\" content=\"text/html;charset=utf-8\"/>\n  <meta name='ocr-system' content='{PRODUCER}'/>\n  <meta name='ocr-capabilities' content='ocr_page ocr_line ocrx_word'/>\n</head>\n<body>\n"
+)
+ALTO_HEAD = (
+    '<?xml version="1.0" encoding="UTF-8"?>\n<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#">\n  <Description>\n    <MeasurementUnit>pixel</MeasurementUnit>\n    <sourceImageInformation><fileName></fileName></sourceImageInformation>\n'
+    f'    <OCRProcessing ID="ocr_1"><ocrProcessingStep><processingSoftware><softwareName>{PRODUCER}</softwareName></processingSoftware></ocrProcessingStep></OCRProcessing>\n  </Description>\n  <Layout>\n'
+)
 
 
 def hocr(lines: DataFrame, keys: list[str], line_id: str = "line_index", width: int = 0, height: int = 0, image: Column | None = None) -> DataFrame:
     """keys, hocr: a page's lines and words with boxes and confidences."""
-    line = F.concat(F.lit("    <span class='ocr_line' id='line_"), F.col("line_num"), F.lit("' title='"), _bbox(), F.lit("'>\n"))
-    word = F.concat(F.lit("      <span class='ocrx_word' id='word_"), F.col("line_num"), F.lit("_"), F.col("word_num"), F.lit("' title='"), _bbox(), F.lit("; x_wconf "), percent(F.col("confidence")), F.lit("'>"), escape_xml(F.col("word")), F.lit("</span>\n"))
-    p = _pages(lines, keys, line_id, line, word, "    </span>\n", width, height)
-    head = (
-        '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Transitional//EN" "http://www.w3.org/TR/xhtml1/DTD/xhtml1-transitional.dtd">\n<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="en" lang="en">\n<head>\n'
-        f"  <meta http-equiv=\"Content-Type\" content=\"text/html;charset=utf-8\"/>\n  <meta name='ocr-system' content='{PRODUCER}'/>\n  <meta name='ocr-capabilities' content='ocr_page ocr_line ocrx_word'/>\n</head>\n<body>\n"
-    )
+    line = F.concat(F.lit("' title='"), _bbox(box()), F.lit("'>\n"))
+    word = lambda b, w: F.concat(F.lit("' title='"), _bbox(b), F.lit("; x_wconf "), percent(F.col("confidence")), F.lit("'>"), escape_xml(w), F.lit("</span>\n"))
+    p = _pages(lines, keys, line_id, ("    <span class='ocr_line' id='line_", line), ("      <span class='ocrx_word' id='word_", word), "    </span>\n", width, height)
     name = escape_xml(F.lit("") if image is None else image)
     page = F.concat(F.lit("  <div class='ocr_page' id='page_1' title='image \""), name, F.lit('"; bbox 0 0 '), F.col("w"), F.lit(" "), F.col("h"), F.lit("'>\n"))
-    return p.select(*keys, F.concat(F.lit(head), page, F.col("body"), F.lit("  </div>\n</body>\n</html>\n")).alias("hocr"))
+    return p.select(*keys, F.concat(F.lit(HOCR_HEAD), page, F.col("body"), F.lit("  </div>\n</body>\n</html>\n")).alias("hocr"))
 
 
-def _alto_box() -> Column:
+def _alto_box(b: Box) -> Column:
     attr = lambda name, v: F.concat(F.lit(f'{name}="'), _int(v), F.lit('"'))
-    return F.concat_ws(" ", attr("HPOS", F.col("min_x")), attr("VPOS", F.col("min_y")), attr("WIDTH", F.col("max_x") - F.col("min_x")), attr("HEIGHT", F.col("max_y") - F.col("min_y")))
+    return F.concat_ws(" ", attr("HPOS", b.min_x), attr("VPOS", b.min_y), attr("WIDTH", b.width), attr("HEIGHT", b.height))
 
 
 def three_decimals(value: Column) -> Column:
@@ -80,16 +103,12 @@ def three_decimals(value: Column) -> Column:
 
 def alto(lines: DataFrame, keys: list[str], line_id: str = "line_index", width: int = 0, height: int = 0) -> DataFrame:
     """keys, alto: version 4 of the schema."""
-    line = F.concat(F.lit('          <TextLine ID="line_'), F.col("line_num"), F.lit('" '), _alto_box(), F.lit(">\n"))
-    word = F.concat(F.lit('            <String ID="string_'), F.col("line_num"), F.lit("_"), F.col("word_num"), F.lit('" '), _alto_box(), F.lit(' WC="'), three_decimals(F.col("confidence")), F.lit('" CONTENT="'), escape_xml(F.col("word")), F.lit('"/>\n'))
-    p = _pages(lines, keys, line_id, line, word, "          </TextLine>\n", width, height)
-    head = (
-        '<?xml version="1.0" encoding="UTF-8"?>\n<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#">\n  <Description>\n    <MeasurementUnit>pixel</MeasurementUnit>\n    <sourceImageInformation><fileName></fileName></sourceImageInformation>\n'
-        f'    <OCRProcessing ID="ocr_1"><ocrProcessingStep><processingSoftware><softwareName>{PRODUCER}</softwareName></processingSoftware></ocrProcessingStep></OCRProcessing>\n  </Description>\n  <Layout>\n'
-    )
+    line = F.concat(F.lit('" '), _alto_box(box()), F.lit(">\n"))
+    word = lambda b, w: F.concat(F.lit('" '), _alto_box(b), F.lit(' WC="'), three_decimals(F.col("confidence")), F.lit('" CONTENT="'), escape_xml(w), F.lit('"/>\n'))
+    p = _pages(lines, keys, line_id, ('          <TextLine ID="line_', line), ('            <String ID="string_', word), "          </TextLine>\n", width, height)
     size = F.concat(F.lit('WIDTH="'), F.col("w"), F.lit('" HEIGHT="'), F.col("h"), F.lit('">\n'))
     page = F.concat(F.lit('    <Page ID="page_1" PHYSICAL_IMG_NR="1" '), size, F.lit('      <PrintSpace HPOS="0" VPOS="0" '), size, F.lit('        <TextBlock ID="block_1">\n'))
-    return p.select(*keys, F.concat(F.lit(head), page, F.col("body"), F.lit("        </TextBlock>\n      </PrintSpace>\n    </Page>\n  </Layout>\n</alto>\n")).alias("alto"))
+    return p.select(*keys, F.concat(F.lit(ALTO_HEAD), page, F.col("body"), F.lit("        </TextBlock>\n      </PrintSpace>\n    </Page>\n  </Layout>\n</alto>\n")).alias("alto"))
 
 
 def page_json(lines: DataFrame, keys: list[str], line_id: str = "line_index") -> DataFrame:
@@ -102,3 +121,8 @@ def page_json(lines: DataFrame, keys: list[str], line_id: str = "line_index") ->
 def table_of(rows: DataFrame) -> DataFrame:
     """Any rows as one JSON object each, nulls left out: structures, checks, table views."""
     return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def normalised_html(text: Column) -> Column:
+    """A normalised text as preformatted HTML, escaped."""
+    return F.concat(F.lit("<pre>"), escape_xml(text), F.lit("</pre>"))

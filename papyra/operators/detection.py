@@ -65,10 +65,12 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     if len(p) < 3:
         return p
 
+    turn = lambda a, b: a[0] * b[1] - a[1] * b[0]
+
     def chain(q):
         out: list[np.ndarray] = []
         for x in q:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], x - out[-2]) <= 0:
+            while len(out) > 1 and turn(out[-1] - out[-2], x - out[-2]) <= 0:
                 out.pop()
             out.append(x)
         return out[:-1]

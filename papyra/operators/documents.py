@@ -66,41 +66,60 @@ def orphan_lines(structure: DataFrame, page: DataFrame) -> DataFrame:
     return structure.unionByName(page).dropDuplicates()
 
 
-def approved_chains(links: DataFrame, most_pages: int = 64) -> DataFrame:
-    """doc_id, chain, position, page, block: the paths that approved links make from a table on; doc ids whose links branch are refused.
+def approved_chains(links: DataFrame) -> DataFrame:
+    """doc_id, chain, position, page, block: the paths that approved links make, each from the table that none continues on, of any length.
 
-    links: doc_id, from_page, from_block, to_page, to_block. A chain takes the pages one after the other, so a join for
-    each further page follows it; chains end when a join finds nothing.
+    links: doc_id, from_page, from_block, to_page, to_block. Reading the rows fails for a document whose links branch or
+    repeat, or don't lead to the next page. All of a document's links are followed in one pass.
     """
-    forks = links.groupBy("doc_id", "from_page", "from_block").count().union(links.groupBy("doc_id", "to_page", "to_block").count()).filter("count > 1")
-    if forks.limit(1).count():
-        raise ValueError("ambiguous links: a table continues in two, or two in one")
-    heads = links.join(links.select("doc_id", F.col("to_page").alias("from_page"), F.col("to_block").alias("from_block")), ["doc_id", "from_page", "from_block"], "left_anti")
-    step = heads.select("doc_id", F.struct("from_page", "from_block").alias("chain"), F.lit(0).alias("position"), F.col("from_page").alias("page"), F.col("from_block").alias("block"))
-    out = step
-    for k in range(1, most_pages):
-        step = step.join(links, (step["doc_id"] == links["doc_id"]) & (step["page"] == links["from_page"]) & (step["block"] == links["from_block"])).select(step["doc_id"], "chain", F.lit(k).alias("position"), F.col("to_page").alias("page"), F.col("to_block").alias("block"))
-        if not step.limit(1).count():
-            break
-        out = out.union(step)
-    return out
+    types = dict(links.dtypes)
+
+    def walk(rows: list[dict]):
+        onward = {(r["from_page"], r["from_block"]): (r["to_page"], r["to_block"]) for r in rows}
+        reached = set(onward.values())
+        if len(onward) < len(rows) or len(reached) < len(rows):
+            raise ValueError("ambiguous links: a table continues in two, or two in one")
+        if any(to[0] != at[0] + 1 for at, to in onward.items()):
+            raise ValueError("a table continues on the next page only")
+        for head in sorted(set(onward) - reached):
+            place, position = head, 0
+            while place:
+                yield {"doc_id": rows[0]["doc_id"], "chain": {"from_page": head[0], "from_block": head[1]}, "position": position, "page": place[0], "block": place[1]}
+                place, position = onward.get(place), position + 1
+
+    page, block = types["from_page"], types["from_block"]
+    slim = links.select("doc_id", "from_page", "from_block", "to_page", "to_block")
+    return by_page(slim, ["doc_id"], ["from_page", "from_block"], walk, f"doc_id {types['doc_id']}, chain struct<from_page:{page},from_block:{block}>, position int, page {page}, block {block}")
+
+
+def _chained(cells: DataFrame, chains: DataFrame) -> DataFrame:
+    """cells of chains with position and the row their table starts at in the joined one; an error for tables that don't belong together."""
+    c = cells.join(chains, ["doc_id", "page", "block"])
+    chain = ["doc_id", "chain"]
+    head = F.when(F.col("row") == 0, F.struct("col", "col_span", "row_span", collapse_space(F.col("text")).alias("text")))
+    t = c.groupBy(*chain, "position").agg(F.max(F.col("row") + F.col("row_span")).alias("n"), F.max(F.col("col") + F.col("col_span")).alias("width"), F.array_sort(F.collect_list(head)).alias("head"))
+    w = Window.partitionBy(*chain).orderBy("position")
+    other = (F.lag("width").over(w) != F.col("width")) | (F.lag("head").over(w) != F.col("head"))
+    kept = F.col("n") - (F.col("position") > 0).cast("int")
+    first = F.sum(kept).over(w) - F.col("n")  # rows before, less the header that goes
+    t = t.select(*chain, "position", F.when(F.coalesce(other, F.lit(False)), F.raise_error(F.lit("joined tables need as many columns and the same first row")).cast("long")).otherwise(first).alias("first"))
+    return c.join(t, [*chain, "position"])
 
 
 def join_tables(cells: DataFrame, chains: DataFrame) -> DataFrame:
-    """The cells of each chain's tables as one: rows go on, and a later table's first row is left out if it repeats the first one's.
+    """The cells of each chain's tables as one: rows go on, and the first row of each later table, which must repeat the first one's, is left out.
 
-    cells: doc_id, page, block, row, col, row_span, col_span, text.
+    cells: doc_id, page, block, row, col, row_span, col_span, text. Reading fails if column counts, or the texts,
+    columns and spans of first rows differ within a chain. See omitted_headers for what was left out.
     """
-    c = cells.join(chains, ["doc_id", "page", "block"])
-    chain = ["doc_id", "chain"]
-    top = c.filter("row = 0").groupBy(*chain, "position").agg(F.array_sort(F.collect_list(F.struct("col", collapse_space(F.col("text")).alias("t")))).alias("h"))
-    first = top.filter("position = 0").select(*chain, F.col("h").alias("h0"))
-    size = c.groupBy(*chain, "position").agg((F.max(F.col("row") + F.col("row_span"))).alias("n"))
-    plan = size.join(top, [*chain, "position"], "left").join(first, chain, "left").withColumn("omit", (F.col("position") > 0) & F.coalesce(F.col("h") == F.col("h0"), F.lit(False)))
-    used = F.col("n") - F.col("omit").cast("int")
-    plan = plan.withColumn("start", F.sum(used).over(Window.partitionBy(*chain).orderBy("position")) - used - F.col("omit").cast("int")).select(*chain, "position", "omit", "start")
-    out = c.join(plan, [*chain, "position"]).filter(~(F.col("omit") & (F.col("row") == 0)))
-    return out.select("doc_id", "chain", "page", "block", (F.col("row") + F.col("start")).cast("int").alias("row"), "col", "row_span", "col_span", "text")
+    out = _chained(cells, chains).filter((F.col("position") == 0) | (F.col("row") > 0))
+    return out.select("doc_id", "chain", "page", "block", (F.col("row") + F.col("first")).cast("int").alias("row"), "col", "row_span", "col_span", "text")
+
+
+def omitted_headers(cells: DataFrame, chains: DataFrame) -> DataFrame:
+    """The cells of first rows that join_tables leaves out."""
+    out = _chained(cells, chains).filter((F.col("position") > 0) & (F.col("row") == 0) & F.col("first").isNotNull())
+    return out.select("doc_id", "chain", "page", "block", "col", "row_span", "col_span", "text")
 
 
 def check_rules(rules: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.functions.paging import by_page
 from papyra.functions.text import bounded_count, physical_lines
@@ -43,20 +45,27 @@ def score_pairs(pairs: DataFrame, reference: str = "reference", prediction: str
     return out.withColumns({"cer": rate("char_edits", "char_count"), "wer": rate("word_edits", "word_count")}).drop("_r", "_p")
 
 
-def exact_line_lcs(pairs: DataFrame, key: str = "id", reference: str = "reference", prediction: str = "prediction") -> DataFrame:
-    """key, lcs: lines of the longest common subsequence of equal lines."""
-    slim = pairs.select(key, physical_lines(F.col(reference)).alias("a"), physical_lines(F.col(prediction)).alias("b"))
+@F.pandas_udf(T.IntegerType())
+def common_lines(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two lists, one addition of bit sets for each item of the second."""
+
+    def length(x, y) -> int:
+        places: dict[str, int] = {}
+        for i, t in enumerate(x):
+            places[t] = places.get(t, 0) | 1 << i
+        full = open_ = (1 << len(x)) - 1
+        for t in y:
+            hit = open_ & places.get(t, 0)
+            open_ = ((open_ + hit) | (open_ - hit)) & full
+        return len(x) - open_.bit_count()
 
-    def lcs(rows: list[dict]):
-        for r in rows:
-            row = [0] * (len(r["b"]) + 1)
-            for x in r["a"]:
-                left = 0
-                for j, y in enumerate(r["b"], 1):
-                    left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-            yield {key: r[key], "lcs": row[-1]}
+    return pd.Series([length(x, y) for x, y in zip(a, b)], dtype="int32")
 
-    return by_page(slim, [key], [], lcs, f"{key} {dict(slim.dtypes)[key]}, lcs int")
+
+def exact_line_lcs(pairs: DataFrame, key: str = "id", reference: str = "reference", prediction: str = "prediction") -> DataFrame:
+    """key, lcs: lines of the longest common subsequence of equal lines; a null text has none. Rows stay where they are."""
+    lines = lambda c: F.coalesce(physical_lines(F.col(c)), F.array().cast("array<string>"))
+    return pairs.select(key, common_lines(lines(reference), lines(prediction)).alias("lcs"))
 
 
 def slices(scores: DataFrame, by: list[str], document: str = "document_id") -> DataFrame:
@@ -101,20 +110,22 @@ def paired_bootstrap(scores: DataFrame, group: str = "subgroup", resamples: int
     """Per subgroup: documents, mean difference of candidate and baseline error, its 95 % interval over resampled documents, and the gate.
 
     The gate: `improved` if the interval lies below 0, `regressed` if above the margin, `inconclusive` if it reaches
-    both sides, `insufficient` for fewer than two documents. Documents are pooled first; a subgroup's differences, one
-    double each, are what a task holds.
+    both sides, `insufficient` for fewer than two documents. Documents are pooled first, then those of the same
+    difference, so a task holds a subgroup's different differences; a resample draws how often each occurs.
     """
     docs = scores.groupBy(group, "document_id").agg((F.avg("candidate_error") - F.avg("baseline_error")).alias("d"))
+    tied = docs.filter("d is not null").groupBy(group, "d").agg(F.count(F.lit(1)).alias("n"))
 
     def resample(rows: list[dict]):
-        d = np.array([r["d"] for r in rows])
-        rng = np.random.default_rng(seed)
-        means = np.array([d[rng.integers(0, len(d), len(d))].mean() for _ in range(resamples)])
-        low, high = np.percentile(means, [2.5, 97.5])
-        gate = "insufficient" if len(d) < 2 else "improved" if high < 0 else "regressed" if low > margin else "inconclusive"
-        yield {group: rows[0][group], "documents": len(d), "mean_difference": float(d.mean()), "low": float(low), "high": float(high), "gate": gate}
-
-    return by_page(docs, [group], ["document_id"], resample, f"{group} string, documents long, mean_difference double, low double, high double, gate string")
+        d, n = np.array([r["d"] for r in rows]), np.array([r["n"] for r in rows])
+        total = int(n.sum())
+        rng, each = np.random.default_rng(seed), max(1, 4_000_000 // len(d))
+        drawn = (rng.multinomial(total, n / total, min(each, resamples - i)) @ d / total for i in range(0, resamples, each))
+        low, high = np.percentile(np.concatenate(list(drawn)), [2.5, 97.5])
+        gate = "insufficient" if total < 2 else "improved" if high < 0 else "regressed" if low > margin else "inconclusive"
+        yield {group: rows[0][group], "documents": total, "mean_difference": float(n @ d / total), "low": float(low), "high": float(high), "gate": gate}
+
+    return by_page(tied, [group], ["d"], resample, f"{group} string, documents long, mean_difference double, low double, high double, gate string")
 
 
 def token_usage(calls: DataFrame, keys: list[str]) -> DataFrame:

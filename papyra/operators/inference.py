@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -18,7 +19,7 @@ _LINE = "struct<text:string,confidence:double,min_x:double,min_y:double,max_x:do
 
 
 class Recognizer(Protocol):
-    """Reads an image's bytes as lines: dicts of text, confidence and box. Raises ValueError for what it can't read."""
+    """Reads an image's bytes as lines: dicts of text, confidence and box. Raises for what it can't read."""
 
     def recognize(self, content: bytes) -> list[dict]: ...
 
@@ -47,6 +48,12 @@ class FakeRecognizer:
             raise ValueError("not readable") from None
         return [{"text": t, "confidence": 1.0, "min_x": 0.0, "min_y": 20.0 * i, "max_x": 8.0 * len(t), "max_y": 20.0 * i + 16} for i, t in enumerate(lines)]
 
+    def recognize_region(self, content: bytes, points: list[tuple[float, float]]) -> dict | None:
+        """The line, 20 units high, that the middle of the points falls on."""
+        lines = self.recognize(content)
+        at = int(sum(y for _, y in points) / len(points) // 20)
+        return {"text": lines[at]["text"], "confidence": 1.0} if 0 <= at < len(lines) else None
+
 
 class OnnxStage:
     """A model file run by onnxruntime on the CPU with one thread, as a task has one core."""
@@ -63,28 +70,35 @@ class OnnxStage:
         return [self.session.run(None, {name: x}) for x in batch]
 
 
-_made: dict[int, object] = {}
+_made: dict[str, object] = {}
 
 
-def _own(make: Callable):
-    """The worker's model, made once and used for all its tasks."""
-    key = hash(getattr(make, "__qualname__", repr(make)))
+def _own(key: str, make: Callable):
+    """The worker's model, made once for all tasks of a query: the key is the query's own. Earlier queries' models go."""
     if key not in _made:
+        _made.clear()
         _made[key] = make()
     return _made[key]
 
 
+def _reason(e: Exception) -> str:
+    """What an error row says: the message, with the kind of error unless a model or a server said so."""
+    return str(e) if isinstance(e, (ValueError, OSError)) and str(e) else f"{type(e).__name__}: {e}"
+
+
 def recognize(images: DataFrame, make: Callable[[], Recognizer], content: str = "content", stop_at_error: bool = False) -> DataFrame:
     """images without their bytes, with `lines` and `error`, exactly one of which is null; stop_at_error fails the job instead.
 
+    Whatever the recogniser raises for an image is that row's error.
+
     Filters on rows belong before this, as Spark doesn't move them through Python.
     """
     keep = [f for f in images.schema.fields if f.name != content]
     schema = T.StructType([*keep, T.StructField("lines", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in ("confidence", "min_x", "min_y", "max_x", "max_y")]]))), T.StructField("error", T.StringType())])
-    arrow = to_arrow_schema(schema)
+    arrow, key = to_arrow_schema(schema), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _own(make)
+        model = _own(key, make)
         for batch in batches:
             lines, errors = [], []
             for data in batch.column(batch.schema.get_field_index(content)).to_pylist():
@@ -93,11 +107,55 @@ def recognize(images: DataFrame, make: Callable[[], Recognizer], content: str =
                         raise ValueError("no content")
                     lines.append(model.recognize(data))
                     errors.append(None)
-                except ValueError as e:
+                except Exception as e:
+                    if stop_at_error:
+                        raise
+                    lines.append(None)
+                    errors.append(_reason(e))
+            cols = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, arrow.field("lines").type), pa.array(errors, pa.string())], schema=arrow)
+
+    return images.mapInArrow(run, schema)
+
+
+def recognize_regions(images: DataFrame, make: Callable[[], Recognizer], polygons: str = "polygons", content: str = "content", stop_at_error: bool = False) -> DataFrame:
+    """images without their bytes, with the lines that the recogniser reads in given polygons, and `error`.
+
+    polygons: array<array<struct<x,y>>>. Those of fewer than three points are left out; the others keep their order, and
+    each line its polygon's number in `region_index`. The recogniser has recognize_region(content, points), which gives
+    a line or None. A region of interest of the page doesn't apply.
+    """
+    keep = [f for f in images.schema.fields if f.name not in (content, polygons)]
+    line = T.StructType([T.StructField("region_index", T.IntegerType()), T.StructField("text", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in ("confidence", "min_x", "min_y", "max_x", "max_y")]])
+    schema = T.StructType([*keep, T.StructField("lines", T.ArrayType(line)), T.StructField("error", T.StringType())])
+    arrow, key = to_arrow_schema(schema), uuid.uuid4().hex
+
+    def read(model, data: bytes | None, regions: list) -> list[dict]:
+        if data is None:
+            raise ValueError("no content")
+        out = []
+        for i, points in enumerate(regions or []):
+            if points is None or len(points) < 3:
+                continue
+            xs, ys = [p["x"] for p in points], [p["y"] for p in points]
+            found = model.recognize_region(data, [(p["x"], p["y"]) for p in points])
+            if found is not None:
+                out.append({"region_index": i, "min_x": min(xs), "min_y": min(ys), "max_x": max(xs), "max_y": max(ys)} | found)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _own(key, make)
+        for batch in batches:
+            lines, errors = [], []
+            for row in batch.select([content, polygons]).to_pylist():
+                try:
+                    lines.append(read(model, row[content], row[polygons]))
+                    errors.append(None)
+                except Exception as e:
                     if stop_at_error:
                         raise
                     lines.append(None)
-                    errors.append(str(e))
+                    errors.append(_reason(e))
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, arrow.field("lines").type), pa.array(errors, pa.string())], schema=arrow)
 
@@ -156,10 +214,10 @@ PROMPT_CHART = 'Return one JSON object with "type", "title" and "data", a Markdo
 def _ask(rows: DataFrame, make: Callable[[], ChatModel], messages: Callable[[dict], list[dict]], needs_vision: bool = False) -> DataFrame:
     """rows with reply, prompt_tokens, completion_tokens and error."""
     schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()), T.StructField("error", T.StringType())])
-    arrow = to_arrow_schema(schema)
+    arrow, key = to_arrow_schema(schema), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _own(make)
+        model = _own(key, make)
         if needs_vision and not model.supports_vision:
             raise ValueError("the chat model can't see images")
         for batch in batches:
@@ -168,8 +226,8 @@ def _ask(rows: DataFrame, make: Callable[[], ChatModel], messages: Callable[[dic
                 try:
                     reply, asked, given = model.complete(messages(row))
                     out.append(row | {"reply": reply, "prompt_tokens": asked, "completion_tokens": given, "error": None})
-                except OSError as e:
-                    out.append(row | {"reply": None, "prompt_tokens": None, "completion_tokens": None, "error": str(e)})
+                except Exception as e:
+                    out.append(row | {"reply": None, "prompt_tokens": None, "completion_tokens": None, "error": _reason(e)})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return rows.mapInArrow(run, schema)

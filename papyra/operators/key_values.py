@@ -13,6 +13,10 @@ def normalise_label(key: Column) -> Column:
     return F.rtrim(F.regexp_replace(F.lower(collapse_space(key)), ":$", ""))
 
 
+#: Keys asked for up to which they are broadcast.
+MOST_KEYS = 10_000
+
+
 def extract_fields(lines: DataFrame, wanted: list[str], keys: list[str], line_id: str = "line_index") -> DataFrame:
     """keys, key_ordinal, key, value for each page and key in the order asked for; value is null if none is found.
 
@@ -22,7 +26,8 @@ def extract_fields(lines: DataFrame, wanted: list[str], keys: list[str], line_id
     """
     spark = lines.sparkSession
     asked = spark.createDataFrame([(i, k) for i, k in enumerate(wanted)], "key_ordinal int, key string").withColumn("_k", normalise_label(F.col("key")))
-    asked = F.broadcast(asked)  # the caller's list
+    if len(wanted) <= MOST_KEYS:
+        asked = F.broadcast(asked)
     base = lines.select(*keys, F.col(line_id).alias("i"), F.coalesce("text", F.lit("")).alias("text"), "min_x", "min_y", "max_x", "max_y")
     base = base.withColumn("n", F.lower(collapse_space(F.col("text"))))
     near = base.join(asked, (F.col("_k") != "") & F.col("n").startswith(F.col("_k")))

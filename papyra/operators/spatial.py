@@ -140,11 +140,17 @@ def union_area(rectangles: DataFrame, keys: list[str]) -> DataFrame:
     return spans.select(*keys, ((F.col("right") - F.col("left")) * added).alias("a")).groupBy(*keys).agg(F.sum("a").alias("union_area"))
 
 
+#: Zones of a template, at most: they are broadcast.
+MOST_ZONES = 10_000
+
+
 def lines_in_zones(lines: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
     """Per page and named zone, in the zones' order, the lines whose centre is in it, joined in line order; empty zones stay."""
     z = zones.select("zone_ordinal", "zone_name", *[F.col(c).alias(f"z_{c}") for c in _EDGES])
     b, zb = box(), box("z_")
-    pages = lines.select(*keys).distinct().crossJoin(F.broadcast(z))  # zones are a template's, a few
+    if z.limit(MOST_ZONES + 1).count() > MOST_ZONES:
+        raise ValueError(f"more than {MOST_ZONES} zones")
+    pages = lines.select(*keys).distinct().crossJoin(F.broadcast(z))  # every page has every zone
     hit = lines.crossJoin(F.broadcast(z)).filter(b.center_x.between(zb.min_x, zb.max_x) & b.center_y.between(zb.min_y, zb.max_y))
     found = hit.groupBy(*keys, "zone_ordinal").agg(F.array_sort(F.collect_list(F.struct("line_index", "text", "confidence"))).alias("l"))
     out = pages.select(*keys, "zone_ordinal", "zone_name").join(found, [*keys, "zone_ordinal"], "left")

@@ -10,27 +10,16 @@ from papyra.functions import geometry as G
 from papyra.functions import numbers as N
 from papyra.functions import render
 from papyra.functions import text as X
-from papyra.operators import ctc, detection, documents, enhanced_order, evaluate, key_values, layout, mrz, patterns, pdf_text, quality, reading_order, spatial, tables
+from papyra.operators import ctc, detection, documents, enhanced_order, evaluate, key_values, layout, patterns, pdf_text, quality, reading_order, spatial, tables
 from papyra.plans import views as V
+from papyra.plans.registry import ORACLE_SQL, QUERIES, query
 from papyra.sources import office as office_source
 from papyra.streaming import incremental
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 DOC, PAGE = ["doc_id"], ["page_id"]
 WIDTH, HEIGHT = 1024.0, 1100.0
 
 
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 def regions(spark, d):
     """The boxes with an id that is unique in its page."""
     w = Window.partitionBy("page_id").orderBy("box_index", "l_partkey", "l_suppkey", "max_x")
@@ -131,11 +120,6 @@ def risk_coverage(spark, d):
     return _rounded(quality.risk_coverage(s, ["split"]), "coverage", "risk")
 
 
-@query()
-def isotonic_curves(spark, d):
-    return quality.isotonic_curves(V.calibration(spark, d).filter("split = 'calibration'"))
-
-
 @query(f"""
 WITH {V.LINES_SQL}, r AS (SELECT doc_id AS page_id, line_index // 3 AS crop_id, ['latin','cyrillic','greek'][line_index % 3 + 1] AS pack, line_index % 3 AS pack_order, confidence FROM v_lines),
 b AS (SELECT page_id, crop_id, arg_max({{'p': pack, 'o': pack_order, 'c': confidence}}, {{'c': confidence, 'o': -pack_order}}) AS b FROM r GROUP BY ALL),
@@ -323,13 +307,12 @@ def _covers(a, b):
 
 
 @query(f"""
-WITH {PAGE_LINES_SQL}, f AS (SELECT * FROM v_regions r WHERE NOT EXISTS (SELECT 1 FROM v_page_lines l WHERE l.page_id = r.page_id AND l.line_index % 2 = 0 AND {_covers('r', 'l')})),
+WITH {PAGE_LINES_SQL}, f AS (SELECT * FROM v_regions r WHERE NOT EXISTS (SELECT 1 FROM v_page_lines l WHERE l.page_id = r.page_id AND {_covers('r', 'l')})),
 p AS (SELECT page_id, list({{'r': region_index, 'min_x': min_x, 'min_y': min_y, 'max_x': max_x, 'max_y': max_y}} ORDER BY region_index) AS l FROM f GROUP BY page_id),
 k AS (SELECT page_id, list_reduce(l[2:], lambda acc, x: CASE WHEN len(list_filter(acc.kept, lambda k: {_same_region('k', 'x')})) > 0 THEN acc ELSE {{'kept': list_append(acc.kept, x)}} END, {{'kept': [l[1]]}}).kept AS kept FROM p)
 SELECT page_id, x.r AS region_index FROM (SELECT page_id, unnest(kept) AS x FROM k)""")
 def missing_regions(spark, d):
-    lines = page_lines(spark, d).filter("line_index % 2 = 0")
-    return spatial.missing_regions(regions(spark, d), lines, PAGE).select("page_id", "region_index")
+    return spatial.missing_regions(regions(spark, d), page_lines(spark, d), PAGE).select("page_id", "region_index")
 
 
 @query(f"""
@@ -369,11 +352,6 @@ def page_bands(spark, d):
     return reading_order.bands(regions(spark, d), PAGE, "y", "region_index").select("page_id", "region_index", "band")
 
 
-@query()
-def plain_reading_order(spark, d):
-    return reading_order.reading_order(V.lines(spark, d), DOC).select("doc_id", "line_index", "column", "row", "position")
-
-
 @query()
 def sorted_boxes(spark, d):
     return reading_order.sorted_boxes(regions(spark, d), PAGE, "region_index").select("page_id", "region_index", "position")
@@ -456,42 +434,72 @@ def ctc_words(spark, d):
     return out.select("crop_id", F.explode(ctc.words_of_characters(F.col("characters"))).alias("w")).select("crop_id", "w.*")
 
 
-@query(f"WITH {V.PAIRS_SQL} SELECT id, levenshtein(reference, prediction) AS char_edits, length(reference) AS char_count, round(levenshtein(reference, prediction) / length(reference), 6) AS cer FROM v_pairs")
+def _edits(a, b):
+    """SQL for the edit distance of two lists: each different item is one of the 127 ASCII characters, as levenshtein counts bytes. More raise an error."""
+    names = f"list_distinct(list_concat({a}, {b}))"
+    coded = lambda x: f"array_to_string(list_transform({x}, lambda t: chr(CAST(list_position({names}, t) AS INTEGER))), '')"
+    shared = f"list_filter({names}, lambda t: list_contains({a}, t) AND list_contains({b}, t))"
+    # items of one side alone match nothing: two characters stand for them all
+    slim = lambda x, alone: f"array_to_string(list_transform({x}, lambda t: chr(CAST(coalesce(list_position({shared}, t) + 2, {alone}) AS INTEGER))), '')"
+    return f"CASE WHEN len({names}) <= 127 THEN levenshtein({coded(a)}, {coded(b)}) WHEN len({shared}) <= 125 THEN levenshtein({slim(a, 1)}, {slim(b, 2)}) ELSE error('too many different items') END"
+
+
+_CLEAN = lambda t: f"list_transform(string_split({t}, chr(10)), lambda s: trim(regexp_replace(s, '[\\s\\p{{Z}}]+', ' ', 'g')))"
+_SCORED = f"""{V.PAIRS_SQL}, n AS (SELECT id, {_CLEAN('reference')} AS rl, {_CLEAN('prediction')} AS pl FROM v_pairs),
+t AS (SELECT id, list_filter(rl, lambda x: x <> '') AS rl, list_filter(pl, lambda x: x <> '') AS pl, array_to_string(rl, chr(10)) AS r, array_to_string(pl, chr(10)) AS p FROM n),
+w AS (SELECT id, rl, pl, r, p, string_split(r, '') AS rc, string_split(p, '') AS pc, list_filter(string_split_regex(r, '\\s+'), lambda x: x <> '') AS rw, list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '') AS pw FROM t),
+scores AS (SELECT id, {_edits('rc', 'pc')} AS char_edits, length(r) AS char_count, {_edits('rw', 'pw')} AS word_edits, len(rw) AS word_count, {_edits('rl', 'pl')} AS line_edits, len(rl) AS line_count, r = p AS exact FROM w)"""
+
+
+@query(f"WITH {_SCORED} SELECT id, char_edits, char_count, round(char_edits / char_count, 6) AS cer FROM scores")
 def transcription_scores(spark, d):
     return _rounded(evaluate.score_pairs(V.pairs(spark, d)).select("id", F.col("char_edits").cast("long").alias("char_edits"), F.col("char_count").cast("long").alias("char_count"), "cer"), "cer")
 
 
-@query("""
-WITH p AS (SELECT item_id AS id, list_filter(string_split_regex(trim(text), '\\s+'), lambda t: t <> '') AS r, list_filter(string_split_regex(trim(replace(replace(text,'th','t'),'on','om')), '\\s+'), lambda t: t <> '') AS q,
-  len(list_filter(string_split(text, chr(10)), lambda t: trim(t) <> '')) AS line_count, text = replace(replace(text,'th','t'),'on','om') AS exact FROM benchmark),
-n AS (SELECT *, list_distinct(list_concat(r, q)) AS names FROM p)
-SELECT id, levenshtein(array_to_string(list_transform(r, lambda t: chr(CAST(list_position(names, t) + 32 AS INTEGER))), ''), array_to_string(list_transform(q, lambda t: chr(CAST(list_position(names, t) + 32 AS INTEGER))), '')) AS word_edits, len(r) AS word_count, line_count, exact FROM n WHERE len(names) < 94""")
+@query(f"WITH {_SCORED} SELECT id, word_edits, word_count, line_edits, line_count, round(word_edits / word_count, 6) AS wer, exact FROM scores")
 def transcription_words(spark, d):
-    """Of pairs with fewer than 94 different words, as SQL codes each as an ASCII character."""
-    p = V.pairs(spark, d, False).filter(F.size(F.array_distinct(F.concat(X.words(F.col("reference")), X.words(F.col("prediction"))))) < 94)
-    return evaluate.score_pairs(p).select("id", F.col("word_edits").cast("long").alias("word_edits"), F.col("word_count").cast("long").alias("word_count"), F.col("line_count").cast("long").alias("line_count"), "exact")
+    s = evaluate.score_pairs(V.pairs(spark, d)).select("id", *[F.col(c).cast("long").alias(c) for c in ("word_edits", "word_count", "line_edits", "line_count")], "wer", "exact")
+    return _rounded(s, "wer")
 
 
 @query(f"""
-WITH {V.PAIRS_SQL}, s AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'scan' ELSE 'photo' END AS source_kind, levenshtein(reference, prediction) AS e, length(reference) AS n FROM v_pairs)
-SELECT 'source_kind' AS slice, source_kind AS value, count(DISTINCT id // 2) AS documents, count(*) AS items, round(sum(e) / sum(n), 6) AS cer FROM s GROUP BY source_kind""")
+WITH {_SCORED}, s AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'scan' ELSE 'photo' END AS source_kind FROM scores)
+SELECT 'source_kind' AS slice, source_kind AS value, count(DISTINCT id // 2) AS documents, count(*) AS items, round(sum(char_edits) / sum(char_count), 6) AS cer, round(sum(word_edits) / sum(word_count), 6) AS wer FROM s GROUP BY source_kind""")
 def transcription_slices(spark, d):
     s = evaluate.score_pairs(V.pairs(spark, d)).withColumns({"source_kind": F.when(F.col("id") % 2 == 0, "scan").otherwise("photo"), "document_id": F.floor(F.col("id") / 2)})
-    return _rounded(evaluate.slices(s, ["source_kind"]).drop("wer"), "cer")
+    return _rounded(evaluate.slices(s, ["source_kind"]), "cer", "wer")
 
 
-@query("""
-SELECT item_id AS id, CASE WHEN text = replace(replace(text,'th','t'),'on','om') THEN 1 ELSE 0 END AS lcs FROM benchmark WHERE strpos(text, chr(10)) = 0""")
+@query(f"""
+WITH RECURSIVE {V.PAIRS_SQL}, l AS (SELECT id, string_split(reference, chr(10)) AS a, string_split(prediction, chr(10)) AS b FROM v_pairs),
+r AS (SELECT id, a, b, 0 AS i, list_transform(b, lambda y: 0) AS row FROM l
+  UNION ALL SELECT id, a, b, i + 1, list_transform(generate_series(1, len(b)), lambda j: list_max(list_transform(generate_series(1, j), lambda k: greatest(row[k], CASE WHEN b[k] = a[i + 1] THEN 1 + CASE WHEN k > 1 THEN row[k - 1] ELSE 0 END ELSE 0 END)))) FROM r WHERE i < len(a))
+SELECT id, CAST(list_max(row) AS INTEGER) AS lcs FROM r WHERE i = len(a)""")
 def exact_line_lcs(spark, d):
-    """Of texts of one line, for which SQL can tell."""
-    return evaluate.exact_line_lcs(V.pairs(spark, d, False).filter(~F.col("reference").contains("\n")))
+    return evaluate.exact_line_lcs(V.pairs(spark, d))
 
 
-@query(f"""
-WITH {V.PAIRS_SQL} SELECT id, levenshtein(reference, prediction) AS edits_before, 0 AS edits_after, CASE WHEN prediction = reference THEN 'unchanged' ELSE 'improved' END AS outcome FROM v_pairs""")
-def retry_outcomes(spark, d):
+_BOUNDED = lambda t: f"len(regexp_extract_all(regexp_replace({t}, '([^\\p{{L}}\\p{{M}}\\p{{N}}])', '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}])the(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}])'))"
+_RETRIES = f"""{V.PAIRS_SQL}, c AS (SELECT *, string_split(reference, '') AS rc, string_split(prediction, '') AS pc FROM v_pairs),
+retries AS (SELECT id, {_edits('rc', 'pc')} AS edits_before, 0 AS edits_after, CASE WHEN prediction = reference THEN 'unchanged' ELSE 'improved' END AS outcome,
+  least({_BOUNDED('prediction')}, {_BOUNDED('reference')}) AS tokens_before, {_BOUNDED('reference')} AS tokens_after FROM c)"""
+
+
+def _retries(spark, d):
     p = V.pairs(spark, d).select("id", "reference", F.col("prediction").alias("before"), F.col("reference").alias("after"), F.array(F.lit("the")).alias("critical_tokens"))
-    return evaluate.retry_outcomes(p).select("id", "edits_before", "edits_after", "outcome")
+    return evaluate.retry_outcomes(p)
+
+
+@query(f"WITH {_RETRIES} SELECT * FROM retries")
+def retry_outcomes(spark, d):
+    return _retries(spark, d).select("id", "edits_before", "edits_after", "outcome", "tokens_before", "tokens_after")
+
+
+@query(f"""
+WITH {_RETRIES} SELECT count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'improved') AS improved, 0 AS worsened, 0 AS neutral,
+  CAST(sum(edits_before) AS BIGINT) AS edits_before, 0 AS edits_after, CAST(sum(tokens_before) AS BIGINT) AS tokens_before, CAST(sum(tokens_after) AS BIGINT) AS tokens_after FROM retries""")
+def retry_summary(spark, d):
+    return evaluate.retry_summary(_retries(spark, d))
 
 
 @query(f"""
@@ -504,40 +512,22 @@ def manifest_problems(spark, d):
 
 @query()
 def paired_bootstrap(spark, d):
-    s = evaluate.score_pairs(V.pairs(spark, d, False)).select(F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("subgroup"), F.col("id").alias("document_id"), F.col("cer").alias("baseline_error"), (F.col("cer") * 0.9).alias("candidate_error"))
+    s = evaluate.score_pairs(V.pairs(spark, d)).select(F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("subgroup"), F.col("id").alias("document_id"), F.col("cer").alias("baseline_error"), (F.col("cer") * 0.9).alias("candidate_error"))
     return evaluate.paired_bootstrap(s)
 
 
-@query()
-def transcription_scores_whole(spark, d):
-    """transcription_scores, transcription_words and exact_line_lcs over all texts; their SQL can tell of some texts only."""
-    p = V.pairs(spark, d, False)
-    s = evaluate.score_pairs(p).select("id", *[F.col(c).cast("long").alias(c) for c in ("char_edits", "char_count", "word_edits", "word_count", "line_count")], "cer", "exact")
-    return _rounded(s.join(evaluate.exact_line_lcs(p), "id"), "cer")
-
-
-@query()
-def transcription_slices_whole(spark, d):
-    s = evaluate.score_pairs(V.pairs(spark, d, False)).withColumns({"source_kind": F.when(F.col("id") % 2 == 0, "scan").otherwise("photo"), "document_id": F.floor(F.col("id") / 2)})
-    return _rounded(evaluate.slices(s, ["source_kind"]), "cer", "wer")
-
-
-@query()
-def retry_outcomes_whole(spark, d):
-    p = V.pairs(spark, d, False).select("id", "reference", F.col("prediction").alias("before"), F.col("reference").alias("after"), F.array(F.lit("the")).alias("critical_tokens"))
-    return evaluate.retry_outcomes(p)
+_LETTERS = {"Latin": "a", "Cyrillic": "ж", "Greek": "λ", "Arabic": "ب", "Devanagari": "अ", "Thai": "ก", "Hangul": "한", "Kana": "か", "Han": "日", "Tamil": "அ", "Telugu": "అ"}
+_SCRIPT_COUNTS = ", ".join(f"{{'n': len(regexp_extract_all(t, '[{r}]')), 'o': {-i}, 's': '{name}'}}" for i, (name, r) in enumerate(X.SCRIPTS.items()))
 
 
-@query()
-def missing_regions_whole(spark, d):
-    """missing_regions with all lines of a page, not those of even index alone."""
-    return spatial.missing_regions(regions(spark, d), page_lines(spark, d), PAGE).select("page_id", "region_index")
-
-
-@query("""
-SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) > 0 THEN 'Latin' END AS script FROM documents""")
+@query(f"""
+WITH {V.LINES_SQL}, t AS (SELECT doc_id, line_index, text || repeat([{', '.join(f"'{c}'" for c in _LETTERS.values())}][(doc_id + line_index) % 11 + 1], CAST(doc_id * 7 % 60 AS INTEGER)) AS t FROM v_lines),
+b AS (SELECT doc_id, line_index, list_max([{_SCRIPT_COUNTS}]) AS b FROM t)
+SELECT doc_id, line_index, CASE WHEN b.n > 0 THEN b.s END AS script FROM b""")
 def dominant_script(spark, d):
-    return V.read(spark, d, "documents").select("doc_id", X.dominant_script(F.col("text")).alias("script"))
+    """Of lines with some letters of another script at their end."""
+    letter = F.element_at(F.array(*map(F.lit, _LETTERS.values())), ((F.col("doc_id") + F.col("line_index")) % 11 + 1).cast("int"))
+    return V.lines(spark, d).select("doc_id", "line_index", X.dominant_script(F.concat("text", F.repeat(letter, (F.col("doc_id") * 7 % 60).cast("int")))).alias("script"))
 
 
 @query(f"WITH {V.LINES_SQL} SELECT doc_id, line_index, length(text) AS width, length(regexp_replace(text, '\\s', '', 'g')) AS characters FROM v_lines")
@@ -618,6 +608,11 @@ x AS (SELECT *, min_x + before * ((max_x - min_x) / t) AS l, CASE WHEN len(w) =
 z AS (SELECT doc_id, CAST(ceil(greatest(0, max(max_x))) AS INTEGER) AS pw, CAST(ceil(greatest(0, max(max_y))) AS INTEGER) AS ph FROM v_lines GROUP BY doc_id)"""
 
 
+def _quoted(text):
+    """A constant in SQL."""
+    return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n"))
+
+
 def _int(x):
     return f"CAST(round_even({x}, 0) AS INTEGER)"
 
@@ -630,11 +625,9 @@ _Q = "chr(39)"
 @query(f"""
 WITH {_WORDS}, q AS (SELECT doc_id, line_index, string_agg('      <span class=' || {_Q} || 'ocrx_word' || {_Q} || ' id=' || {_Q} || 'word_' || (line_index + 1) || '_' || i || {_Q} || ' title=' || {_Q} || {_BBOX('l', 'min_y', 'r', 'max_y')} || '; x_wconf ' || {_int('least(1, greatest(0, confidence)) * 100')} || {_Q} || '>' || {_XML} || '</span>' || chr(10), '' ORDER BY i) AS ws FROM x GROUP BY ALL),
 p AS (SELECT v.doc_id, string_agg('    <span class=' || {_Q} || 'ocr_line' || {_Q} || ' id=' || {_Q} || 'line_' || (v.line_index + 1) || {_Q} || ' title=' || {_Q} || {_BBOX('min_x', 'min_y', 'max_x', 'max_y')} || {_Q} || '>' || chr(10) || coalesce(ws, '') || '    </span>' || chr(10), '' ORDER BY v.line_index) AS body FROM v_lines v LEFT JOIN q ON v.doc_id = q.doc_id AND v.line_index = q.line_index GROUP BY v.doc_id)
-SELECT doc_id, strpos(h, 'x') > 0 AS has_head, h AS hocr FROM (SELECT p.doc_id, '  <div class=' || {_Q} || 'ocr_page' || {_Q} || ' id=' || {_Q} || 'page_1' || {_Q} || ' title=' || {_Q} || 'image \"\"; bbox 0 0 ' || pw || ' ' || ph || {_Q} || '>' || chr(10) || body || '  </div>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS h FROM p JOIN z USING (doc_id))""")
+SELECT doc_id, {_quoted(formats.HOCR_HEAD)} || h AS hocr FROM (SELECT p.doc_id, '  <div class=' || {_Q} || 'ocr_page' || {_Q} || ' id=' || {_Q} || 'page_1' || {_Q} || ' title=' || {_Q} || 'image \"\"; bbox 0 0 ' || pw || ' ' || ph || {_Q} || '>' || chr(10) || body || '  </div>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS h FROM p JOIN z USING (doc_id))""")
 def export_hocr(spark, d):
-    """Without the fixed head, which SQL would only repeat."""
-    h = formats.hocr(V.lines(spark, d), DOC)
-    return h.select("doc_id", h["hocr"].startswith("<?xml").alias("has_head"), F.regexp_extract("hocr", r"(?s)<body>\n(.*)$", 1).alias("hocr"))
+    return formats.hocr(V.lines(spark, d), DOC)
 
 
 _ALTO_BOX = lambda a, b, c, d: f"'HPOS=\"' || {_int(a)} || '\" VPOS=\"' || {_int(b)} || '\" WIDTH=\"' || {_int(f'{c} - {a}')} || '\" HEIGHT=\"' || {_int(f'{d} - {b}')} || '\"'"
@@ -643,10 +636,9 @@ _ALTO_BOX = lambda a, b, c, d: f"'HPOS=\"' || {_int(a)} || '\" VPOS=\"' || {_int
 @query(f"""
 WITH {_WORDS}, q AS (SELECT doc_id, line_index, string_agg('            <String ID="string_' || (line_index + 1) || '_' || i || '" ' || {_ALTO_BOX('l', 'min_y', 'r', 'max_y')} || ' WC="' || rtrim(rtrim(printf('%.3f', confidence), '0'), '.') || '" CONTENT="' || {_XML} || '"/>' || chr(10), '' ORDER BY i) AS ws FROM x GROUP BY ALL),
 p AS (SELECT v.doc_id, string_agg('          <TextLine ID="line_' || (v.line_index + 1) || '" ' || {_ALTO_BOX('min_x', 'min_y', 'max_x', 'max_y')} || '>' || chr(10) || coalesce(ws, '') || '          </TextLine>' || chr(10), '' ORDER BY v.line_index) AS body FROM v_lines v LEFT JOIN q ON v.doc_id = q.doc_id AND v.line_index = q.line_index GROUP BY v.doc_id)
-SELECT doc_id, body AS alto FROM p""")
+SELECT p.doc_id, {_quoted(formats.ALTO_HEAD)} || '    <Page ID="page_1" PHYSICAL_IMG_NR="1" WIDTH="' || pw || '" HEIGHT="' || ph || '">' || chr(10) || '      <PrintSpace HPOS="0" VPOS="0" WIDTH="' || pw || '" HEIGHT="' || ph || '">' || chr(10) || '        <TextBlock ID="block_1">' || chr(10) || body || {_quoted("        </TextBlock>\n      </PrintSpace>\n    </Page>\n  </Layout>\n</alto>\n")} AS alto FROM p JOIN z USING (doc_id)""")
 def export_alto(spark, d):
-    """The lines, without the fixed frame, which SQL would only repeat."""
-    return formats.alto(V.lines(spark, d), DOC).select("doc_id", F.regexp_extract("alto", r'(?s)<TextBlock ID="block_1">\n(.*)        </TextBlock>', 1).alias("alto"))
+    return formats.alto(V.lines(spark, d), DOC)
 
 
 @query(f"""
@@ -661,11 +653,6 @@ def export_markdown(spark, d):
     return markdown.markdown(V.blocks(spark, d).withColumns({"table_html": F.lit(None).cast("string"), "latex": F.lit(None).cast("string")}))
 
 
-@query()
-def machine_readable_zones(spark, d):
-    return mrz.find_mrz(V.lines(spark, d), DOC, 2024)
-
-
 @query()
 def xy_cut_enhanced(spark, d):
     return enhanced_order.xy_cut_enhanced(regions(spark, d), PAGE, WIDTH, HEIGHT, "region_index").select("page_id", "region_index", "position")
@@ -679,11 +666,6 @@ def model_order(spark, d):
     return layout.model_order(r, PAGE).select("page_id", "region_index", "position")
 
 
-@query()
-def glyphs_to_lines(spark, d):
-    return pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"])
-
-
 @query("""
 WITH c AS (SELECT item_id AS page, unnest(string_split(text, '')) AS v FROM benchmark),
 n AS (SELECT page, count(*) FILTER (NOT regexp_matches(v, '^\\s$')) AS characters, CAST(0 AS BIGINT) AS invalid, count(*) FILTER (regexp_matches(v, '[\\p{L}\\p{Nd}]')) AS letters FROM c GROUP BY page)
@@ -692,33 +674,11 @@ def embedded_text_gate(spark, d):
     return pdf_text.quality_gate(V.glyphs(spark, d), ["page"])
 
 
-@query()
-def embedded_text_auto(spark, d):
-    return pdf_text.select_lines(V.glyphs(spark, d), ["page"], "Auto", 400.0, 400.0)
-
-
-@query()
-def hybrid_fusion(spark, d):
-    native = pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"])
-    visual = native.withColumns({"text": F.when(F.col("line_index") % 3 == 0, F.upper("text")).otherwise(F.col("text")), "min_x": F.col("min_x") + 2, "confidence": F.lit(0.9)})
-    return pdf_text.fuse(native, visual, ["page"], 400.0, 1000.0)
-
-
-@query()
-def searchable_text(spark, d):
-    return pdf_text.searchable_content(pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"]), ["page"], 1000.0)
-
-
 @query()
 def layout_text(spark, d):
     return render.layout_text(V.lines(spark, d), DOC)
 
 
-@query()
-def reading_text(spark, d):
-    return render.reading_text(V.lines(spark, d), DOC)
-
-
 @query()
 def block_text(spark, d):
     return render.assemble_blocks(V.lines(spark, d), DOC)
@@ -760,12 +720,6 @@ def export_xlsx(spark, d):
     return office.xlsx(V.blocks(spark, d)).select("doc_id", F.length("xlsx").alias("bytes"), F.sha2("xlsx", 256).alias("sha256"))
 
 
-@query()
-def office_round_trip(spark, d):
-    """Documents written as DOCX and read again."""
-    return office_source.office_blocks(office.docx(V.blocks(spark, d)).select(F.col("doc_id").cast("string").alias("path"), F.col("docx").alias("content")))
-
-
 @query("""
 SELECT c_custkey, CAST(least(i * 3616, greatest(w - 4000, 0)) AS INTEGER) AS start, least(w, 4000) AS length
 FROM (SELECT c_custkey, CAST(1000 + c_custkey * 13 AS INTEGER) AS w FROM customer), generate_series(0, 20) g(i) WHERE i <= greatest(0, ceil((w - 4000) / 3616.0))""")
@@ -812,3 +766,8 @@ def searchable_pdf(spark, d):
     """A file for each benchmark text's page."""
     lines = pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"]).withColumn("page_number", F.lit(1))
     return pdf.searchable_pdf(lines, "page", "page_number", "line_index", 400.0, 1000.0).select("page", F.length("pdf").alias("bytes"), F.sha2("pdf", 256).alias("sha256"))
+
+
+from papyra.plans import function_queries  # noqa: E402, F401  # its queries are registered, too
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ordered(*keys: str, by: str | list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*([by] if isinstance(by, str) else by))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' lines in two columns of a page, with a confidence."""
     t = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_index", "text"))
@@ -106,15 +110,14 @@ v_calib AS (
 )"""
 
 
-def pairs(spark: SparkSession, sf_dir: str, ascii_only: bool = True) -> DataFrame:
-    """Transcriptions and their references; DuckDB measures edit distance in bytes, so its queries keep to ASCII."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("reference"), F.replace(F.replace("text", F.lit("th"), F.lit("t")), F.lit("on"), F.lit("om")).alias("prediction"))
-    return b.filter(F.length("reference") == F.octet_length("reference")) if ascii_only else b
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcriptions and their references."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("reference"), F.replace(F.replace("text", F.lit("th"), F.lit("t")), F.lit("on"), F.lit("om")).alias("prediction"))
 
 
 PAIRS_SQL = """
 v_pairs AS (
-  SELECT item_id AS id, text AS reference, replace(replace(text,'th','t'),'on','om') AS prediction FROM benchmark WHERE length(text) = strlen(text)
+  SELECT item_id AS id, text AS reference, replace(replace(text,'th','t'),'on','om') AS prediction FROM benchmark
 )"""
 
 BLOCK_TYPES = ("Text", "Title", "Header", "Table", "Figure", "Footer")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.operators.layout import block_type
 
@@ -53,19 +55,73 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.{png,jpg,jpeg,
     return f.select("path", "length", F.when(~large, F.col("content")).alias("content"), F.when(large, F.lit("file too large")).alias("error"))
 
 
+def _jpeg_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height of the first frame header; segments before it are skipped by their lengths."""
+    at = 2
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if kind == 0xFF:  # fill
+            at += 1
+        elif kind == 0x01 or 0xD0 <= kind <= 0xD8:
+            at += 2
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        elif kind in (0xD9, 0xDA):
+            return None
+        else:
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
+
+def _tiff_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height of the first directory, of classic and large files."""
+    order = "little" if data[:2] == b"II" else "big"
+    number = lambda at, n: int.from_bytes(data[at : at + n], order)
+    wide = number(2, 2) == 43
+    first, n_count, entry = (number(8, 8), 8, 20) if wide else (number(4, 4), 2, 12)
+    found = {}
+    for i in range(min(number(first, n_count), 4096)):
+        at = first + n_count + i * entry
+        tag, kind = number(at, 2), number(at + 2, 2)
+        if tag in (256, 257) and kind in (3, 4, 16):
+            found[tag] = number(at + (12 if wide else 8), {3: 2, 4: 4, 16: 8}[kind])
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+_SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
+
+
+@F.pandas_udf(_SIZE)
+def _walked_size(content: pd.Series) -> pd.DataFrame:
+    sizes = [None if c is None else _jpeg_size(c) if c[:2] == b"\xff\xd8" else _tiff_size(c) for c in content]
+    return pd.DataFrame([(None, None) if s is None else s for s in sizes], columns=["width", "height"]).astype("Int64")
+
+
 def image_size(content: Column) -> Column:
-    """struct<width,height> from the header of PNG, GIF and BMP bytes, without decoding; null for others."""
+    """struct<width,height> from the header of PNG, GIF, BMP, WebP, JPEG and TIFF bytes, without decoding; null for others and broken headers.
+
+    Only JPEG and TIFF, whose sizes have no fixed place, go to Python.
+    """
     b = lambda i, n: F.hex(F.substring(content, i, n))
     big = lambda i, n: F.conv(b(i, n), 16, 10).cast("long")
     little = lambda i, n: F.conv(F.concat(*[b(i + k, 1) for k in reversed(range(n))]), 16, 10).cast("long")
-    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
-    return F.when(b(1, 8) == "89504E470D0A1A0A", size(big(17, 4), big(21, 4))).when(b(1, 4) == "47494638", size(little(7, 2), little(9, 2))).when(b(1, 2) == "424D", size(little(19, 4), little(23, 4)))
+    size = lambda w, h: F.struct(w.cast("long").alias("width"), h.cast("long").alias("height"))
+    low = lambda v, n: v.bitwiseAND(F.lit((1 << n) - 1))
+    jpeg, tiff, webp = b(1, 3) == "FFD8FF", b(1, 4).isin("49492A00", "4D4D002A", "49492B00", "4D4D002B"), (b(1, 4) == "52494646") & (b(9, 4) == "57454250")
+    walked = _walked_size(F.when(jpeg | tiff, content))
+    known = (
+        F.when(b(1, 8) == "89504E470D0A1A0A", size(big(17, 4), big(21, 4))).when(b(1, 4) == "47494638", size(little(7, 2), little(9, 2))).when(b(1, 2) == "424D", size(little(19, 4), F.when(little(23, 4) >= 1 << 31, (1 << 32) - little(23, 4)).otherwise(little(23, 4))))
+        .when(webp & (b(13, 4) == "56503858"), size(little(25, 3) + 1, little(28, 3) + 1)).when(webp & (b(13, 4) == "5650384C"), size(low(little(22, 4), 14) + 1, low(F.shiftright(little(22, 4), 14), 14) + 1))
+        .when(webp & (b(13, 4) == "56503820"), size(low(little(27, 2), 14), low(little(29, 2), 14))).when(jpeg | tiff, F.struct(walked["width"].alias("width"), walked["height"].alias("height")))
+    )
+    return F.when((known["width"] > 0) & (known["height"] > 0), known)
 
 
 def guard_pixels(images: DataFrame, most_pixels: int = 178_956_970) -> DataFrame:
-    """images with an error where the header promises more pixels."""
+    """images with an error, and no content, where the header promises more pixels or tells no size."""
     s = image_size(F.col("content"))
-    return images.withColumn("error", F.coalesce("error", F.when(s["width"] * s["height"] > most_pixels, F.lit("too many pixels")))).withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
+    wrong = F.when(F.col("content").isNull(), F.lit(None)).when(s.isNull(), F.lit("no image of a known size")).when(s["width"] * s["height"] > most_pixels, F.lit("too many pixels"))
+    return images.withColumn("error", F.coalesce("error", wrong)).withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
 
 
 def explode_frames(images: DataFrame, frames: str = "frames") -> DataFrame:

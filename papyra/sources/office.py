@@ -24,14 +24,22 @@ _HEADERS = ("header", "footer")
 
 @dataclass(frozen=True)
 class Limits:
-    """What a file may have; beyond it, it is an error row."""
+    """What a file may have; beyond it, it is an error row. Bytes expanded count each time a part is read, images and texts each time they occur."""
 
-    file_bytes: int = 64_000_000
-    expanded_bytes: int = 256_000_000
-    part_bytes: int = 64_000_000
+    # fixed values
+    file_bytes: int = 64 << 20
+    expanded_bytes: int = 256 << 20
+    part_bytes: int = 32 << 20
     entries: int = 10_000
+    sections: int = 1_000
     blocks: int = 100_000
-    cells: int = 1_000_000
+    images: int = 100
+    xml_characters: int = 16 << 20
+    text_characters: int = 32 << 20
+
+    def __post_init__(self):
+        if min(vars(self).values()) < 1:
+            raise ValueError("limits must be 1 or more")
 
 
 def local(tag: str) -> str:
@@ -47,18 +55,24 @@ class Package:
         if len(infos) > limits.entries or sum(i.file_size for i in infos) > limits.expanded_bytes:
             raise ValueError("package too large")
         self.names = {i.filename.lstrip("/") for i in infos}
+        self.expanded = 0
 
     def read(self, name: str) -> bytes:
         with self.zip.open(name) as f:
             data = f.read(self.limits.part_bytes + 1)
         if len(data) > self.limits.part_bytes:
             raise ValueError(f"part too large: {name}")
+        self.expanded += len(data)
+        if self.expanded > self.limits.expanded_bytes:
+            raise ValueError("package too large")
         return data
 
     def xml(self, name: str) -> ET.Element:
         data = self.read(name)
         if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
             raise ValueError(f"declarations are not allowed: {name}")
+        if len(data) > self.limits.xml_characters and len(data.decode("utf-8", "replace")) > self.limits.xml_characters:
+            raise ValueError(f"part with too many characters: {name}")
         return ET.fromstring(data)
 
     def main(self) -> tuple[str, str]:
@@ -213,7 +227,6 @@ def read_xlsx(pkg: Package, part: str) -> Iterator[dict]:
         if kind == "sharedStrings" and name in pkg.names:
             shared = ["".join(t.text or "" for t in si.iter() if local(t.tag) == "t") for si in pkg.xml(name) if local(si.tag) == "si"]
     sheets = [(x.get("name"), links[x.get(f"{_REL}id")][1]) for x in pkg.xml(part).iter() if local(x.tag) == "sheet"]
-    total = 0
     for i, (title, name) in enumerate(sheets):
         root = pkg.xml(name)
         merges = {}
@@ -227,9 +240,6 @@ def read_xlsx(pkg: Package, part: str) -> Iterator[dict]:
             if at in seen:
                 raise ValueError(f"repeated cell {c.get('r')} in {title}")
             seen.add(at)
-            total += 1
-            if total > pkg.limits.cells:
-                raise ValueError("too many cells")
             kind, value, formula = c.get("t"), _child(c, "v"), _child(c, "f")
             if kind == "inlineStr":
                 text = "".join(t.text or "" for t in c.iter() if local(t.tag) == "t")
@@ -246,11 +256,15 @@ def read_office(data: bytes, limits: Limits = Limits()) -> list[dict]:
     try:
         pkg = Package(data, limits)
         kind, part = pkg.main()
-        rows = []
+        rows, sections, images, characters = [], set(), 0, 0
         for row in {"docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx}[kind](pkg, part):
             rows.append(row | {"block": len(rows)})
-            if len(rows) > (limits.cells if kind == "xlsx" else limits.blocks):
-                raise ValueError("too many blocks")
+            sections.add(row.get("section"))
+            images += row["kind"] == "image"
+            characters += 0 if row["kind"] == "image" else len(row.get("text") or "")
+            for n, most, what in ((len(rows), limits.blocks, "blocks"), (len(sections), limits.sections, "sections"), (images, limits.images, "images"), (characters, limits.text_characters, "characters")):
+                if n > most:
+                    raise ValueError(f"too many {what}")
         return rows
     except (zipfile.BadZipFile, KeyError, ET.ParseError, IndexError, AttributeError, NotImplementedError) as e:
         raise ValueError(f"broken file: {type(e).__name__}: {e}") from None

@@ -14,15 +14,15 @@ from papyra.operators.inference import Recognizer, recognize
 
 @dataclass(frozen=True)
 class BatchOptions:
-    """Files of a micro-batch, tasks that read them, whether an error ends the query, whether files keep the order of their names."""
+    """Files of a micro-batch, the most tasks that read at a time (none: as many as input splits), whether an error ends the query, whether files keep the order of their names."""
 
     window: int = 32
-    degree: int = 2
+    degree: int | None = None
     continue_on_error: bool = True
     ordered: bool = False
 
     def __post_init__(self):
-        if self.window < 1 or self.degree < 1:
+        if self.window < 1 or (self.degree is not None and self.degree < 1):
             raise ValueError("window and degree must be 1 or more")
 
 
@@ -32,8 +32,10 @@ def file_stream(spark: SparkSession, folder: str, pattern: str = "*", options: B
 
 
 def recognise_files(files: DataFrame, make: Callable[[], Recognizer], options: BatchOptions = BatchOptions()) -> DataFrame:
-    """path, lines, error for files of a batch or a stream; in a batch they are numbered by path if `ordered`."""
-    slim = files.select("path", "content").repartition(options.degree)
+    """path, lines, error for files of a batch or a stream; a batch is sorted by path if `ordered`. Files stay where they were read: no bytes are shuffled."""
+    slim = files.select("path", "content")
+    if options.degree:
+        slim = slim.coalesce(options.degree)
     out = recognize(slim, make, stop_at_error=not options.continue_on_error)
     if options.ordered and not files.isStreaming:
         out = out.orderBy("path")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions.render import block_text, display_order, group_rows, joined_rows, layout_lines
 from papyra.operators import detection as D
-from papyra.operators.inference import FakeRecognizer, ask, explode_lines, extract_with_model, fields_of_reply, first_json_object, parse_charts, recognize
+from papyra.operators.inference import FakeRecognizer, ask, explode_lines, extract_with_model, fields_of_reply, first_json_object, parse_charts, recognize, recognize_regions
 from papyra.sources import inputs as I
 from papyra.streaming.incremental import BatchOptions, file_stream, progress, recognise_files, windowed_counts, write_pages
 
@@ -98,6 +98,13 @@ def test_recogniser_and_chat(spark):
     assert [(r.path, r.line_index, r.text) for r in explode_lines(pages).collect()] == [("a", 0, "one"), ("a", 1, "two")]
     with pytest.raises(Exception, match="not readable|no content"):
         recognize(images, FakeRecognizer, stop_at_error=True).collect()
+    makers = [(lambda n: lambda: type("M", (), {"recognize": lambda self, c: [{"text": n, "confidence": 1.0}] if c else 1 / 0})())(n) for n in "ab"]
+    assert [{r.lines[0].text if r.lines else r.error for r in recognize(images.limit(1).coalesce(1), m).collect()} for m in makers] == [{"a"}, {"b"}]
+    none = spark.createDataFrame([("d", b"")], "path string, content binary")
+    assert recognize(none, makers[0]).first().error == "ZeroDivisionError: division by zero"
+    given = images.withColumn("polygons", F.expr("array(array(struct(0d as x, 22d as y), struct(9d as x, 22d as y), struct(9d as x, 36d as y)), array(struct(0d as x, 0d as y)), array(struct(0d as x, 90d as y), struct(1d as x, 90d as y), struct(1d as x, 91d as y)))"))
+    read = {r.path: r for r in recognize_regions(given, FakeRecognizer).collect()}
+    assert [(x.region_index, x.text, x.min_y, x.max_y) for x in read["a"].lines] == [(0, "two", 22.0, 36.0)] and read["b"].error == "not readable" and read["c"].error == "no content"
     docs = spark.createDataFrame([(1, "text"), (2, "fail")], "doc_id long, markdown string")
     rows = extract_with_model(docs, ["Name", "Total", "none"], echo()).orderBy("doc_id", "key_ordinal").collect()
     assert [(r.key, r.value, r.prompt_tokens) for r in rows[:3]] == [("Name", "A}b", 3), ("Total", "12.50", 3), ("none", None, 3)] and rows[3].error == "down"
@@ -121,7 +128,19 @@ def test_inputs(spark):
     png = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
     images = spark.createDataFrame([("p", png, None), ("x", b"abc", None)], "path string, content binary, error string")
     assert {r.path: r.s for r in images.select("path", I.image_size(F.col("content")).alias("s")).collect()}["p"] == (640, 480)
-    assert {r.path: r.error for r in I.guard_pixels(images, 1000).collect()} == {"p": "too many pixels", "x": None}
+    assert {r.path: r.error for r in I.guard_pixels(images, 1000).collect()} == {"p": "too many pixels", "x": "no image of a known size"}
+    le, be = lambda v, n: v.to_bytes(n, "little"), lambda v, n: v.to_bytes(n, "big")
+    webp = lambda form, body: b"RIFF" + le(99, 4) + b"WEBP" + form + le(10, 4) + body + b"\0" * 8
+    tiff = lambda order, o: order + o(42, 2) + o(8, 4) + o(3, 2) + b"".join(o(t, 2) + o(k, 2) + o(1, 4) + (o(v, 2) + b"\0\0" if k == 3 else o(v, 4)) for t, k, v in ((254, 4, 0), (256, 3, 700), (257, 4, 300)))
+    jpeg = b"\xff\xd8\xff\xe1" + be(70_000 % 65536, 2) + b"x" * (70_000 % 65536 - 2) + b"\xff\xff\xc2" + be(11, 2) + b"\x08" + be(300, 2) + be(700, 2) + b"\0" * 9
+    forms = {
+        "gif": b"GIF89a" + le(700, 2) + le(300, 2), "bmp": b"BM" + b"\0" * 16 + le(700, 4) + (-300).to_bytes(4, "little", signed=True), "jpeg": jpeg, "tiff": tiff(b"II", le), "motorola": tiff(b"MM", be),
+        "vp8x": webp(b"VP8X", b"\0" * 4 + le(699, 3) + le(299, 3)), "vp8l": webp(b"VP8L", b"\x2f" + le(699 | 299 << 14, 4)), "vp8": webp(b"VP8 ", b"\0" * 6 + le(700, 2) + le(300, 2)),
+    }
+    files = spark.createDataFrame([(k, v, None) for k, v in forms.items()] + [("cut", jpeg[:40], None), ("none", None, None)], "path string, content binary, error string")
+    assert {r.path: r.s for r in files.select("path", I.image_size(F.col("content")).alias("s")).collect()} == {k: (700, 300) for k in forms} | {"cut": None, "none": None}
+    assert {r.error for r in I.guard_pixels(files.filter("path <> 'none'"), 209_999).collect()} == {"too many pixels", "no image of a known size"}
+    assert {r.error for r in I.guard_pixels(files.filter("path <> 'cut'"), 210_000).collect()} == {None}
     assert I.parse_label_map("a: 1\nlabel_list:\n- text\n- 'doc_title'\nnext: 2") == [(0, "text"), (1, "doc_title")] and I.parse_label_map("x\n\ny") == [(0, "x"), (1, "y")]
     assert [r.type for r in I.label_map(spark, "text\nimage\nodd").orderBy("class_id").collect()] == ["Text", "Figure", "Unknown"]
     one = lambda c: spark.range(1).select(c.alias("x")).first().x

@@ -188,8 +188,19 @@ def test_documents(spark):
     assert sorted((r.position, r.page, r.block) for r in chain.collect()) == [(0, 1, 1), (1, 2, 1), (2, 3, 0)]
     cells = spark.createDataFrame([(1, p, b, r, c, 1, 1, f"h{c}" if r == 0 else f"{p}.{r}.{c}") for p, b in ((1, 1), (2, 1), (3, 0)) for r in range(2) for c in range(2)], "doc_id long, page int, block int, row int, col int, row_span int, col_span int, text string")
     assert [r.text for r in documents.join_tables(cells, chain).orderBy("row", "col").collect()] == ["h0", "h1", "1.1.0", "1.1.1", "2.1.0", "2.1.1", "3.1.0", "3.1.1"]
-    with pytest.raises(ValueError):
-        documents.approved_chains(links.union(spark.createDataFrame([(1, 1, 1, 5, 0)], links.schema)))
+    assert [(r.page, r.text) for r in documents.omitted_headers(cells, chain).orderBy("page", "col").collect()] == [(2, "h0"), (2, "h1"), (3, "h0"), (3, "h1")]
+    for other, said in (((1, 1, 1, 2, 0), "ambiguous"), ((1, 1, 0, 2, 1), "ambiguous"), ((1, 1, 1, 2, 1), "ambiguous"), ((1, 5, 0, 7, 0), "next page")):
+        with pytest.raises(Exception, match=said):
+            documents.approved_chains(links.union(spark.createDataFrame([other], links.schema))).collect()
+    long = spark.range(300).selectExpr("2L as doc_id", "cast(id as int) as from_page", "0 as from_block", "cast(id + 1 as int) as to_page", "0 as to_block")
+    assert documents.approved_chains(long).agg(F.max("position")).first()[0] == 300
+    for wrong in (F.when((F.col("page") == 2) & (F.col("row") == 0), "other").otherwise(F.col("text")),):
+        with pytest.raises(Exception, match="same first row"):
+            documents.join_tables(cells.withColumn("text", wrong), chain).collect()
+    with pytest.raises(Exception, match="same first row"):
+        documents.join_tables(cells.filter("page <> 3 or col = 0"), chain).collect()
+    with pytest.raises(Exception, match="same first row"):
+        documents.join_tables(cells.withColumn("row_span", F.when((F.col("page") == 3) & (F.col("row") == 0), 2).otherwise(1)), chain).collect()
 
 
 def test_ctc(spark):
