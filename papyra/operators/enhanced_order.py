@@ -477,8 +477,10 @@ class Page:
 
 
 def enhanced_order(rows: list[dict], width: float, height: float) -> list[int]:
-    """A permutation of the rows (label and box)."""
-    return list(range(len(rows))) if len(rows) < 2 else Page(rows, width, height).order()
+    """A permutation of the rows (label and box); boxes count as far as they are on the page."""
+    cut = lambda v, top: min(max(v, 0.0), top)
+    inside = [r | {"min_x": cut(r["min_x"], width), "min_y": cut(r["min_y"], height), "max_x": cut(r["max_x"], width), "max_y": cut(r["max_y"], height)} for r in rows]
+    return list(range(len(rows))) if len(rows) < 2 else Page(inside, width, height).order()
 
 
 def xy_cut_enhanced(blocks: DataFrame, keys: list[str], width: float, height: float, id_col: str = "block_index") -> DataFrame:

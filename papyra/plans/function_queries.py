@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from papyra.export import formats, office
+from papyra.export import formats, office, pdf
 from papyra.functions import geometry as G
 from papyra.functions import numbers as N
 from papyra.functions import render
 from papyra.functions import text as X
-from papyra.operators import ctc, detection, documents, evaluate, layout, mrz, patterns, pdf_text, quality, reading_order, tables
+from papyra.operators import ctc, detection, documents, evaluate, layout, mrz, patterns, pdf_text, preprocess, quality, reading_order, structure, tables
+from papyra.options import PreprocessingOptions
 from papyra.plans import views as V
 from papyra.plans.queries import PAGE, PAGE_LINES_SQL, REGIONS_SQL, page_lines, regions
 from papyra.plans.registry import query
 from papyra.sources import inputs
 from papyra.sources import office as office_source
+from papyra.sources import pdf as pdf_source
 
 DOC = ["doc_id"]
 
@@ -600,3 +602,35 @@ def text_sheet_round_trip(spark, d):
     """Documents without tables written as XLSX and read again."""
     files = office.xlsx(V.blocks(spark, d)).select(F.col("doc_id").cast("string").alias("path"), F.col("xlsx").alias("content"))
     return office_source.office_blocks(files).select("path", "section_name", "kind", "row", "col", "text")
+
+
+@query(f"WITH {_GLYPH_LINES} SELECT CAST(page AS VARCHAR) AS path, 1 AS page_number, line_index, text, 'EmbeddedText' AS source, round(min_x) AS min_x, round(min_y) AS min_y, round(max_x) AS max_x, round(max_y) AS max_y FROM glyph_lines")
+def pdf_text_layer(spark, d):
+    """Searchable PDF files of the benchmark's texts, read again at the resolution they were written at."""
+    lines = pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"]).withColumn("page_number", F.lit(1))
+    files = pdf.searchable_pdf(lines, "page", "page_number", "line_index", 400.0, 4000.0).select(F.col("page").cast("string").alias("path"), F.col("pdf").alias("content"))
+    got = pdf_source.pdf_lines(files, "Hybrid", 200.0)
+    return got.select("path", "page_number", "line_index", "text", "source", *[F.round(c).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS path, 1 AS page_number, 144.0::DOUBLE AS width, 1440.0::DOUBLE AS height, CAST(NULL AS VARCHAR) AS error FROM benchmark UNION ALL SELECT 'none', NULL, NULL, NULL, 'no PDF file'")
+def pdf_page_sizes(spark, d):
+    lines = pdf_text.glyphs_to_lines(V.glyphs(spark, d), ["page"]).withColumn("page_number", F.lit(1))
+    files = pdf.searchable_pdf(lines, "page", "page_number", "line_index", 400.0, 4000.0).select(F.col("page").cast("string").alias("path"), F.col("pdf").alias("content"))
+    return pdf_source.pdf_pages(files.union(spark.createDataFrame([("none", b"nothing")], "path string, content binary")))
+
+
+@query("""
+WITH p AS (SELECT vec_id AS page_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings), l AS (SELECT page_id, i, i % 8 AS x, i // 8 AS y, least(255, floor(abs(CAST(v AS DOUBLE)) * 1000)) AS g FROM p),
+m AS (SELECT a.page_id, a.i, a.g >= avg(b.g) * 0.85 AS white FROM l a JOIN l b ON a.page_id = b.page_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.page_id, a.i, a.g)
+SELECT page_id, 8 AS width, 8 AS height, 0.0::DOUBLE AS deskew_degrees, string_agg(CASE WHEN white THEN 'FF' ELSE '00' END, '' ORDER BY i) AS pixels FROM m GROUP BY page_id""")
+def binarized_images(spark, d):
+    """Of grey images of 8 x 8 that the embeddings make."""
+    grey = F.transform("embedding", lambda v: F.lpad(F.hex(F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 1000))), 2, "0"))
+    images = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), F.unhex(F.array_join(grey, "")).alias("pixels"))
+    return preprocess.preprocess(images, PreprocessingOptions(binarize=True)).select("page_id", "width", "height", "deskew_degrees", F.hex("pixels").alias("pixels"))
+
+
+@query(f"""WITH {V.BOXES_SQL} SELECT page_id, box_index, l_partkey, label <> 'image' AND label <> 'formula' AS matchable FROM v_boxes""")
+def matchable_regions(spark, d):
+    return V.boxes(spark, d).select("page_id", "box_index", "l_partkey", structure.text_matchable(layout.block_type(F.col("label"))).alias("matchable"))

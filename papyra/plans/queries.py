@@ -10,7 +10,7 @@ from papyra.functions import geometry as G
 from papyra.functions import numbers as N
 from papyra.functions import render
 from papyra.functions import text as X
-from papyra.operators import ctc, detection, documents, enhanced_order, evaluate, key_values, layout, patterns, pdf_text, quality, reading_order, spatial, tables
+from papyra.operators import ctc, detection, documents, enhanced_order, evaluate, key_values, layout, patterns, pdf_text, quality, reading_order, spatial, structure, tables
 from papyra.plans import views as V
 from papyra.plans.registry import ORACLE_SQL, QUERIES, query
 from papyra.sources import office as office_source
@@ -220,12 +220,34 @@ def layout_unclip(spark, d):
     return _rounded(layout.unclip_regions(regions(spark, d), 1.2, WIDTH, HEIGHT).select("page_id", "region_index", "min_x", "min_y", "max_x", "max_y"), "min_x", "min_y", "max_x", "max_y")
 
 
-@query()
+def _sweep(source, order, more=""):
+    """SQL that goes through a page's pairs in order; of two that overlap by over half of the smaller one, one is gone for the pairs that follow."""
+    area = lambda k: f"((l[x.{k}].max_x - l[x.{k}].min_x) * (l[x.{k}].max_y - l[x.{k}].min_y))"
+    both = "greatest(0, least(l[x.i].max_x, l[x.j].max_x) - greatest(l[x.i].min_x, l[x.j].min_x)) * greatest(0, least(l[x.i].max_y, l[x.j].max_y) - greatest(l[x.i].min_y, l[x.j].min_y))"
+    return f"""sw_p AS (SELECT page_id, list({{'r': region_index, 'label': label, 'min_x': min_x, 'min_y': min_y, 'max_x': max_x, 'max_y': max_y{more}}} ORDER BY {order}) AS l FROM {source} GROUP BY page_id),
+sw_q AS (SELECT page_id, l, flatten(list_transform(generate_series(1, len(l)), lambda i: list_transform(generate_series(i + 1, len(l)), lambda j: {{'i': i, 'j': j}}))) AS pairs FROM sw_p),
+sw_g AS (SELECT page_id, l, list_reduce(pairs, lambda a, x: CASE WHEN list_contains(a.g, x.i) OR list_contains(a.g, x.j) OR least({area('i')}, {area('j')}) <= 0 OR {both} / least({area('i')}, {area('j')}) <= 0.5 THEN a
+  ELSE {{'g': list_append(a.g, CASE WHEN (l[x.i].label = 'image') <> (l[x.j].label = 'image') THEN CASE WHEN l[x.i].label = 'image' THEN x.i ELSE x.j END WHEN {area('i')} <= {area('j')} THEN x.i ELSE x.j END)}} END, {{'g': CAST([] AS BIGINT[])}}).g AS g FROM sw_q),
+swept AS (SELECT page_id, u.x AS r FROM (SELECT page_id, unnest(list_transform(list_filter(generate_series(1, len(l)), lambda i: NOT list_contains(g, i)), lambda i: {{'x': l[i]}})) AS u FROM sw_g))"""
+
+
+@query(f"WITH {REGIONS_SQL}, {_sweep('v_regions', 'region_index')} SELECT page_id, r.r AS region_index FROM swept")
 def layout_overlap_filter(spark, d):
     return layout.drop_overlapping(regions(spark, d), PAGE).select("page_id", "region_index")
 
 
-@query()
+@query(f"""
+WITH {REGIONS_SQL}, f AS (SELECT * FROM v_regions WHERE score > CASE label WHEN 'paragraph_title' THEN 0.3 WHEN 'text' THEN 0.4 WHEN 'formula' THEN 0.3 ELSE 0.5 END),
+n_p AS (SELECT page_id, list({{'r': region_index, 'label': label, 'score': score, 'min_x': min_x, 'min_y': min_y, 'max_x': max_x, 'max_y': max_y}} ORDER BY score DESC, region_index) AS l FROM f GROUP BY page_id),
+n_k AS (SELECT page_id, list_reduce(l[2:], lambda acc, x: CASE WHEN len(list_filter(acc.kept, lambda k: {_iou('k', 'x', 1)} >= CASE WHEN k.label = x.label THEN 0.6 ELSE 0.98 END)) > 0 THEN acc ELSE {{'kept': list_append(acc.kept, x)}} END, {{'kept': [l[1]]}}).kept AS kept FROM n_p),
+n AS (SELECT page_id, u.r AS region_index, u.label, u.score, u.min_x, u.min_y, u.max_x, u.max_y FROM (SELECT page_id, unnest(kept) AS u FROM n_k)),
+b AS (SELECT *, label <> 'image' OR (least(1024, max_x) - greatest(0, min_x)) * (least(1100, max_y) - greatest(0, min_y)) <= 0.93 * 1024 * 1100 AS fits FROM n),
+o AS (SELECT * FROM (SELECT *, bool_or(fits) OVER (PARTITION BY page_id) AS any_fits, count(*) OVER (PARTITION BY page_id) AS m FROM b) WHERE fits OR NOT any_fits OR m <= 1),
+{_PAIRS.replace('v_regions', 'o')},
+c AS (SELECT page_id, region_index, label, score, min_x, min_y, max_x, max_y, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, region_index) AS position FROM o r
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.page_id = r.page_id AND p.i = r.region_index AND ol IN ('paragraph_title', 'image', 'formula'))),
+{_sweep('c', 'position', ", 'position': position")}
+SELECT page_id, r.r AS region_index, r.label, r.position FROM swept""")
 def layout_post_process(spark, d):
     r = regions(spark, d).withColumn("order_index", F.lit(None).cast("int"))
     return layout.post_process(r, PAGE, WIDTH, HEIGHT).select("page_id", "region_index", "label", "position")
@@ -768,6 +790,14 @@ def searchable_pdf(spark, d):
     return pdf.searchable_pdf(lines, "page", "page_number", "line_index", 400.0, 1000.0).select("page", F.length("pdf").alias("bytes"), F.sha2("pdf", 256).alias("sha256"))
 
 
+@query()
+def page_structure(spark, d):
+    """Regions and lines of a page as blocks in reading order."""
+    r = regions(spark, d).withColumn("order_index", F.lit(None).cast("int"))
+    lines = page_lines(spark, d).withColumn("confidence", F.lit(0.9))
+    return structure.page_blocks(r, lines, PAGE, WIDTH, HEIGHT).select("page_id", "block_index", "type", "block_order", "text", "orphan")
+
+
 from papyra.plans import function_queries  # noqa: E402, F401  # its queries are registered, too
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
