@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import kept, pieces, text_or_empty
+from papyra.llm._shared import kept, pieces, table, text_or_empty
 
 SPACE = "▁"
 #: Documents of a language that the model is fitted on, about; and the most languages a model may have, for its memory: more are refused, none is left out.
-SAMPLE_DOCS, MOST_LANGUAGES = 1500, 2000
+SAMPLE_DOCS, MOST_LANGUAGES = 1500, 500
 #: Rounds of expectation maximisation; pseudo-counts drawn from the pooled probabilities; log probability of a letter that is no piece.
 ROUNDS, PRIOR, UNKNOWN = 3, 50.0, -16.0
 MOST_WORDS, MOST_PIECE = 300_000, 12
+#: Tasks that the fit is dealt to: its words are those of a bounded sample.
+FIT_PARTS = 16
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -116,15 +118,44 @@ def forward(lattice: Lattice, logp: np.ndarray, words: list[str], counts: np.nda
     return out
 
 
-def fit_pieces(lattice: Lattice, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probability of (piece, language) by expectation maximisation; the last row is for letters that are no piece."""
-    langs = counts.shape[1]
+def _first_guess(lattice: Lattice, langs: int) -> np.ndarray:
     logp = np.full((lattice.size + 1, langs), -np.log(max(lattice.size, 1)))
     logp[-1] = UNKNOWN
+    return logp
+
+
+def _next_guess(total: np.ndarray) -> np.ndarray:
+    """Log probabilities from the pieces' expected counts, drawn towards those of all languages; the last row is for letters that are no piece."""
+    total = total[:-1]
+    pooled = (total.sum(axis=1) + 0.1) / (total.sum() + 0.1 * len(total))
+    logp = np.log((total + PRIOR * pooled[:, None]) / (total.sum(axis=0) + PRIOR))
+    return np.concatenate([logp, np.full((1, logp.shape[1]), UNKNOWN)])
+
+
+def fit_pieces(lattice: Lattice, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probability of (piece, language) by expectation maximisation over the words' counts, all at once."""
+    logp = _first_guess(lattice, counts.shape[1])
     for _ in range(rounds):
-        total = sum((forward(lattice, logp, words[i : i + 20_000], counts[i : i + 20_000]) for i in range(0, len(words), 20_000)), np.zeros((lattice.size + 1, langs)))[:-1]
-        pooled = (total.sum(axis=1) + 0.1) / (total.sum() + 0.1 * lattice.size)
-        logp[:-1] = np.log((total + PRIOR * pooled[:, None]) / (total.sum(axis=0) + PRIOR))
+        logp = _next_guess(forward(lattice, logp, words, counts))
+    return logp
+
+
+def fit_pieces_by_parts(vocabulary: list[str], words: DataFrame, langs: int, rounds: int = ROUNDS) -> np.ndarray:
+    """fit_pieces of rows (word, counts array<double>), a part in each task: expected counts are summed up there, one matrix each, and words stay where they are."""
+    logp = _first_guess(Lattice(vocabulary), langs)
+    key = uuid.uuid4().hex
+    for _ in range(rounds):
+
+        def expect(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
+            lattice = kept(("lattice", key), lambda: Lattice(vocabulary))
+            total = np.zeros((lattice.size + 1, langs))
+            for batch in batches:
+                if batch.num_rows:
+                    total += forward(lattice, logp, batch.column(0).to_pylist(), batch.column(1).flatten().to_numpy().reshape(-1, langs))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        parts = sorted(r["total"] for r in words.mapInArrow(expect, "total binary").collect())  # FIT_PARTS at most; sorted, so that sums are the same each time
+        logp = _next_guess(sum(np.frombuffer(x).reshape(logp.shape) for x in parts))
     return logp
 
 
@@ -183,7 +214,7 @@ def held_out(id_col) -> F.Column:
 
 
 def fit_language_model(labelled: DataFrame, vocabulary: list[str], lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    """Fits on about `sample_docs` rows of each language, drawn by a hash of the key; only their word counts reach the driver.
+    """Fits on about `sample_docs` rows of each language, drawn by a hash of the key; only pieces' expected counts reach the driver, not texts or words.
 
     Rows without text or language are left out. No labelled row at all gives a model without languages; more than
     MOST_LANGUAGES languages raise an error. Repeated rows are drawn together; other columns don't matter.
@@ -206,14 +237,12 @@ def fit_language_model(labelled: DataFrame, vocabulary: list[str], lang_col: str
                     seen[lang, w] = seen.get((lang, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
-    found = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     languages = sorted(sizes)
-    number = {k: i for i, k in enumerate(languages)}
-    words = sorted(set(found["word"].to_pylist()))
-    place = {w: i for i, w in enumerate(words)}
-    counts = np.zeros((len(words), len(languages)))
-    counts[[place[w] for w in found["word"].to_pylist()], [number[x] for x in found["lang"].to_pylist()]] = found["n"].to_numpy()
-    return LanguageModel(vocabulary, languages, fit_pieces(Lattice(vocabulary), words, counts))
+    by_lang = found.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))  # MOST_LANGUAGES entries at most
+    words = by_lang.select("word", F.transform(F.array(*map(F.lit, languages)), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0)).cast("double")).alias("counts"))
+    words = table(words.repartition(FIT_PARTS, "word").sortWithinPartitions("word"), "language-words")
+    return LanguageModel(vocabulary, languages, fit_pieces_by_parts(vocabulary, words, len(languages)))
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.llm.language_id import UNKNOWN, Lattice, LanguageModel, Scorer, fit_pieces, forward, identify, public_vocabulary, words_of
+from papyra.llm.language_id import UNKNOWN, Lattice, LanguageModel, Scorer, fit_language_model, fit_pieces, fit_pieces_by_parts, forward, held_out, identify, predict_language, public_vocabulary, words_of
 
 VOC = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab", "é"]
 
@@ -46,6 +46,51 @@ def test_fit_gives_distributions():
     assert [a for a, _ in found] == ["x", "y", "und", "und", "x"] and all(0 <= s <= 1 for _, s in found)
 
 
+def test_fit_by_parts_is_the_fit(spark):
+    rng = np.random.default_rng(2)
+    words = ["a", "ab", "abab", "aabba", "zaéb", "bbabab", "aba", "b"]
+    counts = rng.integers(0, 9, (len(words), 3)).astype(float)
+    rows = spark.createDataFrame([(w, c.tolist()) for w, c in zip(words, counts)], "word string, counts array<double>").repartition(3)
+    assert np.allclose(fit_pieces_by_parts(VOC, rows, 3), fit_pieces(Lattice(VOC), words, counts))
+
+
+def plain_word(word, number, logp):
+    """Log probability of a word by sums from the left, one piece after the other."""
+    w = "▁" + word
+    sums = [np.zeros(logp.shape[1])]
+    for j in range(1, len(w) + 1):
+        ways = [sums[i] + logp[number[w[i:j]]] for i in range(max(0, j - 16), j) if w[i:j] in number]
+        if w[j - 1] not in number:
+            ways.append(sums[j - 1] + logp[-1])
+        sums.append(np.logaddexp.reduce(ways, axis=0))
+    return sums[-1]
+
+
+def test_predictions_against_plain_version(spark, vocabulary):
+    """Every row, whole texts: words summed one by one from the model's probabilities, which come from the rows not held out alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit_language_model(docs.filter(~held_out(F.col("doc_id"))), vocabulary)
+    number, known = {p: i for i, p in enumerate(vocabulary)}, {}
+    got = {r.doc_id: r for r in predict_language(docs, model).collect()}
+    rows = docs.collect()
+    assert set(got) == {r.doc_id for r in rows} and len(model.languages) > 2
+    for r in rows:
+        words = [w for w in "".join(c if c.isalpha() or c.isalnum() and not c.isdigit() and c != "_" else " " for c in (r.text or "").lower()).split()]
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total = sum(known.setdefault(w, plain_word(w, number, model.logp)) if w not in known else known[w] for w in words)
+        top = int(total.argmax())
+        assert got[r.doc_id].lang_pred == model.languages[top]
+        assert got[r.doc_id].score == pytest.approx(1 / np.exp(total - total[top]).sum(), abs=1e-6)
+
+
+def test_languages_are_refused_not_dropped(spark):
+    many = spark.range(501).selectExpr("id as doc_id", "concat('l', id) as lang", "'word' as text")
+    with pytest.raises(ValueError, match="languages"):
+        fit_language_model(many, VOC)
+
+
 def test_words():
     assert words_of("Ünï-code 12x_y ²") == ["ünï", "code", "x", "y", "²"] and words_of("² 34") == []
 
