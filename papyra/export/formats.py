@@ -9,28 +9,36 @@ from pyspark.sql import functions as F
 
 from papyra.functions.geometry import Box, box
 from papyra.functions.numbers import percent
-from papyra.functions.text import escape_xml, is_blank, words
+from papyra.functions.text import count_characters, escape_xml, words
 
 PRODUCER = "papyra"
 
 
 def _int(value: Column) -> Column:
-    return F.bround(value).cast("int")
+    """Halves to even, as rint has it; far cheaper than by decimals."""
+    return F.rint(value).cast("int")
 
 
-def word_rows(lines: DataFrame, keys: list[str], line_id: str = "line_index") -> DataFrame:
-    """keys, line number and word number from 1 on, word, box, confidence: a line's width is dealt in proportion to characters."""
-    none = F.array().cast("array<struct<word:string,before:int>>")
-    step = lambda a, w: F.struct((a["n"] + F.length(w)).alias("n"), F.array_append(a["out"], F.struct(w.alias("word"), a["n"].alias("before"))).alias("out"))
-    placed = F.aggregate(words(F.col("text")), F.struct(F.lit(0).alias("n"), none.alias("out")), step)
+def _words(lines: DataFrame, keys: list[str], line_id: str) -> DataFrame:
+    """lines with line_num from 1 on, and a row for each word: _i from 0 on, word, its box in `_w`; a line without words has one row and no word.
+
+    A line's width is dealt in proportion to characters. All is in generated code: one shuffle by page, and sums that run along a line.
+    """
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(line_id))
-    base = lines.withColumn("line_num", number).filter(~is_blank(F.col("text")))
-    base = base.select(*keys, "line_num", "confidence", "min_x", "min_y", "max_x", "max_y", placed.alias("_p"))
-    out = base.select(*keys, "line_num", "confidence", "min_x", "min_y", "max_x", "max_y", F.col("_p.n").alias("_t"), F.size("_p.out").alias("_n"), F.posexplode("_p.out").alias("_i", "_w"))
+    found = words(F.coalesce("text", F.lit("")))
+    base = lines.select(*keys, "confidence", "min_x", "min_y", "max_x", "max_y", number.alias("line_num"), F.size(found).alias("_n"), count_characters(F.col("text")).alias("_t"), found.alias("_words"))
+    out = base.select(*[c for c in base.columns if c != "_words"], F.posexplode_outer("_words").alias("_i", "word"))
+    along = Window.partitionBy(*keys, "line_num").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("word")).over(along), F.lit(0))
     unit = (F.col("max_x") - F.col("min_x")) / F.col("_t")
-    before = F.col("_w.before")
-    right = F.when(F.col("_n") == 1, F.col("max_x")).otherwise(F.col("min_x") + (before + F.length("_w.word")) * unit)
-    return out.select(*keys, "line_num", (F.col("_i") + 1).alias("word_num"), F.col("_w.word").alias("word"), (F.col("min_x") + before * unit).alias("min_x"), "min_y", right.alias("max_x"), "max_y", "confidence")
+    right = F.when(F.col("_n") == 1, F.col("max_x")).otherwise(F.col("min_x") + (F.col("_before") + F.length("word")) * unit)
+    return out.withColumn("_before", before).withColumns({"_left": F.col("min_x") + F.col("_before") * unit, "_right": right})
+
+
+def word_rows(lines: DataFrame, keys: list[str], line_id: str = "line_index") -> DataFrame:
+    """keys, line number and word number from 1 on, word, box, confidence."""
+    w = _words(lines, keys, line_id).filter("word is not null")
+    return w.select(*keys, "line_num", (F.col("_i") + 1).alias("word_num"), "word", F.col("_left").alias("min_x"), "min_y", F.col("_right").alias("max_x"), "max_y", "confidence")
 
 
 def tsv(lines: DataFrame, keys: list[str], line_id: str = "line_index") -> DataFrame:
@@ -43,27 +51,15 @@ def tsv(lines: DataFrame, keys: list[str], line_id: str = "line_index") -> DataF
     )
 
 
-def _pages(lines: DataFrame, keys: list[str], line_id: str, line: tuple[str, Column], word: tuple[str, Callable[[Box, Column], Column]], line_end: str, width: int, height: int) -> DataFrame:
-    """keys, body, w, h: lines and their words as text, in order.
-
-    line and word are what stands before the line's number and after it. A line's words are made in its own row, and
-    rows meet once, by page.
-    """
-    none = F.array().cast("array<struct<word:string,before:int>>")
-    step = lambda a, w: F.struct((a["n"] + F.length(w)).alias("n"), F.array_append(a["out"], F.struct(w.alias("word"), a["n"].alias("before"))).alias("out"))
-    placed = F.aggregate(words(F.coalesce("text", F.lit(""))), F.struct(F.lit(0).alias("n"), none.alias("out")), step)
-    rows = lines.withColumn("_p", placed)
-    unit, only = (F.col("max_x") - F.col("min_x")) / F.col("_p.n"), F.size("_p.out") == 1
-
-    def tail(w: Column, i: Column) -> Column:
-        right = F.when(only, F.col("max_x")).otherwise(F.col("min_x") + (w["before"] + F.length(w["word"])) * unit)
-        return F.concat(F.lit("_"), i + 1, word[1](Box(F.col("min_x") + w["before"] * unit, F.col("min_y"), right, F.col("max_y")), w["word"]))
-
-    rows = rows.withColumns({"_line": line[1], "_words": F.transform("_p.out", tail)})
-    one = lambda x, i: F.concat(F.lit(line[0]), i + 1, x["_line"], F.array_join(F.transform(x["_words"], lambda t: F.concat(F.lit(word[0]), i + 1, t)), ""), F.lit(line_end))
+def _pages(lines: DataFrame, keys: list[str], line_id: str, line: Column, word: Callable[[Box], Column], line_end: str, width: int, height: int) -> DataFrame:
+    """keys, body, w, h: lines and their words as text, in order. A line's first word brings its head, the last its end."""
+    w = _words(lines, keys, line_id)
+    place = Box(F.col("_left"), F.col("min_y"), F.col("_right"), F.col("max_y"))
+    none = F.col("word").isNull()
+    t = F.concat(F.when(none | (F.col("_i") == 0), line).otherwise(""), F.when(none, "").otherwise(word(place)), F.when(none | (F.col("_i") == F.col("_n") - 1), line_end).otherwise(""))
     size = lambda given, edge: F.lit(given) if given > 0 else F.ceil(F.greatest(F.lit(0.0), F.max(edge))).cast("int")
-    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(line_id, "_line", "_words"))).alias("_l"), size(width, "max_x").alias("w"), size(height, "max_y").alias("h"))
-    return g.select(*keys, F.array_join(F.transform("_l", one), "").alias("body"), "w", "h")
+    g = w.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_num", "_i", t.alias("t")))).alias("l"), size(width, "max_x").alias("w"), size(height, "max_y").alias("h"))
+    return g.select(*keys, F.array_join(F.col("l.t"), "").alias("body"), "w", "h")
 
 
 def _bbox(b: Box) -> Column:
@@ -83,9 +79,10 @@ ALTO_HEAD = (
 
 def hocr(lines: DataFrame, keys: list[str], line_id: str = "line_index", width: int = 0, height: int = 0, image: Column | None = None) -> DataFrame:
     """keys, hocr: a page's lines and words with boxes and confidences."""
-    line = F.concat(F.lit("' title='"), _bbox(box()), F.lit("'>\n"))
-    word = lambda b, w: F.concat(F.lit("' title='"), _bbox(b), F.lit("; x_wconf "), percent(F.col("confidence")), F.lit("'>"), escape_xml(w), F.lit("</span>\n"))
-    p = _pages(lines, keys, line_id, ("    <span class='ocr_line' id='line_", line), ("      <span class='ocrx_word' id='word_", word), "    </span>\n", width, height)
+    line = F.concat(F.lit("    <span class='ocr_line' id='line_"), F.col("line_num"), F.lit("' title='"), _bbox(box()), F.lit("'>\n"))
+    number = F.concat(F.col("line_num"), F.lit("_"), F.col("_i") + 1)
+    word = lambda b: F.concat(F.lit("      <span class='ocrx_word' id='word_"), number, F.lit("' title='"), _bbox(b), F.lit("; x_wconf "), percent(F.col("confidence")), F.lit("'>"), escape_xml(F.col("word")), F.lit("</span>\n"))
+    p = _pages(lines, keys, line_id, line, word, "    </span>\n", width, height)
     name = escape_xml(F.lit("") if image is None else image)
     page = F.concat(F.lit("  <div class='ocr_page' id='page_1' title='image \""), name, F.lit('"; bbox 0 0 '), F.col("w"), F.lit(" "), F.col("h"), F.lit("'>\n"))
     return p.select(*keys, F.concat(F.lit(HOCR_HEAD), page, F.col("body"), F.lit("  </div>\n</body>\n</html>\n")).alias("hocr"))
@@ -103,9 +100,10 @@ def three_decimals(value: Column) -> Column:
 
 def alto(lines: DataFrame, keys: list[str], line_id: str = "line_index", width: int = 0, height: int = 0) -> DataFrame:
     """keys, alto: version 4 of the schema."""
-    line = F.concat(F.lit('" '), _alto_box(box()), F.lit(">\n"))
-    word = lambda b, w: F.concat(F.lit('" '), _alto_box(b), F.lit(' WC="'), three_decimals(F.col("confidence")), F.lit('" CONTENT="'), escape_xml(w), F.lit('"/>\n'))
-    p = _pages(lines, keys, line_id, ('          <TextLine ID="line_', line), ('            <String ID="string_', word), "          </TextLine>\n", width, height)
+    line = F.concat(F.lit('          <TextLine ID="line_'), F.col("line_num"), F.lit('" '), _alto_box(box()), F.lit(">\n"))
+    number = F.concat(F.col("line_num"), F.lit("_"), F.col("_i") + 1)
+    word = lambda b: F.concat(F.lit('            <String ID="string_'), number, F.lit('" '), _alto_box(b), F.lit(' WC="'), three_decimals(F.col("confidence")), F.lit('" CONTENT="'), escape_xml(F.col("word")), F.lit('"/>\n'))
+    p = _pages(lines, keys, line_id, line, word, "          </TextLine>\n", width, height)
     size = F.concat(F.lit('WIDTH="'), F.col("w"), F.lit('" HEIGHT="'), F.col("h"), F.lit('">\n'))
     page = F.concat(F.lit('    <Page ID="page_1" PHYSICAL_IMG_NR="1" '), size, F.lit('      <PrintSpace HPOS="0" VPOS="0" '), size, F.lit('        <TextBlock ID="block_1">\n'))
     return p.select(*keys, F.concat(F.lit(ALTO_HEAD), page, F.col("body"), F.lit("        </TextBlock>\n      </PrintSpace>\n    </Page>\n  </Layout>\n</alto>\n")).alias("alto"))

@@ -87,7 +87,7 @@ def calibrated(raw: Column, knots: list[tuple[float, float]]) -> Column:
 
 def percent(confidence: Column) -> Column:
     """0 to 100, halves to even."""
-    return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)) * 100).cast("int")
+    return F.rint(F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)) * 100).cast("int")
 
 
 def column_number(letters: Column) -> Column:

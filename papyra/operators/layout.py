@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.functions.geometry import box, box_of, clamp, contained, iou, unclip
-from papyra.functions.paging import by_page
+from papyra.functions.geometry import box, box_of, clamp, contained, intersection, iou, unclip
 from papyra.operators.spatial import greedy_keep
 
 # fixed values: defaults of the layout step
@@ -104,29 +103,29 @@ def unclip_regions(regions: DataFrame, ratio: float, width: float, height: float
 def drop_overlapping(regions: DataFrame, keys: list[str], order: str = "region_index") -> DataFrame:
     """Of two regions that overlap by over half of the smaller one, an image loses to another kind, else the smaller one.
 
-    The sweep over a page's pairs depends on their order, as one dropped early takes no part later.
+    The fold over a page's pairs depends on their order, as one dropped early takes no part later; it stays in the JVM,
+    and on rows that are together by page already nothing is shuffled.
     """
-
-    def sweep(rows: list[dict]):
-        area = [(r["max_x"] - r["min_x"]) * (r["max_y"] - r["min_y"]) for r in rows]
-        gone = [False] * len(rows)
-        for i, a in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                if gone[i]:
-                    break
-                b = rows[j]
-                least = min(area[i], area[j])
-                if gone[j] or least <= 0:
-                    continue
-                both = max(0, min(a["max_x"], b["max_x"]) - max(a["min_x"], b["min_x"])) * max(0, min(a["max_y"], b["max_y"]) - max(a["min_y"], b["min_y"]))
-                if both / least <= DUPLICATE_OVERLAP:
-                    continue
-                images = a["label"] == "image", b["label"] == "image"
-                first = images[0] if images[0] != images[1] else area[i] <= area[j]
-                gone[i if first else j] = True
-        return [r for r, g in zip(rows, gone) if not g]
-
-    return by_page(regions, keys, [order], sweep, regions.schema)
+    row = F.struct(*[c for c in regions.columns if c not in keys]).alias("row")
+    pages = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "min_x", "min_y", "max_x", "max_y", (F.col("label") == "image").alias("image"), row))).alias("all"))
+    every, n = F.col("all"), F.size("all")
+    after = lambda i: F.when(i + 1 < n, F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), after))
+
+    def overlap(p: Column) -> Column:
+        a, b = box_of(F.get(every, p["i"])), box_of(F.get(every, p["j"]))
+        least = F.least(a.area, b.area)
+        return (least > 0) & (intersection(a, b) / least > DUPLICATE_OVERLAP)
+
+    def loser(p: Column) -> Column:
+        a, b = F.get(every, p["i"]), F.get(every, p["j"])
+        first = F.when(a["image"] != b["image"], a["image"]).otherwise(box_of(a).area <= box_of(b).area)
+        return F.when(first, p["i"]).otherwise(p["j"])
+
+    hits = pages.withColumn("hits", F.filter(pairs, overlap))  # few, so the fold is short
+    gone = F.aggregate("hits", F.array().cast("array<int>"), lambda g, p: F.when(F.array_contains(g, p["i"]) | F.array_contains(g, p["j"]), g).otherwise(F.array_append(g, loser(p))))
+    kept = hits.withColumn("gone", F.when(F.size("hits") > 0, gone)).select(*keys, F.explode(F.when(F.size("hits") > 0, F.filter(every, lambda r, i: ~F.array_contains(F.col("gone"), i))).otherwise(every)).alias("k"))
+    return kept.select(*keys, "k.row.*").select(*regions.columns)
 
 
 def fix_labels(regions: DataFrame, keys: list[str]) -> DataFrame:
