@@ -30,7 +30,7 @@ def _words(lines: DataFrame, keys: list[str], line_id: str) -> DataFrame:
     out = base.select(*[c for c in base.columns if c != "_words"], F.posexplode_outer("_words").alias("_i", "word"))
     along = Window.partitionBy(*keys, "line_num").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.length("word")).over(along), F.lit(0))
-    unit = (F.col("max_x") - F.col("min_x")) / F.col("_t")
+    unit = (F.col("max_x") - F.col("min_x")) / F.nullif(F.col("_t"), F.lit(0))  # a line without words has no unit
     right = F.when(F.col("_n") == 1, F.col("max_x")).otherwise(F.col("min_x") + (F.col("_before") + F.length("word")) * unit)
     return out.withColumn("_before", before).withColumns({"_left": F.col("min_x") + F.col("_before") * unit, "_right": right})
 
