@@ -75,6 +75,12 @@ def auto_dpi(width_points: Column, height_points: Column) -> Column:
     return F.when(inches > 0, F.greatest(F.lit(150), F.least(F.lit(400), F.floor(4000 / inches)))).otherwise(F.lit(400)).cast("int")
 
 
+def auto_dpi_of(width_points: float, height_points: float) -> int:
+    """auto_dpi of one page."""
+    inches = max(width_points, height_points) / 72
+    return max(150, min(400, int(4000 // inches))) if inches > 0 else 400
+
+
 def calibrated(raw: Column, knots: list[tuple[float, float]]) -> Column:
     """Piecewise linear through ascending knots, clamped at the ends; 0 for what isn't finite."""
     out = F.lit(float(knots[-1][1]))

@@ -17,6 +17,7 @@ from papyra.plans.registry import query
 from papyra.sources import inputs
 from papyra.sources import office as office_source
 from papyra.sources import pdf as pdf_source
+from papyra.streaming import incremental
 
 DOC = ["doc_id"]
 
@@ -634,3 +635,21 @@ def binarized_images(spark, d):
 @query(f"""WITH {V.BOXES_SQL} SELECT page_id, box_index, l_partkey, label <> 'image' AND label <> 'formula' AS matchable FROM v_boxes""")
 def matchable_regions(spark, d):
     return V.boxes(spark, d).select("page_id", "box_index", "l_partkey", structure.text_matchable(layout.block_type(F.col("label"))).alias("matchable"))
+
+
+# streams ------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) - to_minutes(5 * k) AS s, ts, event_type, value FROM events, generate_series(0, 2) g(k))
+SELECT s AS window_start, s + INTERVAL 15 MINUTES AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE ts >= s AND ts < s + INTERVAL 15 MINUTES GROUP BY ALL""")
+def sliding_events(spark, d):
+    return incremental.windowed_counts(V.read(spark, d, "events"), "15 minutes", "5 minutes").withColumn("total", F.round("total", 4))
+
+
+@query("""
+WITH e AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTES AS session_end, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def session_events(spark, d):
+    return incremental.session_counts(V.read(spark, d, "events")).withColumn("total", F.round("total", 4))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -59,3 +60,27 @@ def windowed_counts(events: DataFrame, length: str = "5 minutes", slide: str | N
     w = F.window(time, length, slide) if slide else F.window(time, length)
     g = events.withWatermark(time, late).groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n", "total")
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", time: str = "ts", by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """Events per session and key: a session goes on while events are less than the gap apart; batch or stream."""
+    g = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return g.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "n", "total")
+
+
+def running_totals(events: DataFrame, key: str = "user_id", time: str = "ts", idle: str = "NoTimeout") -> DataFrame:
+    """Keyed state over a stream: key, n, total, last after each micro-batch that has events of the key, over all events so far."""
+    kind = dict(events.dtypes)[key]
+    out = f"{key} {kind}, n long, total double, last timestamp"
+
+    def fold(group, batches, state):
+        n, total, last = state.get if state.exists else (0, 0.0, None)
+        for b in batches:
+            n, total = n + len(b), total + float(b["value"].sum())
+            newest = b[time].max().to_pydatetime()
+            last = newest if last is None or newest > last else last
+        state.update((n, total, last))
+        yield pd.DataFrame({key: [group[0]], "n": [n], "total": [total], "last": [last]})
+
+    slim = events.select(key, F.col(time).cast("timestamp").alias(time), F.col("value").cast("double").alias("value")).filter(F.col("value").isNotNull())
+    return slim.groupBy(key).applyInPandasWithState(fold, out, "n long, total double, last timestamp", "update", idle)

@@ -3,10 +3,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyra.functions.render import block_text, display_order, group_rows, joined_rows, layout_lines
+from papyra import options as O
 from papyra.operators import detection as D
+from papyra.operators import rendering
 from papyra.operators.inference import FakeRecognizer, ask, explode_lines, extract_with_model, fields_of_reply, first_json_object, parse_charts, recognize, recognize_regions
 from papyra.sources import inputs as I
-from papyra.streaming.incremental import BatchOptions, file_stream, progress, recognise_files, windowed_counts, write_pages
+from papyra.streaming.incremental import BatchOptions, file_stream, progress, recognise_files, running_totals, windowed_counts, write_pages
 
 
 def echo():
@@ -163,3 +165,50 @@ def test_stream_of_files(spark, tmp_path):
         BatchOptions(window=0)
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_frames_and_pages(spark):
+    def decoder():
+        class Decoder:
+            def frames(self, content):
+                for i, part in enumerate(content.split(b"|")):
+                    if part == b"bad":
+                        raise RuntimeError("broken frame")
+                    yield len(part), i + 1, part
+
+        return Decoder()
+
+    images = spark.createDataFrame([("a", b"one|three"), ("b", b"x|bad|y"), ("c", None), ("d", b"1|2|3|4")], "path string, content binary")
+    got = [(r.path, r.frame_index, r.pixels and bytes(r.pixels), r.error) for r in rendering.read_frames(images, decoder, most_frames=3).collect()]
+    assert got == [("a", 0, b"one", None), ("a", 1, b"three", None), ("b", 0, b"x", None), ("b", None, None, "RuntimeError: broken frame"), ("c", None, None, "no content"), ("d", 0, b"1", None), ("d", 1, b"2", None), ("d", 2, b"3", None), ("d", None, None, "more than 3 frames")]
+    assert [r.error for r in rendering.read_frames(images.limit(1), decoder, most_pixels=5).collect()] == [None, "too many pixels"]
+
+    def renderer():
+        class Renderer:
+            def sizes(self, content):
+                return [(72.0 * (i + 1), 36.0) for i in range(len(content))]
+
+            def render(self, content, page, dpi):
+                return page * dpi, dpi // 2, content[page - 1 : page]
+
+        return Renderer()
+
+    files = spark.createDataFrame([("a", b"xyz"), ("b", b"")], "path string, content binary")
+    pages = rendering.render_pages(files, renderer, "2-", O.PdfOptions(dpi=100)).collect()
+    assert [(r.path, r.page_number, r.width, r.height, r.pixels and bytes(r.pixels)) for r in pages] == [("a", 2, 200, 50, b"y"), ("a", 3, 300, 50, b"z"), ("b", None, None, None, None)] and pages[2].error == "the page range selects no page"
+    assert [r.width for r in rendering.render_pages(files, renderer, "1", auto_dpi=True).filter("error is null").collect()] == [400]
+    assert {r.error for r in rendering.render_pages(files.limit(1), renderer, None, O.PdfOptions(most_pages=2)).collect()} == {"more than 2 pages"}
+    assert [r.error for r in rendering.render_pages(files.limit(1), renderer, None, O.PdfOptions(dpi=72, most_pixels=72 * 36)).collect()] == [None, "page 2 has too many pixels"]
+
+
+def test_keyed_state(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    parts = tmp_path / "in"
+    for i in range(3):
+        events.filter(F.pmod(F.col("event_id"), F.lit(3)) == i).write.mode("append").parquet(str(parts))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(str(parts))
+    q = running_totals(stream).writeStream.format("memory").queryName("totals_so_far").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = {r.user_id: (r.n, round(r.total, 4)) for r in spark.sql("SELECT user_id, max(n) AS n, max_by(total, n) AS total FROM totals_so_far GROUP BY user_id").collect()}
+    want = {r.user_id: (r.n, round(r.total, 4)) for r in events.filter("value is not null").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).collect()}
+    assert got == want
