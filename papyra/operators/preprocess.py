@@ -7,6 +7,7 @@ such rows; each image is worked on by itself, in Arrow batches, so nothing is sh
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from papyra.operators.detection import homography
+from papyra.operators.inference import _own
 from papyra.options import PreprocessingOptions
 
 # fixed values: brightness above which content counts as light, resolutions' difference that matters, skew that is looked for and that is undone
@@ -166,6 +169,53 @@ def draw(image: np.ndarray, polygons: list[list[tuple[float, float]]], colour: t
     return out
 
 
+def sample(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values at places given in pixel centres, bilinear, edges repeated."""
+    h, w = image.shape[:2]
+    x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    fx, fy = x - x0, y - y0
+    if image.ndim == 3:
+        fx, fy = fx[..., None], fy[..., None]
+    a = image.astype(float)
+    out = (a[y0, x0] * (1 - fx) + a[y0, x1] * fx) * (1 - fy) + (a[y1, x0] * (1 - fx) + a[y1, x1] * fx) * fy
+    return np.rint(out).clip(0, 255).astype(np.uint8)
+
+
+def rectify_quad(image: np.ndarray, quad: np.ndarray, tall: float = 1.5) -> np.ndarray:
+    """The part under four corners, from the upper left on clockwise, seen from the front; a part over 1.5 times as high as wide is turned to lie."""
+    side = lambda i, j: float(np.linalg.norm(quad[i] - quad[j]))
+    width, height = max(1, round(max(side(0, 1), side(2, 3)))), max(1, round(max(side(0, 3), side(1, 2))))
+    h = homography(np.array([[0, 0], [width, 0], [width, height], [0, height]], float), quad)
+    gx, gy = np.meshgrid(np.arange(width) + 0.5, np.arange(height) + 0.5)
+    u, v, w = (h[i, 0] * gx + h[i, 1] * gy + h[i, 2] for i in range(3))
+    out = sample(image, u / w - 0.5, v / w - 0.5)
+    return np.rot90(out) if height >= width * tall else out
+
+
+def _along(points: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Places on a line through points at shares of its length."""
+    steps = np.r_[0, np.cumsum(np.linalg.norm(np.diff(points, axis=0), axis=1))]
+    return np.c_[[np.interp(shares * steps[-1], steps, points[:, k]) for k in (0, 1)]].T
+
+
+def rectify_ribbon(image: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Curved text as a straight strip: the first half of the points is its upper edge, the others, from the right back, the lower one.
+
+    Both edges are walked at the same shares of their lengths; a column of the strip lies between the two places.
+    """
+    half = len(points) // 2
+    upper, lower = points[:half], points[half : 2 * half][::-1]
+    length = lambda p: float(np.linalg.norm(np.diff(p, axis=0), axis=1).sum())
+    width = max(1, round((length(upper) + length(lower)) / 2))
+    shares = (np.arange(width) + 0.5) / width
+    a, b = _along(upper, shares), _along(lower, shares)
+    height = max(1, round(float(np.linalg.norm(b - a, axis=1).mean())))
+    t = ((np.arange(height) + 0.5) / height)[:, None]
+    return sample(image, a[:, 0] * (1 - t) + b[:, 0] * t - 0.5, a[:, 1] * (1 - t) + b[:, 1] * t - 0.5)
+
+
 def _image(row: dict) -> np.ndarray:
     data = np.frombuffer(row["pixels"], np.uint8)
     if len(data) != row["width"] * row["height"] * row["channels"]:
@@ -211,3 +261,55 @@ def draw_regions(images: DataFrame, polygons: str = "polygons", colour: tuple[in
         return {"pixels": draw(_image(row), lines, colour, thickness).tobytes()}
 
     return _each(images, one, {})
+
+
+def crop_regions(images: DataFrame, polygons: str = "polygons") -> DataFrame:
+    """A row for each polygon of an image, array<array<struct<x,y>>>: region_index, and its part of the image made straight.
+
+    Four points are a quad seen at an angle, six or more, in pairs, the edges of curved text; others are left out. An
+    image that can't be worked on is one row with an error.
+    """
+    keep = [f for f in images.schema.fields if f.name not in (polygons, "error", "region_index")]
+    schema = T.StructType([*keep, T.StructField("region_index", T.IntegerType()), T.StructField("error", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                regions = row.pop(polygons) or []
+                row = {k: v for k, v in row.items() if k != "error"}
+                try:
+                    if row["pixels"] is None:
+                        raise ValueError("no pixels")
+                    image = _image(row)
+                    for i, points in enumerate(regions):
+                        n = len(points or [])
+                        if n != 4 and (n < 6 or n % 2):
+                            continue
+                        p = np.array([[q["x"], q["y"]] for q in points], float)
+                        out = np.ascontiguousarray(rectify_quad(image, p) if n == 4 else rectify_ribbon(image, p))
+                        yield pa.RecordBatch.from_pylist([row | {"region_index": i, "width": out.shape[1], "height": out.shape[0], "pixels": out.tobytes(), "error": None}], schema=arrow)
+                except (ValueError, np.linalg.LinAlgError) as e:
+                    yield pa.RecordBatch.from_pylist([row | {"region_index": None, "pixels": None, "error": str(e)}], schema=arrow)
+
+    return images.mapInArrow(run, schema)
+
+
+def orient_pages(images: DataFrame, make: Callable, least: float = 0.9) -> DataFrame:
+    """images turned upright by a model, with `orientation`, the degrees they were turned clockwise before.
+
+    The model is a Stage: for each image it gives (degrees of 0, 90, 180 and 270, confidence); below `least` an image
+    stays as it is. Quarter turns are exact.
+    """
+    key = uuid.uuid4().hex
+
+    def one(row: dict) -> dict:
+        image = _image(row)
+        ((degrees, sure),) = _own(key, make).run([image])
+        turned = int(degrees) % 360 if sure >= least else 0
+        if turned % 90:
+            raise ValueError("orientation is no quarter turn")
+        out = np.ascontiguousarray(np.rot90(image, turned // 90))
+        return {"width": out.shape[1], "height": out.shape[0], "pixels": out.tobytes(), "orientation": turned}
+
+    return _each(images, one, {"orientation": T.IntegerType()})

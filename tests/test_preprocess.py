@@ -111,3 +111,37 @@ def test_table_function(spark):
     spark.createDataFrame([(1, "mail a@b.org, 5 %"), (2, None)], "id long, text string").createOrReplaceTempView("some_texts")
     got = spark.sql("SELECT id, m.kind, m.start, m.value FROM some_texts, LATERAL matches_in(text) m").collect()
     assert [tuple(r) for r in got] == [(1, "Email", 5, "a@b.org"), (1, "Percentage", 14, "5 %")]
+
+
+def test_straight_parts(spark):
+    image = np.arange(48, dtype=np.uint8).reshape(6, 8) * 5
+    whole = np.array([[0, 0], [8, 0], [8, 6], [0, 6]], float)
+    assert (R.rectify_quad(image, whole) == image).all()
+    part = np.array([[2, 1], [7, 1], [7, 4], [2, 4]], float)
+    assert (R.rectify_quad(image, part) == image[1:4, 2:7]).all()
+    high = np.array([[1, 0], [3, 0], [3, 6], [1, 6]], float)
+    assert (R.rectify_quad(image, high) == np.rot90(image[:, 1:3])).all()
+    assert (R.rectify_ribbon(image, np.array([[0, 0], [4, 0], [8, 0], [8, 6], [4, 6], [0, 6]], float)) == image).all()
+    ring = np.full((120, 120), 255, np.uint8)
+    y, x = np.mgrid[:120, :120] + 0.5
+    r = np.hypot(x - 60, y - 60)
+    ring[(r > 38) & (r < 42)] = 0
+    angles = np.linspace(np.pi, 2 * np.pi, 19)
+    arc = lambda k: np.c_[60 + k * np.cos(angles), 60 + k * np.sin(angles)]
+    strip = R.rectify_ribbon(ring, np.concatenate([arc(50), arc(30)[::-1]]))
+    assert strip.shape[0] == 20 and abs(strip.shape[1] - np.pi * 40) < 3 and (strip[9:11] < 60).all() and (strip[[0, 1, -2, -1]] > 250).all()
+    rows = [(1, 8, 6, 1, image.tobytes(), [[(2.0, 1.0), (7.0, 1.0), (7.0, 4.0), (2.0, 4.0)], [(0.0, 0.0)], [(1.0, 1.0)] * 4]), (2, 8, 6, 1, None, None), (3, 8, 6, 1, image.tobytes(), None)]
+    df = spark.createDataFrame(rows, "page_id long, width int, height int, channels int, pixels binary, polygons array<array<struct<x:double,y:double>>>")
+    got = R.crop_regions(df).collect()
+    assert [(r.page_id, r.region_index, r.error is None) for r in got] == [(1, 0, True), (1, None, False), (2, None, False)]
+    assert (got[0].width, got[0].height) == (5, 3) and bytes(got[0].pixels) == image[1:4, 2:7].tobytes()
+
+    def make():
+        class Turned:
+            def run(self, batch):
+                return [(90, 0.95) if x[0, 0, 0] == 0 else (180, 0.5) for x in batch]
+
+        return Turned()
+
+    turned = {r.page_id: r for r in R.orient_pages(df.drop("polygons"), make).collect()}
+    assert (turned[1].width, turned[1].height, turned[1].orientation) == (6, 8, 90) and bytes(turned[1].pixels) == np.rot90(image).tobytes() and turned[2].error == "no pixels"
