@@ -1,8 +1,8 @@
 """From raw documents to packed sequences: poor texts, copies and near copies go, secrets are replaced, the rest is packed.
 
 Every stage works on all rows its predecessor kept, and takes null, empty, very long and repeated texts as its operator
-does: a null text counts as empty, rows with a null id stay unless they are copies of a row with an id, an empty table
-gives an empty table, and columns beyond those of documents are kept up to the last stage.
+does: a null text counts as empty, of copies one row stays even if ids repeat or are null, rows with a null id are no
+near copies, an empty table gives an empty table, and columns beyond those of documents are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm._shared import table
+from papyra.llm._shared import scratch, table
 from papyra.llm.exact_dedup import drop_exact_duplicates
 from papyra.llm.packing import pack
 from papyra.llm.quality import fit_quality, graded_labels, keep_quality
@@ -25,15 +25,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keeps the row with the smallest doc_id."""
+    """Of equal texts, keeps one row, that with the smallest doc_id."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that links connect, keeps the row with the smallest doc_id.
 
-    Links are those of op8 (three words, 3 of 64 bits) and those of five-word shingles with a similarity of 0.8 or more,
-    found by 512-bit fingerprints.
+    Links are those of op8 (three words, 3 of 64 bits) and all of five-word shingles with a similarity of 0.8 or more.
     """
     return drop_near_duplicates(docs)
 
@@ -54,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; a stage's own tables go when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = table(stage(spark, docs, sf_dir), f"pipeline-{name}", outlives=True)
     return STAGES[-1][1](spark, docs, sf_dir)
