@@ -155,17 +155,19 @@ def boxes_of_map(prob: np.ndarray, pixel: float = PIXEL, box: float = BOX, ratio
     return out
 
 
-def detect_boxes(maps: DataFrame, key: str = "page_id", prob: str = "prob", width: str = "width", **options) -> DataFrame:
-    """key, region_index, polygon, score: boxes of each page's map, an array<float> by rows of that width."""
+def detect_boxes(maps: DataFrame, key: str = "page_id", prob: str = "prob", width: str = "width", polygons: bool = False, **options) -> DataFrame:
+    """key, region_index, polygon, score: boxes of each page's map, an array<float> by rows of that width; or polygons that follow the text."""
     kind = dict(maps.dtypes)[key]
     schema = f"{key} {kind}, region_index int, polygon array<struct<x:double,y:double>>, score double"
 
+    find = polygons_of_map if polygons else boxes_of_map
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for k, p, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if p and w:
-                    for i, (quad, score) in enumerate(boxes_of_map(np.array(p, np.float32).reshape(-1, w), **options)):
+                    for i, (quad, score) in enumerate(find(np.array(p, np.float32).reshape(-1, w), **options)):
                         rows.append((k, i, [{"x": x, "y": y} for x, y in quad], score))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), pa.array(cols[3], pa.float64())], [key, "region_index", "polygon", "score"])
@@ -192,6 +194,121 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
+# fixed values: a contour's tolerance as a share of its length, and its least corners
+CONTOUR_TOLERANCE, LEAST_CORNERS = 0.002, 4
+_AROUND = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]  # clockwise on the screen
+
+
+def outer_contour(part: np.ndarray) -> list[tuple[int, int]]:
+    """Pixels (x, y) along a part's outer edge, clockwise from the first in reading order: at each, the next is the first of the part around it after where one came from."""
+    ys, xs = np.nonzero(part)
+    start = (int(xs[0]), int(ys[0]))
+    there = lambda x, y: 0 <= y < part.shape[0] and 0 <= x < part.shape[1] and part[y, x]
+    out, at, back = [], start, 4
+    while True:
+        step = next((k for i in range(1, 9) if there(at[0] + _AROUND[k := (back + i) % 8][0], at[1] + _AROUND[k][1])), None)
+        if step is None:
+            return [start]
+        if out and at == start and step == first:
+            return out
+        if not out:
+            first = step
+        out.append(at)
+        at, back = (at[0] + _AROUND[step][0], at[1] + _AROUND[step][1]), (step + 4) % 8
+
+
+def _ring_area(p: np.ndarray) -> float:
+    n = np.roll(p, -1, axis=0)
+    return float((p[:, 0] * n[:, 1] - n[:, 0] * p[:, 1]).sum() / 2)
+
+
+def _without_loops(p: np.ndarray) -> np.ndarray:
+    """A closed line cut where it crosses itself, as often as it does; the part that encloses more stays."""
+    for _ in range(len(p)):
+        n, hit = len(p), None
+        for i in range(n - 2):
+            a, r = p[i], p[i + 1] - p[i]
+            j = np.arange(i + 2, n - (i == 0))
+            if not len(j):
+                continue
+            q = p[(j + 1) % n] - p[j]
+            cross = r[0] * q[:, 1] - r[1] * q[:, 0]
+            d = p[j] - a
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t, u = (d[:, 0] * q[:, 1] - d[:, 1] * q[:, 0]) / cross, (d[:, 0] * r[1] - d[:, 1] * r[0]) / cross
+            k = np.flatnonzero((cross != 0) & (t > 1e-9) & (t < 1 - 1e-9) & (u > 1e-9) & (u < 1 - 1e-9))
+            if len(k):
+                hit = i, int(j[k[0]]), a + r * t[k[0]]
+                break
+        if hit is None:
+            return p
+        i, j, x = hit
+        inner, outer = np.vstack([x[None], p[i + 1 : j + 1]]), np.vstack([p[: i + 1], x[None], p[j + 1 :]])
+        p = inner if abs(_ring_area(inner)) > abs(_ring_area(outer)) else outer
+    return p
+
+
+def offset_polygon(points: np.ndarray, distance: float, arc: float = 0.25) -> np.ndarray:
+    """Any simple polygon with its sides moved out by a distance: round at corners that point out, in steps that leave the circle by no more than `arc`."""
+    p = np.asarray(points, float)
+    p = p if _ring_area(p) > 0 else p[::-1]
+    side = np.roll(p, -1, axis=0) - p
+    length = np.linalg.norm(side, axis=1)
+    p, side = p[length > 1e-9], side[length > 1e-9] / length[length > 1e-9][:, None]
+    if len(p) < 3 or distance <= 0:
+        return p
+    normal = np.c_[side[:, 1], -side[:, 0]]
+    step = 2 * math.acos(max(0.0, 1 - min(arc, distance) / distance))
+    out = []
+    for i in range(len(p)):
+        a, b = normal[i - 1], normal[i]
+        turn = math.atan2(a[0] * b[1] - a[1] * b[0], float(a @ b))
+        if turn > 0:
+            n = max(1, math.ceil(turn / step))
+            start = math.atan2(a[1], a[0])
+            out += [p[i] + distance * np.array([math.cos(start + turn * k / n), math.sin(start + turn * k / n)]) for k in range(n + 1)]
+        else:
+            out += [p[i] + distance * a, p[i], p[i] + distance * b]  # the loop that this makes goes
+    return _without_loops(np.array(out))
+
+
+def inside_polygon(points: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Which of the places lie in a polygon, by crossings of a ray to the right; those on its edges count."""
+    inside, edge = np.zeros(xs.shape, bool), np.zeros(xs.shape, bool)
+    for (x0, y0), (x1, y1) in zip(points, np.roll(points, -1, axis=0)):
+        cross = (x1 - x0) * (ys - y0) - (y1 - y0) * (xs - x0)
+        edge |= (np.abs(cross) < 1e-9) & (xs >= min(x0, x1)) & (xs <= max(x0, x1)) & (ys >= min(y0, y1)) & (ys <= max(y0, y1))
+        if y0 != y1:
+            inside ^= ((y0 > ys) != (y1 > ys)) & (xs < (x1 - x0) * (ys - y0) / (y1 - y0) + x0)
+    return inside | edge
+
+
+def polygons_of_map(prob: np.ndarray, pixel: float = PIXEL, box: float = BOX, ratio: float = UNCLIP, min_size: int = MIN_SIZE, use_dilation: bool = False) -> list[tuple[list[list[float]], float]]:
+    """(polygon, score) of each text part of a probability map: outer contours with few corners, scored by the mean inside and moved out; at most 1000."""
+    bitmap = prob > pixel
+    labels, n = components(dilate(bitmap) if use_dilation else bitmap)
+    out = []
+    for k in range(1, min(n, MOST_BOXES) + 1):
+        contour = outer_contour(labels == k)
+        if len(contour) < 2:
+            continue
+        ring = np.array(contour, float)
+        whole = float(np.linalg.norm(np.roll(ring, -1, axis=0) - ring, axis=1).sum())
+        far = int(np.linalg.norm(ring - ring[0], axis=1).argmax())  # both halves of the ring, cut at the place farthest from its start
+        few = np.concatenate([simplify(ring[: far + 1], CONTOUR_TOLERANCE * whole)[:-1], simplify(np.concatenate([ring[far:], ring[:1]]), CONTOUR_TOLERANCE * whole)[:-1]])
+        if len(few) < LEAST_CORNERS or min_area_rect(few)[1] < min_size:
+            continue
+        (x0, y0), (x1, y1) = np.floor(few.min(axis=0)).astype(int), np.ceil(few.max(axis=0)).astype(int)
+        ys, xs = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
+        score = float(prob[y0 : y1 + 1, x0 : x1 + 1][inside_polygon(few, xs, ys)].mean())
+        if score < box:
+            continue
+        final = offset_polygon(few, abs(_ring_area(few)) * ratio / max(float(np.linalg.norm(np.roll(few, -1, axis=0) - few, axis=1).sum()), 1e-9))
+        if min_area_rect(final)[1] >= min_size + 2:
+            out.append((final.tolist(), score))
+    return out
+
+
 def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The 3 x 3 map of four points to four others."""
     rows, right = [], []

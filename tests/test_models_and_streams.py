@@ -69,6 +69,41 @@ def test_boxes_of_map(spark):
     assert min(xs) < 5 < 44 < max(xs) and min(ys) < 10 < 19 < max(ys)
 
 
+def test_polygons_of_map(spark):
+    square = np.zeros((6, 7), bool)
+    square[1:5, 2:6] = True
+    ring = D.outer_contour(square)
+    assert ring[0] == (2, 1) and len(ring) == 12 and set(ring) == {(x, y) for y in range(1, 5) for x in range(2, 6) if x in (2, 5) or y in (1, 4)}
+    assert D.outer_contour(np.eye(1, dtype=bool)) == [(0, 0)] and D.outer_contour(np.ones((1, 3), bool)) == [(0, 0), (1, 0), (2, 0), (1, 0)]
+    rng = np.random.default_rng(3)
+    for _ in range(30):  # a contour has the part's pixels that one can see from outside, and steps to neighbours
+        labels, n = D.components(rng.random((12, 14)) < 0.45)
+        part = labels == 1 + int(rng.integers(n))
+        pad = np.pad(part, 1)
+        out, work = np.zeros_like(pad), [(0, 0)]
+        while work:
+            y, x = work.pop()
+            if 0 <= y < pad.shape[0] and 0 <= x < pad.shape[1] and not pad[y, x] and not out[y, x]:
+                out[y, x] = True
+                work += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+        seen = {(x, y) for y, x in zip(*np.nonzero(part)) if any(out[y + 1 + a, x + 1 + b] for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))}
+        c = D.outer_contour(part)
+        assert set(c) == seen and all(max(abs(a - e), abs(b - f)) <= 1 for (a, b), (e, f) in zip(c, c[1:] + c[:1]))
+    box = np.array([[0, 0], [10, 0], [10, 6], [0, 6]], float)
+    grown = D.offset_polygon(box, 2, 0.001)
+    assert np.allclose([grown.min(0), grown.max(0)], [[-2, -2], [12, 8]]) and abs(abs(D._ring_area(grown)) - (60 + 2 * 32 + np.pi * 4)) < 0.05
+    bent = np.array([[0, 0], [20, 0], [20, 20], [14, 20], [14, 6], [0, 6]], float)
+    out = D.offset_polygon(bent, 2, 0.001)
+    far = lambda q: min(np.hypot(*(q - (a + (b - a) * np.clip(((q - a) @ (b - a)) / ((b - a) @ (b - a)), 0, 1)))) for a, b in zip(bent, np.roll(bent, -1, axis=0)))
+    assert min(far(q) for q in out) > 1.99 and abs(abs(D._ring_area(out)) - (20 * 6 + 14 * 6 + 2 * 80 + 5 * np.pi - 2 * 2)) < 0.05  # five corners point out, one in
+    prob = np.zeros((60, 80), np.float32)
+    prob[10:18, 5:60] = prob[10:50, 52:60] = 0.9
+    ((poly, score),) = D.polygons_of_map(prob)
+    assert score > 0.89 and len(poly) > 6 and not D.inside_polygon(np.array(poly), np.array([20.0]), np.array([40.0]))[0] and D.inside_polygon(np.array(poly), np.array([3.5]), np.array([14.0]))[0]
+    rows = spark.createDataFrame([(1, prob.ravel().tolist(), 80)], "page_id long, prob array<float>, width int")
+    assert [len(r.polygon) for r in D.detect_boxes(rows, polygons=True).collect()] == [len(poly)]
+
+
 def test_tiles_and_batches(spark):
     t = spark.createDataFrame([(9600, 800), (3000, 2000)], "w int, h int").select("w", D.should_tile(F.col("w"), F.col("h")).alias("t")).collect()
     assert [r.t for r in t] == [4000, 0]
