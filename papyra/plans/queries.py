@@ -52,6 +52,14 @@ _QUALITY = f"""count(*) AS line_count, sum({_COUNT}) AS character_count, round(a
   round(sum(CASE WHEN confidence < 0.85 THEN 1 ELSE 0 END) / count(*), 6) AS low_ratio"""
 
 
+def _round6(x):
+    """A double to 6 digits as SQL has it: a million times x to the nearest whole number, halves away from zero. F.round goes by the decimal text."""
+    y = F.abs(F.col(x) * 1e6)
+    whole = F.floor(y).cast("double")
+    rounded = F.signum(x) * (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / 1e6
+    return F.when(y < 2.0**52, rounded).otherwise(F.col(x))
+
+
 def _rounded(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -75,7 +83,7 @@ FROM q JOIN (SELECT doc_id, sum(emails) e, sum(phones) p, sum(coalesce(cards, 0)
 def flagship_review(spark, d):
     """Per document: lines to review, character-weighted confidence, e-mail addresses, phones and payment cards."""
     lines = V.lines(spark, d)
-    q = quality.quality_summary(lines, DOC).select("doc_id", "line_count", "low_count", F.round("weighted_confidence", 6).alias("weighted_confidence"))
+    q = quality.quality_summary(lines, DOC).select("doc_id", "line_count", "low_count", _round6("weighted_confidence").alias("weighted_confidence"))
     return q.join(patterns.count_kinds(lines), "doc_id")
 
 

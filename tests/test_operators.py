@@ -290,3 +290,10 @@ def test_exports(spark):
     b = spark.createDataFrame([(1, 0, "DocTitle", "A & B", None, None), (1, 1, "Table", "fallback", "<table><tr>", None), (1, 2, "Formula", None, None, "a<b"), (1, 3, "Seal", None, None, None)], "doc_id long, block_order int, type string, text string, table_html string, latex string").withColumns({c: F.lit(1.5) for c in ("min_x", "min_y", "max_x", "max_y")})
     out = html.page_html(b, ["doc_id"]).first().html
     assert "<title>A &amp; B</title>" in out and "<p>fallback</p>" in out and 'data-latex="a&lt;b"' in out and 'data-bbox="1.5 1.5 1.5 1.5"' in out
+
+
+def test_rounding_as_in_sql(spark):
+    from papyra.plans.queries import _round6
+
+    rows = [0.6615624999999999, 0.5046875, -0.6615624999999999, 0.0, 1e300, None]
+    assert [r.x for r in spark.createDataFrame([(x,) for x in rows], "x double").select(_round6("x").alias("x")).collect()] == [0.661563, 0.504687, -0.661563, 0.0, 1e300, None]

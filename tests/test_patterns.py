@@ -66,3 +66,14 @@ def test_text(spark):
     assert one(spark, X.table_fragment(lit("x<TABLE>a</TABLE>y"))) == "<TABLE>a</TABLE>" and one(spark, X.decode_entities(lit("&amp;lt;"))) == "&lt;"
     assert one(spark, X.bounded_count(lit("a+b xa+b a+b."), lit("a+b"))) == 2
     assert one(spark, X.full_text(F.array(lit("a\n"), lit(""), lit("b")))) == "a\nb"
+
+
+def test_numbers_behind_a_phone(spark):
+    """Other numbers after an international phone don't hide it, and one of too many digits is none."""
+    from papyra.operators.patterns import count_kinds
+
+    ready = [(p, regex.compile(p.expression)) for p in BUILT_IN if p.kind == "Phone"]
+    cases = [("call +1 (826) 555-4081 190.137.2.41 now", "+1 (826) 555-4081 190"), ("+1 (826) 555-4081", "+1 (826) 555-4081"), ("+1234567890123456", None), ("+12 34", None)]
+    for text, value in cases:
+        assert [v for _, _, _, v, _ in matches_of(text, ready)] == ([value] if value else [])
+        assert count_kinds(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().phones == bool(value)
