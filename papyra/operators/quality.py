@@ -105,13 +105,13 @@ def isotonic_curves(samples: DataFrame, key: str = "pack") -> DataFrame:
 
 
 def pack_vote(readings: DataFrame, page: list[str]) -> DataFrame:
-    """Per page, recogniser packs ranked: each crop votes for its best pack, a pack scores its votes' confidences.
+    """Per page, recogniser packs ranked: each crop votes for its best pack, a pack scores its votes' confidences; to 9 digits, so that the order of a sum decides no tie.
 
     readings: crop_id, pack, pack_order, confidence, text.
     """
     best = readings.groupBy(*page, "crop_id").agg(F.max_by(F.struct("pack", "pack_order", "confidence"), F.struct("confidence", -F.col("pack_order"))).alias("b"))
     score = best.groupBy(*page, F.col("b.pack").alias("pack")).agg(F.sum(F.greatest(F.lit(0.0), F.col("b.confidence"))).alias("score"), F.min("b.pack_order").alias("_o"))
-    return score.withColumn("rank", F.row_number().over(Window.partitionBy(*page).orderBy(F.desc("score"), "_o"))).drop("_o")
+    return score.withColumn("rank", F.row_number().over(Window.partitionBy(*page).orderBy(F.desc(F.round("score", 9)), "_o"))).drop("_o")
 
 
 def orientation_vote(readings: DataFrame, page: list[str]) -> DataFrame:

@@ -297,3 +297,10 @@ def test_rounding_as_in_sql(spark):
 
     rows = [0.6615624999999999, 0.5046875, -0.6615624999999999, 0.0, 1e300, None]
     assert [r.x for r in spark.createDataFrame([(x,) for x in rows], "x double").select(_round6("x").alias("x")).collect()] == [0.661563, 0.504687, -0.661563, 0.0, 1e300, None]
+
+
+def test_votes_on_ties(spark):
+    """0.1 + 0.2 is 0.3: sums that are equal but for their last bits are ties, as in SQL."""
+    crops = [(1, i, p, o, c) for i, (p, o, c) in enumerate([("latin", 1, 0.3), ("greek", 2, 0.1), ("greek", 2, 0.2)])]
+    got = quality.pack_vote(spark.createDataFrame(crops, "page_id long, crop_id long, pack string, pack_order long, confidence double"), ["page_id"]).collect()
+    assert {r.pack: r.rank for r in got} == {"latin": 1, "greek": 2}
