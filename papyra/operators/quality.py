@@ -115,9 +115,9 @@ def pack_vote(readings: DataFrame, page: list[str]) -> DataFrame:
 
 
 def orientation_vote(readings: DataFrame, page: list[str]) -> DataFrame:
-    """Per page, the rotation whose text has the most confidence times characters; the least rotation on ties."""
+    """Per page, the rotation whose text has the most confidence times characters, to 6 digits; the least rotation on ties."""
     s = readings.groupBy(*page, "rotation").agg(F.sum(F.col("confidence") * F.length("text")).alias("score"))
-    return s.groupBy(*page).agg(F.max_by("rotation", F.struct(F.col("score"), -F.col("rotation"))).alias("rotation"), F.max("score").alias("score"))
+    return s.groupBy(*page).agg(F.max_by("rotation", F.struct(F.round("score", 6), -F.col("rotation"))).alias("rotation"), F.max("score").alias("score"))
 
 
 def choose_reading(upright: Column, upright_conf: Column, turned: Column, turned_conf: Column) -> Column:

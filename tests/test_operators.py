@@ -304,3 +304,5 @@ def test_votes_on_ties(spark):
     crops = [(1, i, p, o, c) for i, (p, o, c) in enumerate([("latin", 1, 0.3), ("greek", 2, 0.1), ("greek", 2, 0.2)])]
     got = quality.pack_vote(spark.createDataFrame(crops, "page_id long, crop_id long, pack string, pack_order long, confidence double"), ["page_id"]).collect()
     assert {r.pack: r.rank for r in got} == {"latin": 1, "greek": 2}
+    turned = [(1, 0, "ab", 0.15), (1, 90, "a", 0.1), (1, 90, "a", 0.2)]
+    assert quality.orientation_vote(spark.createDataFrame(turned, "doc_id long, rotation long, text string, confidence double"), ["doc_id"]).first().rotation == 0
