@@ -26,6 +26,8 @@ SEED = 42
 WIDE, WIDE_RADIUS, WORD_RADIUS, TABLES, KEY_BITS = 8, 92, 15, 24, 14
 #: Documents whose shingles are counted to put common shingles last, how many of these are told to workers, and words of a set's bitmap.
 SAMPLE_DOCS, COMMON, MAP = 4000, 200_000, 8
+#: Texts in whose prefixes a shingle may be before it is put last as well, and keys by which two sets know that they met before.
+HEAVY, LEAST = 8, 8
 _SALTS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -362,6 +364,17 @@ def apart_pairs(label: np.ndarray, size: np.ndarray, maps: np.ndarray, bucket: n
     return tuple(np.concatenate(x) if x else np.zeros(0, int) for x in out)
 
 
+def met_before(here: np.ndarray, least: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs of rows, whether a smaller key than the one here is among the least keys of both: there they meet too, and the smallest such place keeps them."""
+    out = np.zeros(len(i), bool)
+    for x in least:
+        mine = x[i]
+        smaller = mine < here[i]
+        for y in least:
+            out |= smaller & (mine == y[j])
+    return out
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
 
@@ -381,51 +394,86 @@ def _common_shingles(slim: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return h[order], np.argsort(np.lexsort((h, c)))[order].astype(np.int32)
 
 
+def _later(order: tuple[np.ndarray, np.ndarray], heavy: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order with the heavy shingles behind all others, from the rarest on; the others stay in their order."""
+    common, places = order
+    stay = ~np.isin(common, heavy)
+    least = int(places.max(initial=-1)) + 1
+    shingles = np.r_[common[stay], heavy]
+    last = np.r_[places[stay], least + np.argsort(np.lexsort((heavy, counts)))]
+    at = np.argsort(shingles)
+    return shingles[at], last[at].astype(np.int32)
+
+
 def exact_links(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(u, v): all links between ids of texts with a Jaccard similarity of `similarity` or more and different labels (id, label; else the id).
 
     Two such sets share one of the first n - ceil(similarity * n) + 1 shingles of each, in any common order; with
-    common shingles last, few texts meet. No pair stands for another: each that sizes and bitmaps (bounds, never wrong) allow is held
-    against the shingles. Texts of equal sets are compared as one of them and linked with it.
+    common shingles last, few texts meet: those of a sample, then those that many prefixes hold, counted over all texts. Sets that share
+    many shingles meet often, but are a pair once where one of their LEAST smallest shared keys tells. No pair stands for another: each
+    that sizes and bitmaps (bounds, never wrong) allow is held against the shingles. Texts of equal sets are compared as one of them and linked with it.
     """
     slim = _slim(docs, id_col, text_col)
-    common, places = _common_shingles(slim, width)
+    order = _common_shingles(slim, width)
     names = [f"w{i}" for i in range(MAP)]
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefix(s: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return rare_first(s, *order)[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1].view(np.int64)
+
+    def lists(keys: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys)))
+
+    def first_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
             hashes, sizes, maps, wide, keys = [], [], [], [], []
             for t in texts:
                 s = np.unique(shingle_hashes(t, width))
-                n = len(s)
                 hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(n)
+                sizes.append(len(s))
                 maps.append(set_bitmap(s))
                 wide.append(scaled_bitmap(s))
-                keys.append(rare_first(s, common, places)[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64))
+                keys.append(prefix(s, order))
             w = np.array(maps, np.uint64).reshape(-1, MAP).view(np.int64)
-            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(MAP)), pa.array(wide, pa.binary()), lists], ["doc_id", "same", "size", *names, "map", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(MAP)), pa.array(wide, pa.binary()), lists(keys)], ["doc_id", "same", "size", *names, "map", "keys"])
 
-    sets = slim.mapInArrow(prefixes, "doc_id long, same binary, size int, " + ", ".join(f"{n} long" for n in names) + ", map binary, keys array<long>").filter("size > 0")
+    sets = slim.mapInArrow(first_prefixes, "doc_id long, same binary, size int, " + ", ".join(f"{n} long" for n in names) + ", map binary, keys array<long>").filter("size > 0")
     sets = table(sets, "set-prefixes")
     reps = table(sets.groupBy("same").agg(F.min("doc_id").alias("rep")), "set-reps")
     equal = sets.select("doc_id", "same").join(reps, "same").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     first = reps.select("same", F.col("rep").alias("doc_id"))
     keyed = table(sets.select("doc_id", "same", "keys").join(first, ["same", "doc_id"], "left_semi").select("doc_id", F.explode("keys").alias("key")), "set-keys")
-    shared = table(keyed.groupBy("key").count().filter("count > 1").select("key"), "shared-keys")
+    counts = table(keyed.groupBy("key").count().filter("count > 1"), "shared-keys")
+
+    heavy = counts.filter(F.col("count") > HEAVY).orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
+    if len(heavy):  # these go last as well; a prefix without any stays what it is
+        later = _later(order, heavy.column(0).to_numpy().view(np.uint64), heavy.column(1).to_numpy())
+
+        def later_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in pieces(batches, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists([prefix(np.unique(shingle_hashes(t, width)), later) for t in texts])], ["doc_id", "keys"])
+
+        told = F.broadcast(docs.sparkSession.createDataFrame(heavy.select(["key"])))
+        changed = table(keyed.join(told, "key", "left_semi").select("doc_id").distinct(), "set-changed")
+        n = changed.count()
+        again = slim.join(maybe_broadcast(changed, n), "doc_id", "left_semi").mapInArrow(later_prefixes, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
+        keyed = keyed.join(maybe_broadcast(changed, n), "doc_id", "left_anti").union(table(again, "later-keys"))
+        counts = keyed.groupBy("key").count().filter("count > 1")
+    held = table(keyed.join(counts.select("key"), "key").select(F.col("doc_id").alias("rep"), "key"), "shared-prefixes")
+    least = held.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST).alias("least"))
+    least = least.select("rep", *[F.coalesce(F.get("least", F.lit(i)), F.get("least", F.lit(0))).alias(f"k{i}") for i in range(LEAST)])
     named = labels.select(F.col("id").alias("doc_id"), "label").groupBy("doc_id").agg(F.min("label").alias("label"))
     facts = sets.drop("keys", "map").join(first, ["same", "doc_id"], "left_semi").join(named, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("label", "doc_id").alias("label"), F.col("size").cast("long").alias("size"), *names)
-    facts = table(facts, "set-facts")
-    meeting = table(keyed.join(shared, "key").select("key", F.col("doc_id").alias("rep")).join(facts, "rep"), "meeting-sets")
+    facts = table(facts.join(least, "rep"), "set-facts")
+    meeting = table(held.join(facts, "rep").withColumn("here", F.col("key")), "meeting-sets")
 
     def solve(cols, bucket):
-        a, b = apart_pairs(cols[1], cols[2], [c.view(np.uint64) for c in cols[3:]], bucket, similarity)
+        a, b = apart_pairs(cols[1], cols[2], [c.view(np.uint64) for c in cols[4 + LEAST :]], bucket, similarity)
+        fresh = ~met_before(cols[3], cols[4 : 4 + LEAST], a, b)
+        a, b = a[fresh], b[fresh]
         pair = np.unique(np.stack([cols[0][a], cols[0][b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
 
-    found = _meet(meeting, ["rep", "label", "size", *names], block, solve)
+    found = _meet(meeting, ["rep", "label", "size", "here", *[f"k{i}" for i in range(LEAST)], *names], block, solve)
     found = table(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "bounded-pairs")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from papyra.llm.components import connected_components
-from papyra.llm.simhash import bits_apart, close_pairs, drop_near_duplicates, near_duplicates, scaled_bitmap, set_bitmap, shingle_hashes, similar_documents, simhash, spanning_links, wide_simhash
+from papyra.llm.simhash import _later, bits_apart, close_pairs, drop_near_duplicates, near_duplicates, rare_first, scaled_bitmap, set_bitmap, shingle_hashes, similar_documents, simhash, spanning_links, wide_simhash
 
 
 def slow_hash(text):
@@ -213,3 +213,38 @@ def test_bitmaps_never_rule_out_too_much():
             apart = len(np.setxor1d(a, b))
             assert bits_apart(scaled_bitmap(a), scaled_bitmap(b)) <= apart
             assert np.bitwise_count(set_bitmap(a) ^ set_bitmap(b)).sum() <= apart
+
+
+def test_a_pair_is_made_once_and_passages_hardly_meet(spark, monkeypatch):
+    """Families just below the similarity share many keys, and shingles of a passage that over HEAVY prefixes hold leave them."""
+    import papyra.llm.simhash as S
+
+    made, meet = [], S._meet
+    monkeypatch.setattr(S, "_meet", lambda *a: made.append(S.table(meet(*a), "made")) or made[-1])
+    rnd = random.Random(9)
+    rows, passage = [], [f"p{i}" for i in range(40)]
+    for k in range(30):
+        t = [f"w{i}" for i in range(1400)]
+        for at in rnd.sample(range(0, 1400, 5), 40):
+            t[at] = f"x{rnd.randrange(10**9)}"
+        rows.append((k, " ".join(t)))
+    rows += [(100 + k, " ".join([f"y{rnd.randrange(10**9)}" for _ in range(1200)] + passage)) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in rows}
+    monkeypatch.setattr(S, "SAMPLE_DOCS", 0)
+    got = {(r.u, r.v) for r in S.exact_links(docs, spark.createDataFrame([], "id long, label long")).collect()}
+    assert got == {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for df in made:
+        pairs = [tuple(sorted(r)) for r in df.collect()]
+        assert len(pairs) <= 1.2 * len(set(pairs)) and sum(b >= 100 for _, b in pairs) <= S.HEAVY * (S.HEAVY - 1) // 2
+
+
+def test_later_keeps_the_order_of_the_others():
+    r = np.random.default_rng(4)
+    common, heavy = np.unique(r.integers(0, 2**63, 50, dtype=np.uint64)), np.unique(r.integers(0, 2**63, 9, dtype=np.uint64))
+    heavy = np.r_[heavy, common[3:6]]
+    places, counts = r.permutation(50).astype(np.int32), r.integers(9, 99, 12)
+    s = np.unique(np.r_[common, heavy, r.integers(0, 2**63, 40, dtype=np.uint64)])
+    before, after = rare_first(s, common, places), rare_first(s, *_later((common, places), heavy, counts))
+    assert (after[-12:] == heavy[np.lexsort((heavy, counts))]).all()
+    assert (after[:-12] == before[~np.isin(before, heavy)]).all()
