@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm._shared import scratch, table
+from papyra.llm._shared import light_batches, scratch, table
 from papyra.llm.exact_dedup import drop_exact_duplicates
 from papyra.llm.packing import pack
 from papyra.llm.quality import fit_quality, graded_labels, keep_quality
@@ -20,6 +20,7 @@ from papyra.llm.simhash import drop_near_duplicates
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier, fitted on the rated ones, gives the highest grade with probability 0.5 or more."""
+    light_batches(spark)
     model = fit_quality(docs, graded_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return keep_quality(docs, model)
 
@@ -34,16 +35,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Links are those of op8 (three words, 3 of 64 bits) and all of five-word shingles with a similarity of 0.8 or more.
     """
+    light_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets, also encoded ones, by their kind; n_chars follows."""
+    light_batches(spark)
     return redact_secrets(docs, length_col="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document with its sequence of at most 1024 tokens and its place there."""
+    light_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 #: Rows of (key, id) that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 400_000
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch of texts, and bytes where operators follow each other in the same executors: larger buffers than
+#: the allocator's chunks (4 MB) come from the C library, which keeps them when they are freed.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -84,6 +85,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def light_batches(spark: SparkSession) -> None:
+    """small_batches that also end at BATCH_BYTES, so that long texts make no larger buffers; a row is never cut."""
+    small_batches(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, "64m")
+    if given.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_or_empty(df: DataFrame, col: str) -> Column:
     """The text column for an operator, nulls as empty texts."""
     small_batches(df.sparkSession)

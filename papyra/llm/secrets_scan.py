@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import pieces, small_batches, text_or_empty
+from papyra.llm._shared import kept, pieces, small_batches, text_or_empty
 
 #: Kinds, in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex")
@@ -435,6 +435,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("secrets", dict)  # frees what the worker kept for another operator
         for batch, texts in pieces(batches, text_col):
             clean = [None if t is None else redact(t) for t in texts]
             cols = list(batch.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._shared import maybe_broadcast, pieces, scratch, table, text_or_empty
+from papyra.llm._shared import kept, maybe_broadcast, pieces, scratch, table, text_or_empty
 from papyra.llm.components import connected_components
 
 #: Bits of a fingerprint, and the distance up to which two are linked.
@@ -284,6 +284,7 @@ def wide_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [f"w{i}" for i in range(WIDE)]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("wide links", dict)  # frees what the worker kept for another operator
         for batch, texts in pieces(batches, "text"):
             w = np.array([wide_simhash(t, width) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WIDE))], ["doc_id", *names])
@@ -424,6 +425,7 @@ def exact_links(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys)))
 
     def first_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("exact links", dict)  # frees what the worker kept for another operator
         for batch, texts in pieces(batches, "text"):
             hashes, sizes, maps, wide, keys = [], [], [], [], []
             for t in texts:

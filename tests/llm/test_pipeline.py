@@ -1,10 +1,12 @@
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from papyra.llm.quality import fit_quality, graded_labels, score_quality
-from papyra.llm.secrets_scan import redact
+from papyra.llm._shared import BATCH_BYTES, _kept, kept
+from papyra.llm.quality import Features, fit_quality, graded_labels, score_quality
+from papyra.llm.secrets_scan import redact, redact_secrets
 from papyra.llm.simhash import shingle_hashes, simhash
 
 D = "/root/testdata/sf0.001"
@@ -49,3 +51,34 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs):
             if name != P.STAGES[-1][0]:
                 assert docs.columns == columns
         docs.collect()
+
+
+def test_batches_of_long_texts_are_small(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, "word " * 20000, "en", "a", 100000) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    for stage in (P.quality, P.near_dedup, P.secrets, P.packing):
+        spark.conf.unset(name)
+        stage(spark, docs, D)
+        found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) >= 40 * 100000 and max(found) <= BATCH_BYTES + 200000
+    spark.conf.set(name, "1k")
+    P.secrets(spark, docs, D)
+    assert spark.conf.get(name) in ("1k", "1024b")
+    spark.conf.unset(name)
+
+
+def test_secrets_free_the_cache_of_quality(spark):
+    class Here:
+        schema, sparkSession = spark.createDataFrame([], "text string").schema, spark
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([pa.RecordBatch.from_arrays([pa.array(["token=abcdefgh", None])], ["text"])])))
+
+    kept("quality", Features)
+    assert redact_secrets(Here())[0].column(0).to_pylist() == ["[assign]", None]
+    assert "quality" not in _kept
